@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, exact_dedup, mixing, token_count
+from . import bpe_codec, exact_dedup, mixing, substring_dedup, token_count
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(bpe_codec.encode_decode(_documents(spark, sf_dir)))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(substring_dedup.repeated_spans(_documents(spark, sf_dir)))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_documents(spark, sf_dir))
 
@@ -29,11 +33,13 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_bpe_codec": op2_bpe_codec,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_token_count": op7_token_count,
     "op10_mix_sources": op10_mix_sources,
 }
 SQL = {
+    "op4_substring_dedup": substring_dedup.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op10_mix_sources": mixing.ORACLE,
 }
