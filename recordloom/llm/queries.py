@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, exact_dedup, mixing, substring_dedup, token_count
+from . import bpe_codec, exact_dedup, mixing, simhash_dedup, substring_dedup, token_count
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_documents(spark, sf_dir))
 
 
+def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.table(simhash_dedup.near_groups(_documents(spark, sf_dir)))
+
+
 def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_documents(spark, sf_dir))
 
@@ -35,6 +39,7 @@ QUERIES = {
     "op2_bpe_codec": op2_bpe_codec,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_simhash_dedup": op6_simhash_dedup,
     "op7_token_count": op7_token_count,
     "op10_mix_sources": op10_mix_sources,
 }
