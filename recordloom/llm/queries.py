@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, exact_dedup, mixing, simhash_dedup, substring_dedup, token_count
+from . import bpe_codec, exact_dedup, impact_search, mixing, simhash_dedup, substring_dedup, token_count
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_documents(spark, sf_dir))
 
 
+def op8_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_search.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(_documents(spark, sf_dir)).drop("first_position")
 
@@ -41,10 +45,12 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_token_count": op7_token_count,
+    "op8_impact_search": op8_impact_search,
     "op10_mix_sources": op10_mix_sources,
 }
 SQL = {
     "op4_substring_dedup": substring_dedup.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
+    "op8_impact_search": impact_search.ORACLE,
     "op10_mix_sources": mixing.ORACLE,
 }
