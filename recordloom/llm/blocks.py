@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import stage
 
-BLOCK_WORDS = 1 << 22
+BLOCK_WORDS = 1 << 21
 SCHEMA = "block long, doc_ids array<long>, doc_words array<int>, n_words int, words binary, codes binary"
 ARROW = pa.schema(
     [("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_words", pa.list_(pa.int32())), ("n_words", pa.int32()), ("words", pa.binary()), ("codes", pa.binary())]
@@ -82,7 +82,7 @@ def block_words(row: dict) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return words_of(row["words"]), codes_of(row["codes"], int(ends[-1])), ends
 
 
-def doc_chunks(ends: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def doc_chunks(ends: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of documents with up to ``most`` words together, or one document."""
     first = 0
     while first < len(ends) - 1:
