@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, exact_dedup, impact_search, language_id, mixing, simhash_dedup, substring_dedup, token_count, toxicity
+from . import bpe_codec, exact_dedup, impact_search, language_id, mixing, simhash_dedup, substring_dedup, token_count, token_files, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op8_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact_search.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(_documents(spark, sf_dir))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(_documents(spark, sf_dir)).drop("first_position")
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_token_count": op7_token_count,
     "op8_impact_search": op8_impact_search,
+    "op9_token_files": op9_token_files,
     "op10_mix_sources": op10_mix_sources,
 }
 SQL = {

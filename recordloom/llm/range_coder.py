@@ -1,0 +1,257 @@
+"""A range coder for token ids, driven by adaptive predictions of orders 0 to 2 that are mixed.
+
+Ids are cut into blocks of ``BLOCK`` ids. Every block starts with fresh models and has a checksum, so a damaged block
+costs no other. Blocks are independent, so many go forward together in numpy, one id at a time.
+
+An id is coded as a symbol: it is the id that the order-2 table holds for the last two ids, or the one that the order-1
+table holds for the last, or a class, the bit length of id + 1, whose remaining bits follow as they are. The symbol's
+distribution is a mix of three adaptive ones, in the contexts: none (order 0); the class of the last id and how far the
+order-1 table can be trusted (order 1); how far both tables can, and whether they agree (order 2). The weights move
+towards whichever of the three gave the symbol most. All is integer arithmetic, the same everywhere.
+"""
+
+from __future__ import annotations
+
+import struct
+import zlib
+
+import numpy as np
+import zstandard
+
+MAGIC = b"RLTOKEN1"
+BLOCK = 4096
+_T1, _T2 = 10, 12  # bits of the tables' addresses
+_HALF = 14  # distributions sum to 2^14
+_FULL = 15  # and mixed, with every symbol possible, to 2^15
+_WEIGHT = 12
+
+
+class _Models:
+    """Models of ``lanes`` blocks at the same id."""
+
+    def __init__(self, lanes: int, classes: int):
+        self.symbols = s = 2 + classes
+        self.lane = np.arange(lanes)
+        even = ((np.arange(s + 1) << _HALF) // s).astype(np.int16)
+        self.c0 = np.tile(even, (lanes, 1))
+        self.n1, self.n2 = (classes + 1) * 4, 32
+        self.c1 = np.tile(even, (lanes * self.n1, 1))
+        self.c2 = np.tile(even, (lanes * self.n2, 1))
+        self.t1 = np.zeros(lanes << _T1, np.uint32)
+        self.t2 = np.zeros(lanes << _T2, np.uint32)
+        self.w = np.full((3, lanes), (1 << _WEIGHT) // 3, np.int32)
+        self.goal = np.where(np.arange(s + 1)[None, :] > np.arange(s)[:, None], 1 << _HALF, 0).astype(np.int16)
+        self.step = np.arange(s + 1, dtype=np.int32)
+        self.last = np.zeros(lanes, np.int64)
+        self.older = np.zeros(lanes, np.int64)
+        self.last_class = np.zeros(lanes, np.int64)
+
+    def look(self, k: int) -> None:
+        """Contexts of the first ``k`` lanes."""
+        lane, last, older = self.lane[:k], self.last[:k], self.older[:k]
+        self.a1 = (lane << _T1) + (((last * 0x9E3779B1) >> 12) & ((1 << _T1) - 1))
+        self.a2 = (lane << _T2) + (((last * 0x9E3779B1 + older * 0x85EBCA6B) >> 12) & ((1 << _T2) - 1))
+        self.v1, self.v2 = self.t1[self.a1], self.t2[self.a2]
+        self.g1, self.g2 = (self.v1 >> 3).astype(np.int64), (self.v2 >> 3).astype(np.int64)
+        trust1, trust2 = (self.v1 & 7).astype(np.int64) >> 1, (self.v2 & 7).astype(np.int64) >> 1
+        self.x1 = lane * self.n1 + self.last_class[:k] * 4 + trust1
+        self.x2 = lane * self.n2 + trust2 * 8 + trust1 * 2 + (self.g1 == self.g2)
+        self.r0, self.r1, self.r2 = self.c0[:k], self.c1[self.x1], self.c2[self.x2]
+
+    def bounds(self, k: int, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the symbol's share of 2^15 starts, and its size; moves the weights."""
+        at = self.lane[:k] * (self.symbols + 1) + symbol
+        low, size, parts = 0, 0, []
+        for w, r in zip(self.w, (self.r0, self.r1, self.r2)):
+            flat = r.reshape(-1)
+            a = flat[at].astype(np.int32)
+            n = flat[at + 1] - a
+            parts.append(n)
+            low = low + w[:k] * a
+            size = size + w[:k] * (a + n)
+        room = (1 << _FULL) - self.symbols - 1
+        low, high = (((x >> _WEIGHT) * room >> _HALF) for x in (low, size))
+        best = np.where(parts[2] >= parts[1], np.where(parts[2] >= parts[0], 2, 0), np.where(parts[1] >= parts[0], 1, 0))
+        for i in (1, 2):
+            self.w[i, :k] += ((best == i) * ((1 << _WEIGHT) - 64) - self.w[i, :k]) >> 5
+        self.w[0, :k] = (1 << _WEIGHT) - self.w[1, :k] - self.w[2, :k]
+        return low + symbol, high - low + 1
+
+    def find(self, k: int, target: np.ndarray) -> np.ndarray:
+        """The symbol whose share holds ``target``."""
+        mixed = self.w[0, :k, None] * self.r0
+        mixed += self.w[1, :k, None] * self.r1
+        mixed += self.w[2, :k, None] * self.r2
+        mixed >>= _WEIGHT
+        mixed *= (1 << _FULL) - self.symbols - 1
+        mixed >>= _HALF
+        mixed += self.step
+        return (mixed[:, 1:] <= target[:, None]).sum(1)
+
+    def learn(self, k: int, symbol: np.ndarray, ids: np.ndarray, classes: np.ndarray) -> None:
+        goal = self.goal[symbol]
+        self.r0 += (goal - self.r0) >> 5
+        self.c1[self.x1] = self.r1 + ((goal - self.r1) >> 4)
+        self.c2[self.x2] = self.r2 + ((goal - self.r2) >> 4)
+        for table, at, v, g in ((self.t1, self.a1, self.v1, self.g1), (self.t2, self.a2, self.v2, self.g2)):
+            trust = v & 7
+            table[at] = np.where(g == ids, v + (trust < 7), np.where(trust <= 1, (ids << 3 | 2).astype(np.uint32), v - trust + (trust >> 1)))
+        self.older[:k], self.last[:k], self.last_class[:k] = self.last[:k], ids, classes
+
+
+def _classes(ids: np.ndarray) -> np.ndarray:
+    """Bit length of id + 1, less 1."""
+    return (np.frexp(ids + 1.0)[1] - 1).astype(np.int64)
+
+
+def _bit_steps(classes: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(shift, bits): the low bits of an id as they are coded. A span has 16 bits to give at a time."""
+    if most <= 15:
+        return [(np.zeros_like(classes), classes)]
+    first = np.minimum(classes, 14)
+    return [(first, classes - first), (np.zeros_like(classes), first)]
+
+
+def encode_blocks(blocks: list[np.ndarray], top: int) -> list[bytes]:
+    """Codes of blocks, the longest first; ``top`` is the greatest id."""
+    lanes, longest = len(blocks), len(blocks[0])
+    most = int(_classes(np.array([top]))[0])
+    models = _Models(lanes, most + 1)
+    ids = np.zeros((longest, lanes), np.int32)
+    for i, b in enumerate(blocks):
+        ids[: len(b), i] = b
+    active = np.searchsorted(-np.array([len(b) for b in blocks]), -np.arange(longest), "left")
+    low, span = np.zeros(lanes, np.int64), np.full(lanes, 1 << 32, np.int64)
+    digits, count = np.zeros((lanes, longest * 2 + 8), np.int32), np.zeros(lanes, np.int64)
+
+    def settle(k: int) -> None:
+        carry = np.flatnonzero(low[:k] >> 32)
+        if len(carry):
+            digits[carry, count[carry] - 1] += 1
+            low[carry] &= 0xFFFFFFFF
+        done = np.flatnonzero(span[:k] < 1 << 16)
+        if len(done):
+            digits[done, count[done]] = low[done] >> 16
+            count[done] += 1
+            low[done] = (low[done] & 0xFFFF) << 16
+            span[done] <<= 16
+
+    for t in range(longest):
+        k = int(active[t])
+        x = ids[t, :k].astype(np.int64)
+        models.look(k)
+        classes = _classes(x)
+        symbol = np.where(x == models.g2, 0, np.where(x == models.g1, 1, classes + 2))
+        start, size = models.bounds(k, symbol)
+        part = span[:k] >> _FULL
+        low[:k] += part * start
+        span[:k] = part * size
+        settle(k)
+        rest = np.where(symbol > 1, x + 1 - (1 << classes), 0)
+        for shift, bits in _bit_steps(np.where(symbol > 1, classes, 0), most):
+            part = span[:k] >> bits
+            low[:k] += part * (rest >> shift & ((1 << bits) - 1))
+            span[:k] = part
+            settle(k)
+        models.learn(k, symbol, x, classes)
+    for shift in (16, 0):
+        digits[np.arange(lanes), count] = (low >> shift) & 0xFFFF
+        if shift == 16:
+            carry = np.flatnonzero(low >> 32)
+            digits[carry, count[carry] - 1] += 1
+        count += 1
+    for j in range(int(count.max()) - 1, 0, -1):
+        over = digits[:, j] >> 16
+        digits[:, j - 1] += over
+    digits &= 0xFFFF
+    return [digits[i, : count[i]].astype("<u2").tobytes() for i in range(lanes)]
+
+
+def decode_blocks(codes: list[bytes], lengths: list[int], top: int) -> list[np.ndarray]:
+    """The blocks of ``encode_blocks``, in the same order."""
+    lanes, longest = len(codes), lengths[0]
+    most = int(_classes(np.array([top]))[0])
+    models = _Models(lanes, most + 1)
+    digits = np.zeros((lanes, max(len(c) // 2 for c in codes) + 4), np.int64)
+    for i, c in enumerate(codes):
+        digits[i, : len(c) // 2] = np.frombuffer(c, "<u2")
+    active = np.searchsorted(-np.array(lengths), -np.arange(longest), "left")
+    value, span = digits[:, 0] << 16 | digits[:, 1], np.full(lanes, 1 << 32, np.int64)
+    count = np.full(lanes, 2)
+    out = np.zeros((longest, lanes), np.int32)
+
+    def settle(k: int) -> None:
+        done = np.flatnonzero(span[:k] < 1 << 16)
+        if len(done):
+            value[done] = value[done] << 16 | digits[done, np.minimum(count[done], digits.shape[1] - 1)]
+            count[done] += 1
+            span[done] <<= 16
+
+    for t in range(longest):
+        k = int(active[t])
+        models.look(k)
+        part = span[:k] >> _FULL
+        symbol = models.find(k, np.minimum(value[:k] // part, (1 << _FULL) - 1))
+        symbol = np.minimum(symbol, models.symbols - 1)  # only a damaged code gets beyond
+        start, size = models.bounds(k, symbol)
+        value[:k] -= part * start
+        span[:k] = part * size
+        settle(k)
+        classes = np.maximum(symbol - 2, 0)
+        rest = 0
+        for shift, bits in _bit_steps(classes, most):
+            part = span[:k] >> bits
+            got = np.minimum(value[:k] // part, (1 << bits) - 1)
+            value[:k] -= part * got
+            span[:k] = part
+            rest = rest + (got << shift)
+            settle(k)
+        x = np.where(symbol == 0, models.g2, np.where(symbol == 1, models.g1, (1 << classes) - 1 + rest))
+        x = np.minimum(x, top)
+        out[t, :k] = x
+        models.learn(k, symbol, x, _classes(x))
+    return [out[: lengths[i], i] for i in range(lanes)]
+
+
+def write_segment(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
+    """Ids of documents, one after the other, as bytes: a header, the documents' index, the table of blocks, blocks."""
+    top = int(ids.max(initial=0))
+    if top >= 1 << 28:
+        raise ValueError("ids must be below 2^28")
+    blocks = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
+    codes = encode_blocks(blocks, top) if blocks else []
+    null = np.packbits(np.array([d is None for d in doc_ids], bool))
+    numbers = np.array([d or 0 for d in doc_ids], "<i8")
+    index = zstandard.compress(null.tobytes() + np.diff(numbers, prepend=0).astype("<i8").tobytes() + np.asarray(lengths, "<u4").tobytes())
+    table = struct.pack(f"<{2 * len(codes)}I", *[x for b, c in zip(blocks, codes) for x in (len(c), zlib.crc32(c, zlib.crc32(b.astype("<u4").tobytes())))])
+    head = struct.pack("<QIIIIII", len(ids), len(doc_ids), len(index), len(codes), BLOCK, top, zlib.crc32(table, zlib.crc32(index)))
+    return MAGIC + head + struct.pack("<I", zlib.crc32(head)) + index + table + b"".join(codes)
+
+
+def read_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+    """What ``write_segment`` was given. Raises ValueError where a checksum doesn't hold, naming the block."""
+    size = struct.calcsize("<QIIIIII")
+    head, at = data[8 : 8 + size], 12 + size
+    if data[:8] != MAGIC or struct.unpack("<I", data[8 + size : at])[0] != zlib.crc32(head):
+        raise ValueError("not a token segment, or its header is damaged")
+    n, docs, n_index, n_blocks, block, top, check = struct.unpack("<QIIIIII", head)
+    packed, table = data[at : at + n_index], data[at + n_index : at + n_index + 8 * n_blocks]
+    if zlib.crc32(table, zlib.crc32(packed)) != check:
+        raise ValueError("the segment's index is damaged")
+    index = zstandard.decompress(packed)
+    n_null = (docs + 7) // 8
+    null = np.unpackbits(np.frombuffer(index[:n_null], np.uint8))[:docs].astype(bool)
+    numbers = np.cumsum(np.frombuffer(index[n_null : n_null + 8 * docs], "<i8"))
+    lengths = np.frombuffer(index[n_null + 8 * docs :], "<u4").astype(np.int64)
+    sizes = struct.unpack(f"<{2 * n_blocks}I", table)
+    codes, at = [], at + n_index + 8 * n_blocks
+    for s in sizes[::2]:
+        codes.append(data[at : at + s])
+        at += s
+    each = [min(block, n - i) for i in range(0, n, block)]
+    found = decode_blocks(codes, each, top) if codes else []
+    for i, (b, c, check) in enumerate(zip(found, codes, sizes[1::2])):
+        if zlib.crc32(c, zlib.crc32(b.astype("<u4").tobytes())) != check:
+            raise ValueError(f"block {i} is damaged")
+    doc_ids = [None if x else d for d, x in zip(numbers.tolist(), null.tolist())]
+    return doc_ids, lengths, np.concatenate(found) if found else np.zeros(0, np.int32)
