@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import id_remainder
 
 #: Documents to fit on, at most (by a threshold on a hash, so about): positives, and unlabelled ones.
-POSITIVES = 6000
-UNLABELLED = 12000
+POSITIVES = 4000
+UNLABELLED = 8000
 FEATURES = 2048
 STEPS = 300
 REMEMBERED = 1 << 19
@@ -96,19 +97,23 @@ class Rows:
         return out
 
 
-def fit(docs: list[tuple[bool, list[str]]], prior: float) -> list[tuple[str, list[float]]]:
-    """Weights by feature, one a classifier, from (is it a positive, its distinct words); the empty feature is the bias."""
+def fit(docs: list[tuple[bool, str]], prior: float) -> list[tuple[str, list[float]]]:
+    """Weights by feature, one a classifier, from (is it a positive, its distinct words in a string); the empty feature is the bias."""
     positive = np.array([p for p, _ in docs], bool)
     if not positive.any() or positive.all():
         return []
     # what no positive has can't be told from the rest of the unlabelled text
     names: dict[str, int] = {}
-    for f in sorted({f for w in {w for p, words in docs if p for w in words} for f in word_features(w)}):
+    for f in sorted({f for w in {w for p, words in docs if p for w in words.split()} for f in word_features(w)}):
         names[f] = len(names)
     known: dict[str, int] = {}
-    coded = [np.array([known.setdefault(w, len(known)) for w in words], np.int64) for _, words in docs]
-    pairs = np.array([(w, names[f]) for word, w in known.items() for f in word_features(word) if f in names], np.int64).reshape(-1, 2)
-    of_word, feature = pairs[:, 0], pairs[:, 1]
+    coded = [np.fromiter((known.setdefault(w, len(known)) for w in words.split()), np.int32) for _, words in docs]
+    of_word, feature = array("i"), array("i")
+    for word, i in known.items():
+        mine = [names[f] for f in word_features(word) if f in names]
+        feature.extend(mine)
+        of_word.extend([i] * len(mine))
+    of_word, feature = np.frombuffer(of_word, np.int32), np.frombuffer(feature, np.int32)
     n_p, n_u = positive.sum(), (~positive).sum()
     count = lambda mask: np.bincount(np.concatenate([c for c, m in zip(coded, mask) if m]), minlength=len(known))
     p, u = (np.bincount(feature, count(mask)[of_word], len(names)) for mask in (positive, ~positive))
@@ -201,7 +206,6 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
         rows = rows.sort_by([("words", "ascending")])  # the same fit whatever the partitions
         docs = []
         for p, u, words in zip(*(rows.column(c).to_pylist() for c in ("positive", "unlabelled", "words"))):
-            words = words.split()
             docs += [(True, words)] * p + [(False, words)] * u
         model = fit(docs, prior)
         return pa.table([pa.array([f for f, _ in model], pa.string()), pa.array([w for _, w in model], pa.list_(pa.float64()))], names=["feature", "weights"])
