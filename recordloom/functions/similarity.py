@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter
+from collections.abc import Callable
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def lcs(a: str, b: str) -> int:
@@ -48,33 +51,49 @@ def token_set_ratio(a: str, b: str) -> float:
     return best
 
 
+def _windows(short: str, long_: str) -> list[tuple[float, int, int]]:
+    """(bound, start, end) of windows of ``long_`` as long as ``short``, cut off at the ends; the bound on the ratio is
+    that of the characters in common, whatever their order."""
+    m, left = len(short), Counter(short)
+    common, out = 0, []
+    for end in range(1, len(long_) + m):
+        if end <= len(long_):
+            left[long_[end - 1]] -= 1
+            common += left[long_[end - 1]] >= 0
+        start = end - m
+        if start > 0:
+            common -= left[long_[start - 1]] >= 0
+            left[long_[start - 1]] += 1
+        a, b = max(start, 0), min(end, len(long_))
+        out.append((2 * common / (m + b - a), a, b))
+    return out
+
+
 def partial_ratio(a: str, b: str) -> float:
     """Best ratio of the shorter text with a window of the longer, windows cut off at the ends included."""
     if not a or not b:
         return 1.0 if a == b else 0.0
-    short, long_ = sorted((a, b), key=len)
-    m, best = len(short), 0.0
-    for start in range(1 - m, len(long_)):
-        best = max(best, ratio(short, long_[max(start, 0) : start + m]))
-        if best == 1.0:
-            break
-    if len(a) == len(b) and best < 1.0:
-        for start in range(1 - m, m):
-            best = max(best, ratio(long_, short[max(start, 0) : start + m]))
+    sides = [sorted((a, b), key=len)]
+    if len(a) == len(b):
+        sides.append(sides[0][::-1])
+    best = 0.0
+    for short, long_ in sides:
+        for bound, start, end in sorted(_windows(short, long_), reverse=True):
+            if bound <= best:
+                break
+            best = max(best, ratio(short, long_[start:end]))
     return best
 
 
-def _pairwise(function):
-    @F.arrow_udf("double")
+def pairwise(function: Callable[[str, str], float], a: Column, b: Column) -> Column:
+    """One of the ratios above over two columns; null where either text is."""
+
+    @F.arrow_udf(T.DoubleType())
     def scored(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array([None if x is None or y is None else function(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
 
-    return scored
-
+    return scored(a, b)
 
-token_set_ratio_udf = _pairwise(token_set_ratio)
-token_sort_ratio_udf = _pairwise(token_sort_ratio)
-partial_ratio_udf = _pairwise(partial_ratio)
 
 # Script names as they occur in character names; the first that does decides.
 SCRIPTS = (
@@ -103,11 +122,11 @@ def dominant_script(text: str) -> str:
     return counts.most_common(1)[0][0] if counts else ""
 
 
-@F.arrow_udf("array<string>")
+@F.arrow_udf(T.ArrayType(T.StringType()))
 def scripts_udf(text: pa.Array) -> pa.Array:
     return pa.array([scripts_of(t or "") for t in text.to_pylist()], pa.list_(pa.string()))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def dominant_script_udf(text: pa.Array) -> pa.Array:
     return pa.array([dominant_script(t or "") for t in text.to_pylist()], pa.string())

@@ -107,11 +107,14 @@ def bounded_levenshtein(a: Column, b: Column, cap: Column, most: int) -> Column:
 
 def provenance(blockers: Column) -> tuple[Column, Column, Column]:
     """Whether exact_name, token and char_ngram are among labels such as ``source2:token``."""
-    return tuple(F.exists(blockers, lambda x, kind=kind: F.split_part(x, F.lit(":"), F.lit(2)) == kind) for kind in ("exact_name", "token", "char_ngram"))
+    kinds = F.transform(blockers, lambda x: F.split_part(x, F.lit(":"), F.lit(2)))
+    return tuple(F.array_contains(kinds, kind) for kind in ("exact_name", "token", "char_ngram"))
 
 
-def evidence(c: Column, pattern: str) -> Column:
-    return F.coalesce(F.format_string(pattern, c), F.lit(""))
+def evidence(c: Column, digits: int) -> Column:
+    """A number as text, "" for null. The last digit is rounded on the exact value of the double, halves to even."""
+    shown = F.call_function("format_number", c, F.lit("0." + "0" * digits if digits else "0"))
+    return F.coalesce(shown, F.lit(""))
 
 
 def _one(c: Column) -> Column:
@@ -119,8 +122,7 @@ def _one(c: Column) -> Column:
 
 
 def _grams(n: int) -> Callable[[Column], Column]:
-    key = F.col("name_key")
-    return lambda: F.when(F.length(key) < n, _one(key)).otherwise(ngrams(key, n))
+    return lambda: F.when(F.length("name_key") < n, _one(F.col("name_key"))).otherwise(ngrams(F.col("name_key"), n))
 
 
 #: Keys that a new blocker might use, as distinct keys of a record's normalized columns.

@@ -113,6 +113,6 @@ def format_candidates(df: DataFrame) -> DataFrame:
         F.col("target_id").alias("matched_entity_id"),
         F.concat(F.lit("source"), F.col("source").cast("string")).alias("source"),
         F.array_join("blockers", ",").alias("blockers"),
-        text.evidence(F.col("token_df"), "%.0f").alias("token_df"),
-        text.evidence(F.col("char_jaccard"), "%.4f").alias("char_jaccard"),
+        text.evidence(F.col("token_df"), 0).alias("token_df"),
+        text.evidence(F.col("char_jaccard"), 4).alias("char_jaccard"),
     )

@@ -62,7 +62,7 @@ def _values(fuzzy: bool) -> dict[str, Column]:
         "name_norm_equal": equal("name_norm"),
         "name_key_equal": equal("name_key"),
         "name_token_jaccard": both("name_norm", text.set_jaccard),
-        **({n: u(a("name_norm"), b("name_norm")) for n, u in zip(FUZZY, (similarity.token_set_ratio_udf, similarity.token_sort_ratio_udf, similarity.partial_ratio_udf))} if fuzzy else {}),
+        **({n: similarity.pairwise(f, a("name_norm"), b("name_norm")) for n, f in zip(FUZZY, (similarity.token_set_ratio, similarity.token_sort_ratio, similarity.partial_ratio))} if fuzzy else {}),
         "name_char3_jaccard": text.trigram_jaccard(a("name_key"), b("name_key")),
         "name_length_ratio": text.length_ratio(a("name_norm"), b("name_norm")),
         "name_token_count_diff": both("name_norm", lambda x, y: F.abs(F.size(x) - F.size(y))),
