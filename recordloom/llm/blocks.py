@@ -2,8 +2,8 @@
 
 A block holds whole documents of one partition, up to ``BLOCK_WORDS`` words (a longer document is a block of its own):
 its distinct words, and the document's words as positions in that list, compressed. That is about a third of the
-text's size and the only form in which text is ever shuffled. Blocks are written to the shared folder, so that their
-numbers are settled.
+text's size. Blocks are written to the shared folder, so that their numbers are settled, and bucketed by number, so that
+they stay where they are when what was sent away comes back.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage_by, trim
 
 BLOCK_WORDS = 1 << 21
 SCHEMA = "block long, doc_ids array<long>, doc_words array<int>, n_words int, words binary, codes binary"
@@ -26,7 +26,7 @@ ARROW = pa.schema(
 )
 
 
-def _squeeze(codes: np.ndarray) -> bytes:
+def squeeze(codes: np.ndarray) -> bytes:
     """Codes are mostly small, so their bytes are stored plane by plane."""
     return zstandard.compress(np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
 
@@ -53,7 +53,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> pa.RecordBatch:
         codes = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
         words = zstandard.compress(b" ".join(coder), 3) if coder else b""
-        return pa.RecordBatch.from_pylist([{"block": number, "doc_ids": ids, "doc_words": counts, "n_words": len(coder), "words": words, "codes": _squeeze(codes)}], ARROW)
+        return pa.RecordBatch.from_pylist([{"block": number, "doc_ids": ids, "doc_words": counts, "n_words": len(coder), "words": words, "codes": squeeze(codes)}], ARROW)
 
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -62,17 +62,20 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield flush()
                 number += 1
                 coder, ids, counts, parts, total = _Coder(), [], [], [], 0
+                trim()
             parts.append(np.fromiter(map(coder.__getitem__, split), np.uint32, len(split)))
             ids.append(doc_id)
             counts.append(len(split))
             total += len(split)
     if ids:
         yield flush()
+    del coder, ids, counts, parts
+    trim()
 
 
 def pack(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Blocks of ``docs``, staged. Null texts have no words; ids may be null or repeat."""
-    return stage(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_pack, SCHEMA), name)
+    """Blocks of ``docs``, staged by block. Null texts have no words; ids may be null or repeat."""
+    return stage_by(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_pack, SCHEMA), name, "block")
 
 
 def block_words(row: dict) -> tuple[list[bytes], np.ndarray, np.ndarray]:

@@ -1,37 +1,43 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Texts are split at ASCII white space into words, packed in blocks (see blocks.py). Each distinct word of the corpus is
-encoded once, by the tokenizer itself; its ids meet their pieces in a join on the id, which gives the word's decoded
-form. Both come back to every block that has the word, and are put in order by the words' positions.
+Texts are split at ASCII white space into words, packed in blocks (see blocks.py). The table of distinct words is
+partitioned by hash. A block sends each partition the sorted list of its own words, compressed, as a single row; the
+partition merges the lists of all blocks, has the tokenizer encode each distinct word once, and answers every list with
+a list of ids. Ids then join words by position: a block's answers are put in the order of its words, and its documents
+gather them. Decoding joins ids with the table of the vocabulary's pieces.
 
 That words can be encoded one by one is a property of the tokenizer, not of the texts: its pattern drops white space and
 matches nothing across it, and its normalizer (NFC, white space, lower case by character) doesn't look past a space.
-``encode_decode`` refuses tokenizer files of another kind.
+Tokenizer files of another kind are refused.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from . import blocks
-from .common import BROADCAST_BYTES
+from .common import BROADCAST_BYTES, trim
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's workers are forked, and one task has one core
-_tokenizers: dict[int, Tokenizer] = {}
+#: Words that a partition of the table gets from all blocks, about.
+PARTITION_WORDS = 1 << 19
+_tokenizers: dict[bytes, Tokenizer] = {}
 
 
 def _tokenizer(spec: str) -> Tokenizer:
-    key = hash(spec)
+    key = hashlib.sha256(spec.encode()).digest()
     if key not in _tokenizers:
         _tokenizers[key] = Tokenizer.from_str(spec)
         _tokenizers[key].no_truncation()
@@ -53,78 +59,135 @@ def read_spec(path: str) -> str:
     return spec
 
 
-def _listed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for number, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words = blocks.words_of(blob)
-            for i in range(0, len(words), 1 << 16):
-                part = pa.array([w.decode() for w in words[i : i + (1 << 16)]], pa.string())
-                codes = pa.array(np.arange(i, i + len(part), dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), number, np.int64)), codes, part], names=["block", "code", "word"])
-
-
-def _assembled(words: pa.Table, block: pa.Table) -> pa.Table:
-    """Ids and decoded texts of a block's documents: ids are gathered by the position of each word's run of ids."""
-    out = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
-    batches = []
-    for row in block.select(["block", "doc_ids", "doc_words", "codes"]).to_pylist():
-        ends = np.concatenate([[0], np.cumsum(np.asarray(row["doc_words"], np.int64))])
-        codes = blocks.codes_of(row["codes"], int(ends[-1]))
-        order = pa.array(np.argsort(words.column("code").to_numpy(), kind="stable"))
-        ragged = pa.concat_arrays([pa.array([], pa.list_(pa.int32())), *(c.cast(pa.list_(pa.int32())) for c in words.column("ids").chunks)]).take(order)
-        flat, lengths = ragged.flatten().to_numpy(), np.asarray(pc.list_value_length(ragged), np.int64)
-        starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-        decoded = words.column("decoded").take(order).to_pylist()
-        doc_ids = row["doc_ids"]
-        for a, b in blocks.doc_chunks(ends, 1 << 19):
-            mine = codes[ends[a] : ends[b]]
-            n = lengths[mine]
-            total = np.concatenate([[0], np.cumsum(n)])
-            ids = flat[np.repeat(starts[mine] - total[:-1], n) + np.arange(total[-1])]
-            edges = total[ends[a : b + 1] - ends[a]]
-            texts = [" ".join(map(decoded.__getitem__, codes[ends[i] : ends[i + 1]].tolist())) for i in range(a, b)]
-            batches.append(
-                pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids[a:b], pa.int64()), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids)), pa.array(texts, pa.string())], schema=out
-                )
-            )
-    return pa.Table.from_batches(batches, out)
-
-
-def word_table(words: DataFrame, spec: str) -> DataFrame:
-    """(word, ids, decoded) of distinct words. The pieces of ids come from a join with the table of the vocabulary."""
-
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _tokenizer(spec).encode_batch
+def vocabulary(spec: str) -> list[str | None]:
+    """Pieces by id; their size is checked, as they go to every task."""
+    known = _tokenizer(spec).get_vocab(with_added_tokens=True)
+    if sum(len(p.encode()) + 16 for p in known) > BROADCAST_BYTES:
+        raise ValueError("the vocabulary is too large to send to every task")
+    pieces: list[str | None] = [None] * (max(known.values(), default=-1) + 1)
+    for piece, i in known.items():
+        pieces[i] = piece
+    return pieces
+
+
+def _dealt(words: list[bytes], parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words' numbers by part and alphabet, and where each part starts."""
+    order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+    part = np.fromiter((zlib.crc32(w) % parts for w in words), np.int64, len(words))
+    order = order[np.argsort(part[order], kind="stable")] if len(order) else order
+    return order, np.searchsorted(part[order], np.arange(parts + 1))
+
+
+def word_lists(packed: DataFrame, parts: int) -> DataFrame:
+    """(part, block, n, words): the words of each block by part of the table."""
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = encode(batch.column(0).to_pylist(), add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.ids for x in found], pa.list_(pa.int32()))], names=["word", "ids"])
-
-    spark = words.sparkSession
-    tokenizer = _tokenizer(spec)
-    vocabulary = [(i, piece) for piece, i in tokenizer.get_vocab(with_added_tokens=True).items()]
-    pieces = spark.createDataFrame(vocabulary, "id int, piece string")
-    if sum(len(p) + 16 for _, p in vocabulary) <= BROADCAST_BYTES:
-        pieces = F.broadcast(pieces)
-    ids = words.mapInArrow(encoded, "word string, ids array<int>")
-    each = ids.select("word", "ids", F.posexplode_outer("ids").alias("at", "id")).join(pieces, "id", "left")
-    parts = F.sort_array(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "piece"))))
-    # a word has one list of ids, so any of its rows has it
-    return each.groupBy("word").agg(F.first("ids").alias("ids"), F.array_join(F.transform(parts, lambda x: x["piece"]), " ").alias("decoded"))
+            for block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = blocks.words_of(blob)
+                order, starts = _dealt(words, parts)
+                rows = []
+                for p in np.flatnonzero(np.diff(starts)).tolist():
+                    mine = [words[i] for i in order[starts[p] : starts[p + 1]].tolist()]
+                    rows.append((p, block, len(mine), zstandard.compress(b" ".join(mine), 5)))
+                if rows:
+                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["part", "block", "n", "words"])
+
+    return packed.select("block", "words").mapInArrow(dealt, "part long, block long, n int, words binary")
+
+
+def encode_words(lists: DataFrame, spec: str) -> DataFrame:
+    """(block, part, n, total, lengths, ids): the answers to ``lists``. Each distinct word is encoded once, in its part."""
+
+    def encoded(rows: pa.Table) -> pa.Table:
+        table: dict[bytes, int] = {}
+        asked = []
+        for blob in rows.column("words"):
+            words = blocks.words_of(blob.as_py())
+            asked.append(np.fromiter((table.setdefault(w, len(table)) for w in words), np.int64, len(words)))
+        tokenizer, words = _tokenizer(spec), list(table)
+        lengths, ids = [], []
+        for i in range(0, len(words), 1 << 14):
+            for found in tokenizer.encode_batch([w.decode() for w in words[i : i + (1 << 14)]], add_special_tokens=False):
+                lengths.append(len(found.ids))
+                ids += found.ids
+        lengths, ids = np.array(lengths, np.int64), np.array(ids, np.int64)
+        starts = np.cumsum(lengths) - lengths
+        out = []
+        for block, part, mine in zip(rows.column("block").to_pylist(), rows.column("part").to_pylist(), asked):
+            got = _gather(ids, starts[mine], lengths[mine])
+            out.append((block, part, len(mine), len(got), blocks.squeeze(lengths[mine]), blocks.squeeze(got)))
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        del table, asked, words, lengths, ids
+        trim()
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["block", "part", "n", "total", "lengths", "ids"])
+
+    return lists.groupBy("part").applyInArrow(encoded, "block long, part long, n int, total int, lengths binary, ids binary")
+
+
+def _gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` one after the other."""
+    total = np.cumsum(lengths)
+    return flat[np.repeat(starts - (total - lengths), lengths) + np.arange(int(lengths.sum()))]
 
 
 def encode_decode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, ids array<int>, and decoded, the text that those ids decode to.
 
     Null texts count as empty: no ids, an empty text. Ids may be null or repeat, as words go back to places in blocks and
-    never by doc_id. Other columns aren't read. A word's rows in the join number its blocks at most, not its occurrences.
+    never by doc_id. Other columns aren't read. A word occurs in the shuffle once for each block that has it.
     """
     spec = read_spec(tokenizer or public_tokenizers.path("word_bpe_49k.json"))
+    pieces = vocabulary(spec)
     packed = blocks.pack(docs, "bpe-blocks", id_col, text_col)
-    listed = packed.select("block", "words").mapInArrow(_listed_words, "block long, code int, word string")
-    table = word_table(listed.select("word").distinct(), spec)
-    back = listed.join(table, "word").select("block", "code", "ids", "decoded")
-    return back.groupBy("block").cogroup(packed.drop("words", "n_words").groupBy("block")).applyInArrow(_assembled, "doc_id long, ids array<int>, decoded string")
+    parts = max(1, -(-(packed.agg(F.sum("n_words")).first()[0] or 0) // PARTITION_WORDS))
+    answers = encode_words(word_lists(packed, parts), spec)
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
+
+    def assembled(answers: pa.Table, block: pa.Table) -> pa.Table:
+        batches = []
+        for row in block.to_pylist():
+            words, codes, ends = blocks.block_words(row)
+            order, starts = _dealt(words, parts)
+            length, start = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+            flat = []
+            at = 0
+            for a in answers.to_pylist():
+                mine = order[starts[a["part"]] : starts[a["part"] + 1]]
+                n = blocks.codes_of(a["lengths"], a["n"])
+                length[mine], start[mine] = n, at + np.cumsum(n) - n
+                flat.append(blocks.codes_of(a["ids"], a["total"]).astype(np.int32))
+                at += a["total"]
+            flat = np.concatenate(flat) if flat else np.zeros(0, np.int32)
+            # the join of ids with pieces
+            spelt = pa.DictionaryArray.from_arrays(pa.array(flat), pa.array(pieces, pa.string())).cast(pa.string()).to_pylist()
+            decoded = [" ".join(spelt[s : s + n]) for s, n in zip(start.tolist(), length.tolist())]
+            for a, b in blocks.doc_chunks(ends):
+                mine = codes[ends[a] : ends[b]]
+                n = length[mine]
+                edges = np.concatenate([[0], np.cumsum(n)])[ends[a : b + 1] - ends[a]]
+                # a word may have no ids, if a tokenizer knows none of its characters
+                texts = [" ".join(filter(None, map(decoded.__getitem__, codes[ends[i] : ends[i + 1]].tolist()))) for i in range(a, b)]
+                ids = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(_gather(flat, start[mine], n)))
+                batches.append(pa.RecordBatch.from_arrays([pa.array(row["doc_ids"][a:b], pa.int64()), ids, pa.array(texts, pa.string())], schema=schema))
+        trim()
+        return pa.Table.from_batches(batches, schema)
+
+    return answers.groupBy("block").cogroup(packed.drop("n_words").groupBy("block")).applyInArrow(assembled, "doc_id long, ids array<int>, decoded string")
+
+
+def decode(coded: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """(doc_id, decoded) of any table of ids, whatever made them: a join of exploded ids with the pieces, put together
+    again by position. Ids that the vocabulary lacks are left out, as the tokenizer's own decode does; null or empty
+    lists decode to an empty text. Rows are told apart by a row number, so ids of documents may repeat."""
+    spark = coded.sparkSession
+    spec = read_spec(tokenizer or public_tokenizers.path("word_bpe_49k.json"))
+    table = spark.createDataFrame([(i, p) for i, p in enumerate(vocabulary(spec)) if p is not None], "id int, piece string")
+    rows = coded.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.posexplode_outer(ids_col).alias("at", "id"))
+    met = rows.join(F.broadcast(table), "id", "left")
+    parts = F.sort_array(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("at", "piece"))))
+    return met.groupBy("row", "doc_id").agg(F.array_join(F.transform(parts, lambda x: x["piece"]), " ").alias("decoded")).drop("row")
 
 
 def digests(coded: DataFrame) -> DataFrame:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,15 @@ BROADCAST_BYTES = 64 << 20
 _own_dir: str | None = None
 
 
+def trim() -> None:
+    """Give memory that a batch has freed back to the system: Python workers live on between tasks, beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another libc
+        pass
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``. Where it is unset, a local session gets a folder of its own; a cluster
     must name one, as the executors' local disks aren't shared."""
@@ -42,6 +53,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like ``stage``, but bucketed by ``key``: later joins and groups by it don't shuffle these rows again. The table's
+    name is dropped at once, its files stay."""
+    spark = df.sparkSession
+    table = f"recordloom_{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/recordloom/{name}-{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("path", path).option("compression", "zstd").bucketBy(buckets, key).saveAsTable(table)
+    out = spark.table(table)
+    out.schema  # the plan has its files and buckets now
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
 def id_remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text, mod ``n``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
