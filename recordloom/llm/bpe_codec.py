@@ -184,7 +184,8 @@ def decode(coded: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id
     spark = coded.sparkSession
     spec = read_spec(tokenizer or public_tokenizers.path("word_bpe_49k.json"))
     table = spark.createDataFrame([(i, p) for i, p in enumerate(vocabulary(spec)) if p is not None], "id int, piece string")
-    rows = coded.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.posexplode_outer(ids_col).alias("at", "id"))
+    rows = coded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.select("doc_id", "row", F.posexplode_outer("ids").alias("at", "id"))
     met = rows.join(F.broadcast(table), "id", "left")
     parts = F.sort_array(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("at", "piece"))))
     return met.groupBy("row", "doc_id").agg(F.array_join(F.transform(parts, lambda x: x["piece"]), " ").alias("decoded")).drop("row")
