@@ -41,7 +41,7 @@ def _shared_rarest(s1: DataFrame, targets: DataFrame, kind: str, config: KeyConf
     target_keys = make(targets)
     df = keys.document_frequency(target_keys)
     own = keys.rarest(target_keys, df, config).select("source", "key", "df", F.col("entity_id").alias("target_id"), F.col("rank").alias("target_rank"))
-    ask = keys.rarest(make(s1), df, config).select("source", "key", F.col("entity_id").alias("s1_id"), F.col("rank").alias("s1_rank"))
+    ask = keys.rarest(make(s1.drop("source")), df, config).select("source", "key", F.col("entity_id").alias("s1_id"), F.col("rank").alias("s1_rank"))
     return ask.join(own, ["source", "key"])
 
 
