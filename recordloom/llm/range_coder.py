@@ -27,75 +27,89 @@ _WEIGHT = 12
 
 
 class _Models:
-    """Models of ``lanes`` blocks at the same id."""
+    """Models of ``lanes`` blocks at the same id. A distribution is a row of cumulative 16-bit counts; rows are moved as
+    opaque items, which numpy does much faster than as rows."""
 
     def __init__(self, lanes: int, classes: int):
         self.symbols = s = 2 + classes
+        self.width = -(-(s + 1) // 4) * 4
+        self.row = np.dtype((np.void, 2 * self.width))
+        even = np.minimum((np.arange(self.width) << _HALF) // s, 1 << _HALF).astype(np.int16)
         self.lane = np.arange(lanes)
-        even = ((np.arange(s + 1) << _HALF) // s).astype(np.int16)
+        self.n1, self.n2 = classes * 4, 32
+        rows = lambda n: np.tile(even, (n, 1)).view(self.row).reshape(n)
         self.c0 = np.tile(even, (lanes, 1))
-        self.n1, self.n2 = (classes + 1) * 4, 32
-        self.c1 = np.tile(even, (lanes * self.n1, 1))
-        self.c2 = np.tile(even, (lanes * self.n2, 1))
+        self.c1, self.c2 = rows(lanes * self.n1), rows(lanes * self.n2)
         self.t1 = np.zeros(lanes << _T1, np.uint32)
         self.t2 = np.zeros(lanes << _T2, np.uint32)
         self.w = np.full((3, lanes), (1 << _WEIGHT) // 3, np.int32)
-        self.goal = np.where(np.arange(s + 1)[None, :] > np.arange(s)[:, None], 1 << _HALF, 0).astype(np.int16)
+        goal = np.where(np.arange(self.width)[None, :] > np.arange(s)[:, None], 1 << _HALF, 0).astype(np.int16)
+        self.goal = goal.view(self.row).reshape(s)
         self.step = np.arange(s + 1, dtype=np.int32)
         self.last = np.zeros(lanes, np.int64)
         self.older = np.zeros(lanes, np.int64)
         self.last_class = np.zeros(lanes, np.int64)
+        self.time = 0
+
+    def _rows(self, table: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return table.take(at).view(np.int16).reshape(len(at), self.width)
 
     def look(self, k: int) -> None:
         """Contexts of the first ``k`` lanes."""
-        lane, last, older = self.lane[:k], self.last[:k], self.older[:k]
-        self.a1 = (lane << _T1) + (((last * 0x9E3779B1) >> 12) & ((1 << _T1) - 1))
-        self.a2 = (lane << _T2) + (((last * 0x9E3779B1 + older * 0x85EBCA6B) >> 12) & ((1 << _T2) - 1))
-        self.v1, self.v2 = self.t1[self.a1], self.t2[self.a2]
-        self.g1, self.g2 = (self.v1 >> 3).astype(np.int64), (self.v2 >> 3).astype(np.int64)
-        trust1, trust2 = (self.v1 & 7).astype(np.int64) >> 1, (self.v2 & 7).astype(np.int64) >> 1
+        lane, last = self.lane[:k], self.last[:k] * 0x9E3779B1
+        self.a1 = (lane << _T1) + ((last >> 12) & ((1 << _T1) - 1))
+        self.a2 = (lane << _T2) + (((last + self.older[:k] * 0x85EBCA6B) >> 12) & ((1 << _T2) - 1))
+        self.v1, self.v2 = self.t1.take(self.a1), self.t2.take(self.a2)
+        self.g1, self.g2 = self.v1 >> 3, self.v2 >> 3
+        trust1, trust2 = (self.v1 & 7) >> 1, (self.v2 & 7) >> 1
         self.x1 = lane * self.n1 + self.last_class[:k] * 4 + trust1
-        self.x2 = lane * self.n2 + trust2 * 8 + trust1 * 2 + (self.g1 == self.g2)
-        self.r0, self.r1, self.r2 = self.c0[:k], self.c1[self.x1], self.c2[self.x2]
+        self.x2 = lane * self.n2 + (trust2 * 8 + trust1 * 2 + (self.g1 == self.g2))
+        self.r0, self.r1, self.r2 = self.c0[:k], self._rows(self.c1, self.x1), self._rows(self.c2, self.x2)
 
     def bounds(self, k: int, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the symbol's share of 2^15 starts, and its size; moves the weights."""
-        at = self.lane[:k] * (self.symbols + 1) + symbol
-        low, size, parts = 0, 0, []
+        """Where the symbol's share of 2^15 starts, and its size. Every fourth id moves the weights."""
+        at = self.lane[:k] * self.width + symbol
+        low, high, parts = 0, 0, []
         for w, r in zip(self.w, (self.r0, self.r1, self.r2)):
             flat = r.reshape(-1)
-            a = flat[at].astype(np.int32)
-            n = flat[at + 1] - a
-            parts.append(n)
+            a, b = flat.take(at), flat.take(at + 1)
+            parts.append(b - a)
             low = low + w[:k] * a
-            size = size + w[:k] * (a + n)
+            high = high + w[:k] * b
         room = (1 << _FULL) - self.symbols - 1
-        low, high = (((x >> _WEIGHT) * room >> _HALF) for x in (low, size))
-        best = np.where(parts[2] >= parts[1], np.where(parts[2] >= parts[0], 2, 0), np.where(parts[1] >= parts[0], 1, 0))
-        for i in (1, 2):
-            self.w[i, :k] += ((best == i) * ((1 << _WEIGHT) - 64) - self.w[i, :k]) >> 5
-        self.w[0, :k] = (1 << _WEIGHT) - self.w[1, :k] - self.w[2, :k]
+        low, high = (((x >> _WEIGHT) * room >> _HALF) for x in (low, high))
+        self.time += 1
+        if not self.time & 3:
+            first = parts[1] > parts[2]
+            for i, best in ((1, first & (parts[1] > parts[0])), (2, ~first & (parts[2] >= parts[0]))):
+                self.w[i, :k] += (best * ((1 << _WEIGHT) - 64) - self.w[i, :k]) >> 4
+            self.w[0, :k] = (1 << _WEIGHT) - self.w[1, :k] - self.w[2, :k]
         return low + symbol, high - low + 1
 
     def find(self, k: int, target: np.ndarray) -> np.ndarray:
         """The symbol whose share holds ``target``."""
-        mixed = self.w[0, :k, None] * self.r0
-        mixed += self.w[1, :k, None] * self.r1
-        mixed += self.w[2, :k, None] * self.r2
+        n = self.symbols + 1
+        mixed = self.w[0, :k, None] * self.r0[:, :n]
+        mixed += self.w[1, :k, None] * self.r1[:, :n]
+        mixed += self.w[2, :k, None] * self.r2[:, :n]
         mixed >>= _WEIGHT
         mixed *= (1 << _FULL) - self.symbols - 1
         mixed >>= _HALF
         mixed += self.step
-        return (mixed[:, 1:] <= target[:, None]).sum(1)
+        return np.count_nonzero(mixed[:, 1:] <= target[:, None].astype(np.int32), axis=1)
 
     def learn(self, k: int, symbol: np.ndarray, ids: np.ndarray, classes: np.ndarray) -> None:
-        goal = self.goal[symbol]
-        self.r0 += (goal - self.r0) >> 5
-        self.c1[self.x1] = self.r1 + ((goal - self.r1) >> 4)
-        self.c2[self.x2] = self.r2 + ((goal - self.r2) >> 4)
+        goal = self._rows(self.goal, symbol)
+        for r, rate in ((self.r0, 5), (self.r1, 4), (self.r2, 4)):
+            d = goal - r
+            d >>= rate
+            r += d
+        self.c1[self.x1] = self.r1.view(self.row).reshape(k)
+        self.c2[self.x2] = self.r2.view(self.row).reshape(k)
+        fresh = (ids << 3 | 2).astype(np.uint32)
         for table, at, v, g in ((self.t1, self.a1, self.v1, self.g1), (self.t2, self.a2, self.v2, self.g2)):
             trust = v & 7
-            table[at] = np.where(g == ids, v + (trust < 7), np.where(trust <= 1, (ids << 3 | 2).astype(np.uint32), v - trust + (trust >> 1)))
+            table[at] = np.where(g == ids, v + (trust < 7), np.where(trust <= 1, fresh, v - trust + (trust >> 1)))
         self.older[:k], self.last[:k], self.last_class[:k] = self.last[:k], ids, classes
 
 

@@ -29,7 +29,7 @@ from .token_count import _TWO_SPACES
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 END = 2
-SEGMENT_IDS = 1 << 22
+SEGMENT_IDS = 1 << 23
 REMEMBERED = 1 << 20
 SEGMENTS = "range int, number int, n_ids long, n_docs int, data binary"
 
