@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder
+from .common import id_remainder, trim
 
 BUCKETS = 1 << 15
 SMOOTHING = 0.5
@@ -29,7 +29,7 @@ ROUNDS = 12
 PENALTY = 4.0
 UNKNOWN = "und"
 #: Characters and languages (their product) handled at once.
-_CELLS = 1 << 22
+_CELLS = 1 << 20
 
 
 @lru_cache(1)
@@ -94,8 +94,9 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
                     if len(totals) >= 64:
                         yield from flush()
                     totals[lang] = np.zeros(BUCKETS, np.int64)
-                for a, b in _groups(texts, 1 << 20):
+                for a, b in _groups(texts, 1 << 18):
                     totals[lang] += np.bincount(trigrams(texts[a:b])[0], minlength=BUCKETS)
+            trim()
         yield from flush()
 
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
@@ -187,6 +188,7 @@ def language(text: Column, model: list[tuple[str, bytes]]) -> Column:
     def found(texts: pa.Array) -> pa.Array:
         counts = np.stack([np.frombuffer(t, "<i8") for _, t in model], axis=1) + SMOOTHING if model else np.zeros((BUCKETS, 0))
         names, scores = identify(texts.to_pylist(), langs, np.log(counts / counts.sum(0)).astype(np.float32))
+        trim()
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
 
     return found(text)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_groups, stage
+from .common import join_groups, stage, trim
 from .components import components
 from .hashing import U64, mix
 
@@ -49,7 +49,7 @@ def simhash(text: str | None, shingle: int, count: int = 1) -> list[int]:
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, [joined[s : e - 1] for s, e in zip(starts, lasts)], repeat(SEED)), U64, n)
     out = []
     for i in range(count):
-        h = hashes if i == 0 else mix(hashes + U64(i) * U64(0x9E3779B97F4A7C15))
+        h = hashes if i == 0 else mix(hashes + U64(i * 0x9E3779B97F4A7C15 % 2**64))
         table = np.bincount((h.astype("<u8").view(np.uint8).reshape(-1, 8) + _PLACE).ravel(), minlength=2048).reshape(8, 256)
         bits = np.packbits((2 * (table @ _BITS) > n).ravel(), bitorder="little")
         out.append(int(bits.view("<i8")[0]))
@@ -59,7 +59,9 @@ def simhash(text: str | None, shingle: int, count: int = 1) -> list[int]:
 def fingerprints(text: Column, shingle: int, count: int) -> Column:
     @F.arrow_udf("array<bigint>")
     def made(texts: pa.Array) -> pa.Array:
-        return pa.array([simhash(x.as_py(), shingle, count) for x in texts], pa.list_(pa.int64()))
+        out = pa.array([simhash(x.as_py(), shingle, count) for x in texts], pa.list_(pa.int64()))
+        trim()
+        return out
 
     return made(text)
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import WORD, stage
+from .common import WORD, stage, trim
 from .hashing import U64, is_in, mix, rolling, signed, sliding_min, unsigned
 
 K = 35
@@ -77,6 +77,7 @@ def _each(row: dict, k: int, sub: int) -> Iterator[tuple[int, int, np.ndarray, P
     both = tuple(np.ascontiguousarray(digest[:, i]) for i in (0, 1))
     for a, b in blocks.doc_chunks(ends):
         part = codes[ends[a] : ends[b]]
+        trim()
         yield a, b, part, _pieces((both[0][part], both[1][part]), ends[a : b + 1] - ends[a], k, sub)
 
 
@@ -179,6 +180,7 @@ def repeated_spans(docs: DataFrame, k: int = K, sub: int = SUB, id_col: str = "d
                     turn = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]])))
                     rows.append((doc_ids[i], counts[i], int(mask.sum()), [{"first": int(s), "words": int(e - s)} for s, e in zip(turn[::2], turn[1::2])], " ".join(map(words.__getitem__, mine[~mask].tolist()))))
                 batches.append(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema))
+        trim()
         return pa.Table.from_batches(batches, schema)
 
     out = "doc_id long, n_words long, n_removed long, removed array<struct<first: int, words: int>>, kept string"
