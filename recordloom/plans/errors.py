@@ -142,6 +142,26 @@ def cause_table(diagnosed: DataFrame) -> DataFrame:
     return diagnosed.groupBy("primary_cause").agg(F.count("*").alias("n_pairs"), F.round(F.avg("token_jaccard"), 6).alias("mean_token_jaccard"), F.round(F.avg("trigram_jaccard"), 6).alias("mean_trigram_jaccard"), F.round(F.avg("address_jaccard"), 6).alias("mean_address_jaccard"))
 
 
+MEASURES = ("token_count_a", "token_count_b", "shared_tokens", "token_jaccard", "char_len_ratio", "trigram_jaccard", "address_jaccard")
+FLAGS = ("name_equal", "first_token_equal", "sorted_tokens_equal", "token_subset", "initials_match", "suffix_stripped_equal", "prefix_relation", "digits_only_diff", "country_equal")
+
+
+def diagnosis_summary(diagnosed: DataFrame) -> DataFrame:
+    """(field, mean, p50, p90, share_nonzero) of the measures and flags of diagnosed pairs."""
+    r6 = lambda x: F.round(F.coalesce(x, F.lit(0.0)), 6)
+    fields = [*MEASURES, *FLAGS]
+    rows = diagnosed.select(*[F.col(f).cast("double").alias(f) for f in fields])
+    one = rows.agg(*[x for f in fields for x in (r6(F.avg(f)).alias(f"{f}__m"), r6(F.percentile(f, 0.5)).alias(f"{f}__5"), r6(F.percentile(f, 0.9)).alias(f"{f}__9"), r6(F.avg((F.col(f) != 0).cast("double"))).alias(f"{f}__n"))])
+    parts = [F.struct(F.lit(f).alias("field"), F.col(f"{f}__m").alias("mean"), F.col(f"{f}__5").alias("p50"), F.col(f"{f}__9").alias("p90"), F.col(f"{f}__n").alias("share_nonzero")) for f in fields]
+    return one.select(F.explode(F.array(*parts)).alias("x")).select("x.*")
+
+
+def every_nth(rows: DataFrame, order: list[str], step: int, most: int) -> DataFrame:
+    """Each ``step``-th row in an order, ``most`` at most: a contrast sample to look at."""
+    place = F.row_number().over(Window.orderBy(*order)) - 1
+    return rows.withColumn("_place", place).where((F.col("_place") % step == 0) & (F.col("_place") < step * most)).drop("_place")
+
+
 def _proposed(records: DataFrame) -> DataFrame:
     """(…, proposal, key): the keys of all proposals in one pass."""
     own = [c for c in ("source", "entity_id") if c in records.columns]

@@ -619,6 +619,17 @@ def cause_table(c):
     return errors.cause_table(errors.diagnose(_names_of(c, errors.missed_pairs(c.true_pairs, blocking.block_token(c.s1, c.targets, TIGHT)).select("s1_id", "target_id", "source"))))
 
 
+@on_corpus("diagnosis_summary", S.diagnosis_summary())
+def diagnosis_summary(c):
+    pairs = blocking.block_token(c.s1, c.targets, TIGHT).select("s1_id", "target_id", "source")
+    return errors.diagnosis_summary(errors.diagnose(_names_of(c, pairs), scripts=False)).where(F.col("field").isin(*S.SUMMARISED))
+
+
+@on_corpus("contrast_sample", S.q("tp", "SELECT s1_id, target_id FROM (SELECT *, row_number() OVER (ORDER BY s1_id, target_id) - 1 AS p FROM tp) WHERE p % 3 = 0 AND p < 30"))
+def contrast_sample(c):
+    return errors.every_nth(c.true_pairs.select("s1_id", "target_id"), ["s1_id", "target_id"], 3, 10)
+
+
 @on_corpus("proposal_growth", S.q("prop", "SELECT p AS proposal, coalesce(n, 0)::BIGINT AS candidate_rows FROM (SELECT unnest([" + ", ".join(f"'{p}'" for p in text.PROPOSALS) + "]) AS p) LEFT JOIN (SELECT p, sum(a.n * b.n) AS n FROM (SELECT p, key, count(*) AS n FROM prop WHERE source = 1 GROUP BY ALL) a JOIN (SELECT p, key, count(*) AS n FROM prop WHERE source > 1 GROUP BY ALL) b USING (p, key) GROUP BY p) USING (p)"))
 def proposal_growth(c):
     return errors.proposal_growth(c.s1, c.targets)

@@ -428,3 +428,14 @@ def incremental_token(caps, ks) -> str:
         FROM (SELECT g.df_cap, g.rarest_k, (x.s1_id, x.target_id) IN (SELECT (s1_id, target_id) FROM exact) AS e, (x.s1_id, x.target_id) IN (SELECT (s1_id, target_id) FROM char) AS c,
               (g.df_cap, g.rarest_k, x.s1_id, x.target_id) IN (SELECT (df_cap, rarest_k, s1_id, target_id) FROM ({_pairs_in_cells('token', caps, ks)})) AS t FROM tp x, {_grid(caps, ks)}) GROUP BY ALL""",
     )
+
+
+SUMMARISED = ("shared_tokens", "token_jaccard", "trigram_jaccard", "char_len_ratio", "suffix_stripped_equal", "prefix_relation", "digits_only_diff")
+
+
+def diagnosis_summary() -> str:
+    rows = " UNION ALL ".join(
+        f"SELECT '{f}' AS field, round(coalesce(avg({f}::DOUBLE), 0), 6) AS mean, round(coalesce(quantile_cont({f}::DOUBLE, 0.5), 0), 6) AS p50, round(coalesce(quantile_cont({f}::DOUBLE, 0.9), 0), 6) AS p90, round(coalesce(avg(({f}::DOUBLE <> 0)::INT), 0), 6) AS share_nonzero FROM diag"
+        for f in SUMMARISED
+    )
+    return q("diag", rows)

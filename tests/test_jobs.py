@@ -3,6 +3,7 @@ import gzip
 import pytest
 
 from recordloom.plans.jobs import Run
+from recordloom.plans.resume import resumed
 from recordloom.sources import files
 from recordloom.streaming import candidates as streaming
 
@@ -78,3 +79,17 @@ def test_streams_equal_batches(spark, root, tmp_path):
     query = streaming.exact_stream(stream, targets).writeStream.format("memory").queryName("exact_pairs").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("exact_pairs").count() == block_exact(s1, targets).count()
+
+
+def test_results_are_used_again_until_inputs_change(spark, tmp_path):
+    source, made = str(tmp_path / "in"), []
+
+    def make():
+        made.append(1)
+        return spark.read.parquet(source).selectExpr("id + 1 AS id")
+
+    spark.range(3).write.parquet(source)
+    for settings, n in ((1, 1), (1, 1), (2, 2)):
+        assert resumed(spark, str(tmp_path / "out"), [source], make, settings).count() == 3 and len(made) == n
+    spark.range(5).write.mode("overwrite").parquet(source)
+    assert resumed(spark, str(tmp_path / "out"), [source], make, 1).count() == 5 and len(made) == 3
