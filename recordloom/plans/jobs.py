@@ -10,13 +10,14 @@ from ..functions.ids import is_sampled, is_validation
 from ..functions.normalize import add_normalized_columns
 from ..operators import blocking, evaluate, features, keys, matcher
 from ..sources import files
+from ..sources.session import ship
 
 
 class Run:
     """``root`` has raw/<split>/source1.tsv, source2.tsv, source3.tsv and, for training, raw/<split>/truth.tsv."""
 
     def __init__(self, spark: SparkSession, root: str, config: LinkConfig = LinkConfig()):
-        self.spark, self.root, self.config = spark, root, config
+        self.spark, self.root, self.config = ship(spark), root, config
 
     def path(self, *parts: str) -> str:
         return "/".join([self.root, *parts])
