@@ -78,10 +78,15 @@ def partial_ratio(a: str, b: str) -> float:
         sides.append(sides[0][::-1])
     best = 0.0
     for short, long_ in sides:
-        for bound, start, end in sorted(_windows(short, long_), reverse=True):
-            if bound <= best:
-                break
-            best = max(best, ratio(short, long_[start:end]))
+        windows = _windows(short, long_)
+        _, start, end = max(windows)
+        best = max(best, ratio(short, long_[start:end]))
+        # a step of the window adds one character, so a subsequence grows by one a step at most
+        known, at = len(short), 0
+        for i, (bound, start, end) in enumerate(windows):
+            if bound > best and known + i - at > best * (len(short) + end - start) / 2:
+                known, at = lcs(short, long_[start:end]), i
+                best = max(best, 2 * known / (len(short) + end - start))
     return best
 
 
