@@ -16,7 +16,7 @@ tie). As a k-mer decides its minimizer, equal edges are in pieces of equal minim
 4. What repeats goes back to its blocks, where the source coordinates of the pieces and edges are found again and give
    the spans of words.
 
-Work and shuffle are linear in the text: nothing is paired. A hot minimizer has at most a row per block. Blocks hold
+Work and shuffle are linear in the text: nothing is paired. Blocks hold
 words, not texts (see blocks.py); equality is that of 128-bit hashes.
 """
 
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import WORD, stage, trim
+from .common import WORD, join_groups, stage, trim
 from .hashing import U64, is_in, mix, rolling, signed, sliding_min, unsigned
 
 K = 35
@@ -133,7 +133,13 @@ def repeated_spans(docs: DataFrame, k: int = K, sub: int = SUB, id_col: str = "d
         return _rows("least c1 c2 block n", least[at], one, c2[at], np.full(len(one), number), n.astype(np.int64))
 
     pieces = seeds.groupBy("block").cogroup(by_block).applyInArrow(contents, "least long, c1 long, c2 long, block long, n long")
-    pieces = pieces.withColumn("all", occurs("least")).withColumn("same", occurs("least", "c1", "c2"))
+    # a passage that many documents share, in different surroundings, is one minimizer with as many pieces: counts are
+    # combined before the shuffle, and a hot minimizer's pieces stay where they are
+    pieces = stage(pieces, "span-found")
+    same = stage(pieces.groupBy("least", "c1", "c2").agg(F.sum("n").alias("same")), "span-same")
+    every = same.groupBy("least").agg(F.sum("same").alias("all"), F.count("*").alias("different"))
+    known = join_groups(same, every, "least", "different", same.count()).drop("different")
+    pieces = pieces.join(known, ["least", "c1", "c2"])
     pieces = stage(pieces.select("block", "least", "c1", (F.col("same") > 1).alias("whole"), (F.col("all") > F.col("same")).alias("branches")), "span-pieces")
 
     def opened(pieces: pa.Table, block: pa.Table) -> pa.Table:
