@@ -1,6 +1,6 @@
 """Documents packed into blocks of words, for operators that send something about words away and get it back.
 
-A block holds whole documents of one partition, up to ``BLOCK_WORDS`` words (a longer document is a block of its own):
+A block holds whole documents of one partition, up to ``block_words`` words (a longer document is a block of its own):
 its distinct words, and the document's words as positions in that list, compressed. That is about a third of the
 text's size. Blocks are written to the shared folder, so that their numbers are settled, and bucketed by number, so that
 they stay where they are when what was sent away comes back.
@@ -9,6 +9,7 @@ they stay where they are when what was sent away comes back.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,8 @@ class _Coder(dict):
         return n
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], block_words: int) -> Iterator[pa.RecordBatch]:
+    trim()
     number = TaskContext.get().partitionId() << 32
     coder, ids, counts, parts, total = _Coder(), [], [], [], 0
 
@@ -58,7 +60,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             split = (text.as_py() or "").encode().split()  # bytes: ASCII white space only
-            if ids and total + len(split) > BLOCK_WORDS:
+            if ids and total + len(split) > block_words:
                 yield flush()
                 number += 1
                 coder, ids, counts, parts, total = _Coder(), [], [], [], 0
@@ -73,9 +75,9 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     trim()
 
 
-def pack(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """Blocks of ``docs``, staged by block. Null texts have no words; ids may be null or repeat."""
-    return stage_by(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_pack, SCHEMA), name, "block")
+    return stage_by(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(partial(_pack, block_words=block_words), SCHEMA), name, "block")
 
 
 def block_words(row: dict) -> tuple[list[bytes], np.ndarray, np.ndarray]:

@@ -31,8 +31,9 @@ from . import blocks
 from .common import BROADCAST_BYTES, trim
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's workers are forked, and one task has one core
+BLOCK_WORDS = 1 << 20
 #: Words that a partition of the table gets from all blocks, about.
-PARTITION_WORDS = 1 << 19
+PARTITION_WORDS = 1 << 18
 _tokenizers: dict[bytes, Tokenizer] = {}
 
 
@@ -101,6 +102,7 @@ def encode_words(lists: DataFrame, spec: str) -> DataFrame:
     """(block, part, n, total, lengths, ids): the answers to ``lists``. Each distinct word is encoded once, in its part."""
 
     def encoded(rows: pa.Table) -> pa.Table:
+        trim()
         table: dict[bytes, int] = {}
         asked = []
         for blob in rows.column("words"):
@@ -108,8 +110,8 @@ def encode_words(lists: DataFrame, spec: str) -> DataFrame:
             asked.append(np.fromiter((table.setdefault(w, len(table)) for w in words), np.int64, len(words)))
         tokenizer, words = _tokenizer(spec), list(table)
         lengths, ids = [], []
-        for i in range(0, len(words), 1 << 14):
-            for found in tokenizer.encode_batch([w.decode() for w in words[i : i + (1 << 14)]], add_special_tokens=False):
+        for i in range(0, len(words), 1 << 12):
+            for found in tokenizer.encode_batch([w.decode() for w in words[i : i + (1 << 12)]], add_special_tokens=False):
                 lengths.append(len(found.ids))
                 ids += found.ids
         lengths, ids = np.array(lengths, np.int64), np.array(ids, np.int64)
@@ -140,12 +142,13 @@ def encode_decode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "
     """
     spec = read_spec(tokenizer or public_tokenizers.path("word_bpe_49k.json"))
     pieces = vocabulary(spec)
-    packed = blocks.pack(docs, "bpe-blocks", id_col, text_col)
+    packed = blocks.pack(docs, "bpe-blocks", id_col, text_col, BLOCK_WORDS)
     parts = max(1, -(-(packed.agg(F.sum("n_words")).first()[0] or 0) // PARTITION_WORDS))
     answers = encode_words(word_lists(packed, parts), spec)
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
     def assembled(answers: pa.Table, block: pa.Table) -> pa.Table:
+        trim()
         batches = []
         for row in block.to_pylist():
             words, codes, ends = blocks.block_words(row)
@@ -161,9 +164,9 @@ def encode_decode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "
                 at += a["total"]
             flat = np.concatenate(flat) if flat else np.zeros(0, np.int32)
             # the join of ids with pieces
-            spelt = pa.DictionaryArray.from_arrays(pa.array(flat), pa.array(pieces, pa.string())).cast(pa.string()).to_pylist()
-            decoded = [" ".join(spelt[s : s + n]) for s, n in zip(start.tolist(), length.tolist())]
-            for a, b in blocks.doc_chunks(ends):
+            decoded = [" ".join(map(pieces.__getitem__, flat[s : s + n].tolist())) for s, n in zip(start.tolist(), length.tolist())]
+            del words, order
+            for a, b in blocks.doc_chunks(ends, 1 << 18):
                 mine = codes[ends[a] : ends[b]]
                 n = length[mine]
                 edges = np.concatenate([[0], np.cumsum(n)])[ends[a : b + 1] - ends[a]]
