@@ -10,11 +10,13 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_BATCH, _DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 _PACKAGE = Path(__file__).resolve().parent.parent
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send the package to the executors, once a context, so that their Python workers can import it wherever they run.
+    """Send the package to the executors, once a context, so that their Python workers can import it wherever they run, and
+    make Arrow batches smaller unless the session has a size of its own.
 
     The archive is made on the driver and handed out by Spark's own file server."""
     context = spark.sparkContext
@@ -26,5 +28,7 @@ def ship(spark: SparkSession) -> SparkSession:
                 z.write(f, f"recordloom/{f.relative_to(_PACKAGE)}")
         context.addPyFile(archive)
         context._recordloom_shipped = True
+    if spark.conf.get(_BATCH) == _DEFAULT:
+        spark.conf.set(_BATCH, "2000")  # rows hold whole texts, and a batch is in memory several times over
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return spark
