@@ -15,19 +15,18 @@ out to tiles, each of which compares two parts of the list.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate, combinations, repeat
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import join_groups, stage, trim
 from .components import components
 from .hashing import U64, mix
+from .shingle_sets import links as alike, shingle_hashes, sketches
 
-SEED = 42
 LIST = 2048
 #: From so many classes on, the index takes quadruples of bytes: 70 short lists a fingerprint instead of 20.
 MANY = 1 << 26
@@ -38,15 +37,10 @@ _PLACE = np.arange(8) * 256
 def simhash(text: str | None, shingle: int, count: int = 1) -> list[int]:
     """``count`` fingerprints as signed 64-bit numbers. A bit is set where it is in over half of the hashes of the text's
     shingles, repeats counted. The first takes XXH64 itself, others remix it."""
-    words = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
-    if not words:
+    hashes = shingle_hashes(text, shingle)
+    n = len(hashes)
+    if not n:
         return [0] * count
-    joined = b" ".join(words)
-    ends = list(accumulate(len(w) + 1 for w in words))
-    starts = [0, *ends]
-    n = max(1, len(words) - shingle + 1)
-    lasts = ends[shingle - 1 :] or ends[-1:]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, [joined[s : e - 1] for s, e in zip(starts, lasts)], repeat(SEED)), U64, n)
     out = []
     for i in range(count):
         h = hashes if i == 0 else mix(hashes + U64(i * 0x9E3779B97F4A7C15 % 2**64))
@@ -223,23 +217,42 @@ def near_groups(docs: DataFrame, shingle: int = 4, bits: int = 4, count: int = 1
     total = rows.count()
     best = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("best")
     classes = stage(rows.groupBy("prints").agg(best, F.count("*").alias("n")).withColumn("cls", F.monotonically_increasing_id()), "simhash-classes")
-    roots = components(links(classes.select("cls", "prints"), count, bits, matches))
+    return _grouped(rows, classes, links(classes.select("cls", "prints"), count, bits, matches), "prints", total)
+
+
+def _grouped(rows: DataFrame, classes: DataFrame, edges: DataFrame, by: str, total: int) -> DataFrame:
+    """Rows with the component of their class, classes being told apart by column ``by``."""
+    roots = components(edges)
     rooted = stage(classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")), "simhash-roots")
     whole = rooted.groupBy("root").agg(F.min("best").alias("whole"), F.count("*").alias("classes"))
-    grouped = join_groups(rooted, whole, "root", "classes", total).select("prints", "n", "whole")
-    return join_groups(rows, grouped, "prints", "n", total).select(
-        "doc_id", "prints", F.col("whole.doc_id").alias("component_id"), (F.col("row") == F.col("whole.row")).alias("kept"), "text_hash"
+    grouped = join_groups(rooted, whole, "root", "classes", total).select(by, "n", "whole")
+    return join_groups(rows, grouped, by, "n", total).select(
+        "doc_id", by, F.col("whole.doc_id").alias("component_id"), (F.col("row") == F.col("whole.row")).alias("kept"), "text_hash"
     )
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, bits: int = 40, count: int = 4, matches: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def alike_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Like ``near_groups``, but texts link where the Jaccard similarity of their whole sets of shingles is at least
+    ``similarity``; has digest, that of the set, in place of prints. Repeats of a shingle count once. Texts without words
+    are alike, and like no other."""
+    text = F.col(text_col)
+    made = docs.select(F.col(id_col).alias("doc_id"), sketches(text, shingle).alias("sketch"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    rows = stage(made.select("doc_id", "sketch.*", "text_hash", "text").withColumn("row", F.monotonically_increasing_id()), "shingle-rows")
+    texts, rows, keys = rows.select("row", "text"), rows.select("doc_id", "digest", "text_hash", "row"), rows.select("row", "keys")
+    total = rows.count()
+    best = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("best")
+    classes = stage(rows.groupBy("digest").agg(best, F.count("*").alias("n")).withColumn("cls", F.monotonically_increasing_id()), "simhash-classes")
+    keyed = stage(classes.select("cls", F.col("best.row").alias("row")).join(keys, "row"), "shingle-keys")
+    return _grouped(rows, classes, alike(keyed, texts, shingle, similarity), "digest", total)
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near copies, that of the smallest id, and all its columns.
 
-    Unlike ``near_groups`` this goes by similarity. Two texts with Jaccard similarity 0.8 of their shingles have a cosine
-    of 8/9 and differ in 15 % of fingerprint bits, too many for one fingerprint of 64 to match four bytes, so it takes
-    four, 256 bits, of which 40 may differ. Rows that repeat whole, id included, stay or go together.
+    Unlike ``near_groups`` this goes by similarity, see ``alike_groups``. Rows that repeat whole, id included, stay or go
+    together.
     """
-    groups = stage(near_groups(docs, shingle, bits, count, matches, id_col, text_col), "simhash-groups")
+    groups = stage(alike_groups(docs, shingle, similarity, id_col, text_col), "simhash-groups")
     # of equal (id, text), none goes if one stays
     stays = F.max(F.col("kept").cast("int"))
     gone = groups.groupBy("doc_id", "text_hash").agg(stays.alias("stays")).where("stays = 0").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
