@@ -4,7 +4,7 @@ Texts become fingerprints of 64 bits. Two fingerprints that differ in at most d
 bytes, so at least 8 - d bytes match by position. The index lists fingerprints by positional bytes. A list for one byte
 would hold a 256th of the corpus, so lists are intersected beforehand: an entry is a triple of positional bytes, for
 twenty triples of positions chosen so that any four matching positions contain one of them (for very many fingerprints,
-quadruples). For the pairs that meet in a list, matching bytes are tallied, pairs below the guaranteed minimum are
+quadruples; where three matching bytes must do, all 56 triples at every size). For the pairs that meet in a list, matching bytes are tallied, pairs below the guaranteed minimum are
 dropped and the others verified by their differing bits.
 
 Equal fingerprints are one class from the start. A list's pairs are compared in place and never written: the list gives
@@ -74,6 +74,13 @@ def byte_sets(size: int) -> list[tuple[int, ...]]:
     return chosen
 
 
+def index_sets(matches: int, classes: int) -> list[tuple[int, ...]]:
+    """Sets of positions such that any ``matches`` of the eight contain one, whatever the number of classes."""
+    if matches < 4:
+        return list(combinations(range(8), matches))
+    return byte_sets(3 if classes < MANY else 4)
+
+
 def _keys(fingerprint: Column, sets: list[tuple[int, ...]], table: int) -> list[Column]:
     byte = lambda i: F.shiftright(fingerprint, 8 * i).bitwiseAND(F.lit(255))
     out = []
@@ -171,8 +178,7 @@ def _scan(count: int, matches: int, bits: int, limit: int):
 def links(classes: DataFrame, count: int, bits: int, matches: int, limit: int = LIST) -> DataFrame:
     """Edges (a, b) between classes (cls, prints) that connect all whose fingerprints meet in the index with at least
     ``matches`` bytes in one of them and differ in ``bits`` at most over all of them."""
-    n = classes.count()
-    sets = byte_sets(3 if n < MANY else 4)
+    sets = index_sets(matches, classes.count())
     prints = [F.col("prints")[i].alias(f"f{i}") for i in range(count)]
     keys = [k for i in range(count) for k in _keys(F.col("prints")[i], sets, i * len(sets))]
     entries = classes.select("cls", *prints, F.explode(F.array(*keys)).alias("key"))
