@@ -50,6 +50,14 @@ def test_all_pairs_from_similarity_on(make):
     assert {r.doc_id for r in simhash_dedup.drop_near_duplicates(make(texts)).collect()} == expected
 
 
+def test_repeated_lines_dont_link_clean_texts(make):
+    rng = random.Random(5)
+    line = " ".join(f"line{i}" for i in range(10))
+    texts = [" ".join([*(f"w{rng.randint(0, 50000)}" for _ in range(200)), *[line] * 25]) for _ in range(30)]
+    assert plain_kept(texts) == set(range(30))
+    assert {r.doc_id for r in simhash_dedup.drop_near_duplicates(make(texts)).collect()} == set(range(30))
+
+
 def test_pairs_at_the_threshold_share_a_key():
     rng = np.random.default_rng(1)
     missed = 0
