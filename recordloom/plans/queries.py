@@ -616,7 +616,7 @@ def pair_diagnosis(c):
 
 @on_corpus("cause_table")
 def cause_table(c):
-    return errors.cause_table(errors.diagnose(_names_of(c, errors.missed_pairs(c.true_pairs, blocking.block_token(c.s1, c.targets, TIGHT)).select("s1_id", "target_id", "source"))))
+    return errors.cause_table(errors.diagnose(_names_of(c, errors.missed_pairs(c.true_pairs, _candidates(c)).select("s1_id", "target_id", "source"))))
 
 
 @on_corpus("diagnosis_summary", S.diagnosis_summary())
@@ -652,6 +652,49 @@ def proposal_recall(c):
     return errors.proposal_recall(c.s1, c.targets, c.true_pairs, c.truth, _candidates(c))
 
 
+# --- what has a cap of 20 above, on the job's settings
+
+
+@on_corpus("rarest_token_keys_production")
+def rarest_token_keys_production(c):
+    return keys.postings(c.targets, "token", TOKEN)
+
+
+@on_corpus("index_statistics_production")
+def index_statistics_production(c):
+    return keys.describe(keys.postings(c.targets, "token", TOKEN), c.targets)
+
+
+@on_corpus("candidate_census_production")
+def candidate_census_production(c):
+    return statistics.census_summary(_census(c), TOKEN.df_cap)
+
+
+@on_corpus("reachability_production")
+def reachability_production(c):
+    return statistics.reachability(_census(c), statistics.exact_by_entity(c.s1, c.targets), TOKEN.df_cap)
+
+
+def _candidate_names(c: Corpus) -> DataFrame:
+    return _names_of(c, _candidates(c).select("s1_id", "target_id", "source"))
+
+
+@on_corpus("name_differences_production")
+def name_differences_production(c):
+    return names.classify(_candidate_names(c), scripts=False).select("s1_id", "target_id", "category", "reason", "n_tokens_a", "n_tokens_b")
+
+
+@on_corpus("pair_diagnosis_production")
+def pair_diagnosis_production(c):
+    out = errors.diagnose(_candidate_names(c), scripts=False)
+    return _r6(out, "token_jaccard", "trigram_jaccard", "char_len_ratio").select("s1_id", "target_id", "primary_cause", "shared_tokens", "token_jaccard", "trigram_jaccard", "char_len_ratio", "suffix_stripped_equal", "prefix_relation", "digits_only_diff")
+
+
+@on_corpus("diagnosis_summary_production")
+def diagnosis_summary_production(c):
+    return errors.diagnosis_summary(errors.diagnose(_candidate_names(c), scripts=False)).where(F.col("field").isin(*S.SUMMARISED))
+
+
 # --- calibration
 
 GRID_CAPS, GRID_KS = (5, 20, 100), (1, 3)
