@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import KeyConfig
+from ..config import KeyConfig, LinkConfig
 from ..functions import text
 from ..functions.ids import entity_code, hash_bucket, is_sampled, is_validation, md5_bucket
 from ..functions.similarity import dominant_script_udf, scripts_udf
@@ -24,6 +24,8 @@ TOKEN, CHAR = KeyConfig(1000, 1), KeyConfig(1000, 5, 0.3)
 TIGHT = KeyConfig(20, 3)
 AT = (1, 2, 5, 10, 25)
 SCORE = "name_char3_jaccard"
+#: As Run.train takes them.
+ROUNDS = 50
 
 
 def query(name: str, sql: str | None = None):
@@ -404,10 +406,10 @@ def submission_checks(c):
 
 @on_corpus("gbt_oof")
 def gbt_oof(c):
-    rows = features.pair_features(_candidates(c), c.s1, c.targets, fuzzy=False)
-    rows = matcher.label_pairs(rows, c.truth, c.true_pairs).join(matcher.assign_folds(c.truth, 3).select("s1_id", "fold"), "s1_id")
-    names_ = [n for n in features.TYPES if n in rows.columns]
-    return matcher.out_of_fold(rows, names_, 3, rounds=5)[0].select("s1_id", "target_id", "label", "fold", "score")
+    config = LinkConfig()
+    rows = features.pair_features(_candidates(c), c.s1, c.targets)
+    rows = matcher.label_pairs(rows, c.truth, c.true_pairs).join(matcher.assign_folds(c.truth, config.folds).select("s1_id", "fold"), "s1_id")
+    return matcher.out_of_fold(rows, list(features.TYPES), config.folds, ROUNDS)[0].select("s1_id", "target_id", "label", "fold", "score")
 
 
 # --- statistics

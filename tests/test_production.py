@@ -1,6 +1,11 @@
 """Queries on the job's settings cover what the ones with a cap of 20 leave out."""
 
+import inspect
+
+from recordloom.config import LinkConfig
+from recordloom.operators import features, matcher
 from recordloom.plans import errors, queries
+from recordloom.plans.jobs import Run
 from recordloom.sources.tables import corpus
 
 SMALL = "/root/testdata/sf0.001"
@@ -27,3 +32,12 @@ def test_missed_pairs_are_those_of_the_union(spark, monkeypatch):
     queries.QUERIES["cause_table"](spark, SMALL)
     whole = queries._candidates(corpus(spark, SMALL))
     assert seen[0].columns == whole.columns and seen[0].count() == whole.count()
+
+
+def test_matcher_has_the_features_folds_and_rounds_of_the_job(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(matcher, "out_of_fold", lambda rows, names, k, rounds: seen.append((rows, names, k, rounds)) or (rows.withColumn("score", rows.label), []))
+    queries.QUERIES["gbt_oof"](spark, SMALL)
+    [(rows, names, k, rounds)] = seen
+    assert names == list(features.TYPES) and set(names) <= set(rows.columns)
+    assert k == LinkConfig().folds and rounds == inspect.signature(Run.train).parameters["rounds"].default
