@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import id_remainder
 
 #: Documents to fit on, at most (by a threshold on a hash, so about): positives, and unlabelled ones.
-POSITIVES = 4000
-UNLABELLED = 8000
+POSITIVES = 6000
+UNLABELLED = 12000
 FEATURES = 2048
 STEPS = 300
 REMEMBERED = 1 << 19
