@@ -1,11 +1,12 @@
-"""Token ids of documents in files, in ascending order of doc_id, coded by range_coder.
+"""Token ids of documents in files, in ascending order of doc_id, coded by an adaptive context-mixing range coder.
+
+Texts become ids, and ids become code and ids again, in the JVM (jvm/TokenFiles.java). Texts with characters or strings on
+which tokenizer versions may differ, and all texts of tokenizers that aren't byte-level, go through the library itself.
 
 Documents are dealt by ranges of doc_id, sorted within a range, and each range is written as segments of about
 ``SEGMENT_IDS`` ids by one task. A segment is a row of a Parquet folder, written and read by Spark, so the files can be
-in any store that Spark knows: its range and number, the ids and documents in it, and the coded bytes.
-
-Texts are encoded by chunk, what stands between two single spaces with the space before it (see token_count.py for why
-that is exact); each worker remembers the ids of chunks that it has met.
+in any store that Spark knows: its range and number, the ids and documents in it, an index of the documents, and the ids'
+code, in blocks that are reset and checksummed each for itself.
 """
 
 from __future__ import annotations
@@ -19,127 +20,132 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import BROADCAST_BYTES, shared_dir
-from .range_coder import read_segment, write_segment
-from .token_count import _TWO_SPACES
+from .jvm_functions import byte_pairs, decode_blocks, encode_blocks, pair_table
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 END = 2
-SEGMENT_IDS = 1 << 23
-REMEMBERED = 1 << 20
-SEGMENTS = "range int, number int, n_ids long, n_docs int, data binary"
-
-
-class Encoder:
-    """Ids of texts as bytes, 16 or 32 bits an id, as the tokenizers library gives them."""
-
-    def __init__(self, spec: str):
-        self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        top = max(self.tokenizer.get_vocab(with_added_tokens=True).values())
-        self.type = np.dtype("<u2" if top < 1 << 16 else "<u4")
-        pre = self.tokenizer.pre_tokenizer
-        self.by_chunk = self.tokenizer.normalizer is None and type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and pre.use_regex
-        self.chunks: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        plain = [i for i, t in enumerate(texts) if self.by_chunk and not _TWO_SPACES.search(t)]
-        whole = sorted(set(range(len(texts))) - set(plain))
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole])):
-            out[i] = ids
-        split = [texts[i].split(" ") for i in plain]
-        firsts = self._encode([s[0] for s in split])
-        known = self.chunks
-        new = {c for s in split for c in s[1:] if c not in known}
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = {c for s in split for c in s[1:]}
-            new = list(new)
-            for j in range(0, len(new), 1 << 14):
-                part = new[j : j + (1 << 14)]
-                known.update(zip(part, self._encode([" " + c for c in part])))
-        for i, first, s in zip(plain, firsts, split):
-            out[i] = first + b"".join(map(known.__getitem__, s[1:]))
-        return out
-
-
-_encoders: dict[bytes, Encoder] = {}
-
-
-def encoder(spec: str) -> Encoder:
+SEGMENT_IDS = 1 << 22
+SEGMENTS = "range int, number int, n_ids long, n_docs int, width int, index binary, data binary"
+_tokenizers: dict[bytes, Tokenizer] = {}
+
+
+def _tokenizer(spec: str) -> Tokenizer:
     key = hashlib.sha256(spec.encode()).digest()
-    if key not in _encoders:
-        _encoders[key] = Encoder(spec)
-    return _encoders[key]
+    if key not in _tokenizers:
+        _tokenizers[key] = Tokenizer.from_str(spec)
+        _tokenizers[key].no_truncation()
+        _tokenizers[key].no_padding()
+    return _tokenizers[key]
+
+
+def pack_index(doc_ids: list[int | None], lengths: np.ndarray) -> bytes:
+    """A checksum, the number of documents, and which ids are null, ids as differences and lengths, compressed."""
+    null = np.packbits(np.array([d is None for d in doc_ids], bool))
+    numbers = np.array([d or 0 for d in doc_ids], "<i8")
+    body = zstandard.compress(null.tobytes() + np.diff(numbers, prepend=0).astype("<i8").tobytes() + np.asarray(lengths, "<i8").tobytes())
+    head = len(doc_ids).to_bytes(8, "little")
+    return zlib.crc32(body, zlib.crc32(head)).to_bytes(4, "little") + head + body
+
+
+def read_index(data: bytes) -> tuple[list[int | None], np.ndarray]:
+    """What ``pack_index`` was given. Raises ValueError where the checksum doesn't hold."""
+    head, body = data[4:12], data[12:]
+    if zlib.crc32(body, zlib.crc32(head)) != int.from_bytes(data[:4], "little"):
+        raise ValueError("a segment's index is damaged")
+    n, plain = int.from_bytes(head, "little"), zstandard.decompress(body)
+    at = (n + 7) // 8
+    null = np.unpackbits(np.frombuffer(plain[:at], np.uint8))[:n].astype(bool)
+    numbers = np.cumsum(np.frombuffer(plain[at : at + 8 * n], "<i8"))
+    return [None if x else d for d, x in zip(numbers.tolist(), null.tolist())], np.frombuffer(plain[at + 8 * n :], "<i8").astype(np.int64)
+
+
+def place_of(ids: np.ndarray, ties: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Ranges by id. An id that is several cuts has so many rows that it fills ranges of its own: these are shared out by
+    the order of ``ties``, so that range order stays that of (id, tie)."""
+    first, last = np.searchsorted(cuts, ids, "left"), np.searchsorted(cuts, ids, "right")
+    several = (last - first) > 1
+    part = ((ties >> 32) + (1 << 31)).astype(np.float64) / 2.0**32 * (last - first)
+    return np.where(several, first + part.astype(np.int64), first).astype(np.int32)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the ids of all documents, each followed by ``end``, to a new folder.
 
-    Null texts count as empty, and so have the end id only. Null ids come first; documents that share an id follow each
-    other by their ids. There are about as many ranges as ``docs`` has partitions.
+    Null texts count as empty, and so have the end id only. Ids are cast to long; those that don't fit are null. Null ids come
+    first, as if they were the least long; documents that share an id follow each other by a hash of their texts, then by
+    their token ids. Any number of rows may share an id. There are as many ranges as ``docs`` has partitions or the cluster
+    cores, whichever is more. A document of more than ``SEGMENT_IDS`` ids is a segment of its own. Other columns aren't read.
     """
+    spark = docs.sparkSession
     with open(tokenizer or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         spec = f.read()
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ranges = max(1, docs.rdd.getNumPartitions())
-    cuts = keyed.select(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] if ranges > 1 else []
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    try:
+        width = pair_table(spec)[1]
+        coded = byte_pairs(spark, text, spec)
+    except ValueError:
+        width = 2 if max(_tokenizer(spec).get_vocab(with_added_tokens=True).values()) < 1 << 16 else 4
+        coded = F.concat(F.lit(b"\x01"), text.cast("binary"))
+    kind = np.dtype(f"<u{width}")
+    last = np.array([end], kind).tobytes()
+    doc_id = F.try_to_number(F.col(id_col), F.lit("S99999999999999999999")).cast("long") if dict(docs.dtypes)[id_col] == "string" else F.col(id_col).cast("long")
+    keyed = docs.select(doc_id.alias("doc_id"), F.xxhash64(text).alias("tie"), coded.alias("coded"))
+    least = F.coalesce(doc_id, F.lit(-(2**63)))
+    ranges = max(docs.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
+    shares = [i / ranges for i in range(1, ranges)]
+    cuts = docs.select(F.percentile_approx(least, shares, min(max(10_000, 100 * ranges), 1 << 22))).first()[0] if shares else []
     cuts = np.array(cuts or [], np.int64)
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(spec)
+    def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                ids = part.column(0)
-                place = np.searchsorted(cuts, ids.fill_null(0).to_numpy(), "left")
-                place = np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, place).astype(np.int32)
-                coded = [c + encode.type.type(end).tobytes() for c in encode.encode([t or "" for t in part.column(1).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([pa.array(place), ids, pa.array(coded, pa.binary())], names=["range", "doc_id", "ids"])
-
-    dealt = keyed.mapInArrow(encoded, "range int, doc_id long, ids binary").repartition(ranges, "range").sortWithinPartitions("range", "doc_id", "ids")
-
-    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = encoder(spec).type
+            doc_ids, ties, coded = batch.column(0), batch.column(1).to_numpy(), [c.as_py() for c in batch.column(2)]
+            place = place_of(doc_ids.fill_null(-(2**63)).to_numpy(), ties, cuts)
+            left = [i for i, c in enumerate(coded) if c[0]]
+            if left:
+                found = _tokenizer(spec).encode_batch([coded[i][1:].decode() for i in left], add_special_tokens=False)
+                for i, e in zip(left, found):
+                    coded[i] = b"\0" + np.array(e.ids, kind).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(place), doc_ids, batch.column(1), pa.array([c[1:] + last for c in coded], pa.binary())], names=["range", "doc_id", "tie", "ids"])
+
+    dealt = keyed.mapInArrow(ranged, "range int, doc_id long, tie long, ids binary").repartitionById(ranges, "range").sortWithinPartitions("range", "doc_id", "tie", "ids")
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, number, doc_ids, parts, total = None, 0, [], [], 0
 
         def flush() -> pa.RecordBatch:
-            lengths = np.array([len(p) // kind.itemsize for p in parts])
-            data = write_segment(doc_ids, lengths, np.frombuffer(b"".join(parts), kind).astype(np.int32))
-            row = [own, number, int(lengths.sum()), len(doc_ids), data]
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names=["range", "number", "n_ids", "n_docs", "data"])
+            lengths = np.array([len(p) // width for p in parts])
+            row = [own, number, int(lengths.sum()), len(doc_ids), width, pack_index(doc_ids, lengths), b"".join(parts)]
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names=["range", "number", "n_ids", "n_docs", "width", "index", "raw"])
 
         for batch in batches:
-            for place, doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for place, doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)):
                 ids = ids.as_py()
-                if parts and (place != own or total + len(ids) // kind.itemsize > SEGMENT_IDS):
+                if parts and (place != own or total + len(ids) // width > SEGMENT_IDS):
                     yield flush()
                     number = number + 1 if place == own else 0
                     doc_ids, parts, total = [], [], 0
                 own = place
                 doc_ids.append(doc_id)
                 parts.append(ids)
-                total += len(ids) // kind.itemsize
+                total += len(ids) // width
         if parts:
             yield flush()
 
-    dealt.mapInArrow(written, SEGMENTS).write.option("compression", "none").parquet(path)
+    rows = dealt.mapInArrow(packed, "range int, number int, n_ids long, n_docs int, width int, index binary, raw binary")
+    rows.withColumn("data", encode_blocks(spark, F.col("raw"), width)).drop("raw").write.option("compression", "none").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids array<int>) of all documents in the folder, from the decoded and checked blocks; ``start`` is
     the number of ids before the document's in all of the files."""
-    return _read(spark, path, "doc_id long, start long, ids array<int>", lambda ids, at, n: pa.ListArray.from_arrays(pa.array(np.append(at, at[-1] + n[-1]).astype(np.int32)), pa.array(ids)))
+    return _read(spark, path, "doc_id long, start long, ids array<int>", lambda ids, at, n: pa.ListArray.from_arrays(pa.array(np.append(at, at[-1] + n[-1]).astype(np.int32)), pa.array(ids.astype(np.int32))))
 
 
 def summary(spark: SparkSession, path: str) -> DataFrame:
@@ -155,16 +161,21 @@ def summary(spark: SparkSession, path: str) -> DataFrame:
 
 def _read(spark: SparkSession, path: str, schema: str, made) -> DataFrame:
     segments = spark.read.schema(SEGMENTS).parquet(path)
-    order = Window.orderBy("range", "number").rowsBetween(Window.unboundedPreceding, -1)  # a row a segment
-    starts = segments.select("range", "number", "n_ids").withColumn("base", F.coalesce(F.sum("n_ids").over(order), F.lit(0))).drop("n_ids")
+    sizes = segments.select("range", "number", "n_ids")
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    # a window over ranges, of which there are as many as partitions, and one within each
+    ranges = sizes.groupBy("range").agg(F.sum("n_ids").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier(Window.orderBy("range"))), F.lit(0)))
+    starts = sizes.withColumn("inner", F.coalesce(F.sum("n_ids").over(earlier(Window.partitionBy("range").orderBy("number"))), F.lit(0)))
+    starts = starts.join(ranges, "range").select("range", "number", (F.col("before") + F.col("inner")).alias("base"))
     if segments.count() * 32 <= BROADCAST_BYTES:
         starts = F.broadcast(starts)
     names = [c.strip().split()[0] for c in schema.split(", ", 2)]
 
-    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data, base in zip(batch.column(0), batch.column(1).to_pylist()):
-                doc_ids, n, ids = read_segment(data.as_py())
+            for index, raw, width, base in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                doc_ids, n = read_index(index.as_py())
+                ids = np.frombuffer(raw.as_buffer(), f"<u{width}")
                 at = np.cumsum(n) - n
                 for i in range(0, len(n), 4096):
                     part = slice(i, i + 4096)
@@ -172,11 +183,13 @@ def _read(spark: SparkSession, path: str, schema: str, made) -> DataFrame:
                     value = made(ids[first:last], at[part] - first, n[part])
                     yield pa.RecordBatch.from_arrays([pa.array(doc_ids[part], pa.int64()), pa.array(at[part] + base), value], names=names)
 
-    return segments.join(starts, ["range", "number"]).select("data", "base").mapInArrow(decoded, schema)
+    whole = segments.join(starts, ["range", "number"])
+    return whole.select("index", decode_blocks(spark, F.col("data"), F.col("width")).alias("raw"), "width", "base").mapInArrow(told, schema)
 
 
 def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """``write`` to the shared folder, then ``summary`` of what was written."""
+    """``write`` to the shared folder, then ``summary`` of what was written: one row per document, whatever its id or text
+    (see ``write``); an empty table gives none."""
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/recordloom/tokens-{uuid.uuid4().hex}"
     write(docs, path, tokenizer)
