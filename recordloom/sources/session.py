@@ -10,7 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-_BATCH, _DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _PACKAGE = Path(__file__).resolve().parent.parent
 
 
@@ -27,8 +27,8 @@ def ship(spark: SparkSession) -> SparkSession:
             for f in sorted(_PACKAGE.rglob("*.py")):
                 z.write(f, f"recordloom/{f.relative_to(_PACKAGE)}")
         context.addPyFile(archive)
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context._recordloom_shipped = True
-    if spark.conf.get(_BATCH) == _DEFAULT:
+    if not spark._jsparkSession.sessionState().conf().contains(_BATCH):
         spark.conf.set(_BATCH, "2000")  # rows hold whole texts, and a batch is in memory several times over
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return spark
