@@ -1,10 +1,13 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Texts are split at ASCII white space into words, packed in blocks (see blocks.py). The table of distinct words is
-partitioned by hash. A block sends each partition the sorted list of its own words, compressed, as a single row; the
+Spark splits texts at ASCII white space into words, which are packed in blocks (see blocks.py). The table of distinct words
+is partitioned by hash. A block sends each partition the sorted list of its own words, compressed, as a single row; the
 partition merges the lists of all blocks, has the tokenizer encode each distinct word once, and answers every list with
 a list of ids. Ids then join words by position: a block's answers are put in the order of its words, and its documents
-gather them. Decoding joins ids with the table of the vocabulary's pieces.
+gather them. Decoding starts from those ids alone and meets them with the broadcast table of the vocabulary's pieces.
+
+Of very many blocks, ``COHORT`` share a table: so neither a word that is in every block nor the number of lists, blocks times
+partitions, grows without bound in one place, and a word is encoded once for each 4 billion words or so of text.
 
 That words can be encoded one by one is a property of the tokenizer, not of the texts: its pattern drops white space and
 matches nothing across it, and its normalizer (NFC, white space, lower case by character) doesn't look past a space.
@@ -34,6 +37,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's workers are
 BLOCK_WORDS = 1 << 20
 #: Words that a partition of the table gets from all blocks, about.
 PARTITION_WORDS = 1 << 18
+#: Blocks that share a table of distinct words, about.
+COHORT = 4096
 _tokenizers: dict[bytes, Tokenizer] = {}
 
 
@@ -79,23 +84,24 @@ def _dealt(words: list[bytes], parts: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(part[order], np.arange(parts + 1))
 
 
-def word_lists(packed: DataFrame, parts: int) -> DataFrame:
-    """(part, block, n, words): the words of each block by part of the table."""
+def word_lists(packed: DataFrame, parts: int, cohorts: int = 1) -> DataFrame:
+    """(cohort, part, block, n, words): the words of each block by part of its cohort's table."""
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = blocks.words_of(blob)
                 order, starts = _dealt(words, parts)
+                cohort = zlib.crc32(block.to_bytes(8, "little")) % cohorts
                 rows = []
                 for p in np.flatnonzero(np.diff(starts)).tolist():
                     mine = [words[i] for i in order[starts[p] : starts[p + 1]].tolist()]
-                    rows.append((p, block, len(mine), zstandard.compress(b" ".join(mine), 5)))
+                    rows.append((cohort, p, block, len(mine), zstandard.compress(b" ".join(mine), 5)))
                 if rows:
-                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["part", "block", "n", "words"])
+                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["cohort", "part", "block", "n", "words"])
 
-    return packed.select("block", "words").mapInArrow(dealt, "part long, block long, n int, words binary")
+    return packed.select("block", "words").mapInArrow(dealt, "cohort long, part long, block long, n int, words binary")
 
 
 def encode_words(lists: DataFrame, spec: str) -> DataFrame:
@@ -125,7 +131,7 @@ def encode_words(lists: DataFrame, spec: str) -> DataFrame:
         trim()
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["block", "part", "n", "total", "lengths", "ids"])
 
-    return lists.groupBy("part").applyInArrow(encoded, "block long, part long, n int, total int, lengths binary, ids binary")
+    return lists.groupBy("cohort", "part").applyInArrow(encoded, "block long, part long, n int, total int, lengths binary, ids binary")
 
 
 def _gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -137,15 +143,22 @@ def _gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nda
 def encode_decode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, ids array<int>, and decoded, the text that those ids decode to.
 
-    Null texts count as empty: no ids, an empty text. Ids may be null or repeat, as words go back to places in blocks and
-    never by doc_id. Other columns aren't read. A word occurs in the shuffle once for each block that has it.
+    Null texts count as empty: no ids, an empty text. Ids of documents become longs (null, where they can't), and may be null
+    or repeat, as words go back to places in blocks and never by doc_id. An empty table gives none. Other columns aren't read.
+    A word occurs in the shuffle once for each block that has it. A very long text is a block of its own.
     """
+    return decode(encode(docs, tokenizer, id_col, text_col), tokenizer, keep_ids=True)
+
+
+def encode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and ids of ``encode_decode``."""
     spec = read_spec(tokenizer or public_tokenizers.path("word_bpe_49k.json"))
-    pieces = vocabulary(spec)
     packed = blocks.pack(docs, "bpe-blocks", id_col, text_col, BLOCK_WORDS)
-    parts = max(1, -(-(packed.agg(F.sum("n_words")).first()[0] or 0) // PARTITION_WORDS))
-    answers = encode_words(word_lists(packed, parts), spec)
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
+    n_words, n_blocks = packed.agg(F.sum("n_words"), F.count("*")).first()
+    cohorts = max(1, -(-n_blocks // COHORT))
+    parts = max(1, -(-(n_words or 0) // (PARTITION_WORDS * cohorts)))
+    answers = encode_words(word_lists(packed, parts, cohorts), spec)
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def assembled(answers: pa.Table, block: pa.Table) -> pa.Table:
         trim()
@@ -163,35 +176,28 @@ def encode_decode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "
                 flat.append(blocks.codes_of(a["ids"], a["total"]).astype(np.int32))
                 at += a["total"]
             flat = np.concatenate(flat) if flat else np.zeros(0, np.int32)
-            # the join of ids with pieces
-            decoded = [" ".join(map(pieces.__getitem__, flat[s : s + n].tolist())) for s, n in zip(start.tolist(), length.tolist())]
             del words, order
             for a, b in blocks.doc_chunks(ends, 1 << 18):
                 mine = codes[ends[a] : ends[b]]
                 n = length[mine]
                 edges = np.concatenate([[0], np.cumsum(n)])[ends[a : b + 1] - ends[a]]
-                # a word may have no ids, if a tokenizer knows none of its characters
-                texts = [" ".join(filter(None, map(decoded.__getitem__, codes[ends[i] : ends[i + 1]].tolist()))) for i in range(a, b)]
                 ids = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(_gather(flat, start[mine], n)))
-                batches.append(pa.RecordBatch.from_arrays([pa.array(row["doc_ids"][a:b], pa.int64()), ids, pa.array(texts, pa.string())], schema=schema))
+                batches.append(pa.RecordBatch.from_arrays([pa.array(row["doc_ids"][a:b], pa.int64()), ids], schema=schema))
         trim()
         return pa.Table.from_batches(batches, schema)
 
-    return answers.groupBy("block").cogroup(packed.drop("n_words").groupBy("block")).applyInArrow(assembled, "doc_id long, ids array<int>, decoded string")
+    return answers.groupBy("block").cogroup(packed.drop("n_words").groupBy("block")).applyInArrow(assembled, "doc_id long, ids array<int>")
 
 
-def decode(coded: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(doc_id, decoded) of any table of ids, whatever made them: a join of exploded ids with the pieces, put together
-    again by position. Ids that the vocabulary lacks are left out, as the tokenizer's own decode does; null or empty
-    lists decode to an empty text. Rows are told apart by a row number, so ids of documents may repeat."""
-    spark = coded.sparkSession
+def decode(coded: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", ids_col: str = "ids", keep_ids: bool = False) -> DataFrame:
+    """(doc_id, [ids,] decoded) of any table of ids, whatever made them: ids meet the broadcast table of pieces, which is
+    in the order of ids, so that an id is its own place in it, and keep their positions. Ids that the vocabulary lacks are
+    left out, as the tokenizer's own decode does; null or empty lists decode to an empty text."""
     spec = read_spec(tokenizer or public_tokenizers.path("word_bpe_49k.json"))
-    table = spark.createDataFrame([(i, p) for i, p in enumerate(vocabulary(spec)) if p is not None], "id int, piece string")
-    rows = coded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"), F.monotonically_increasing_id().alias("row"))
-    rows = rows.select("doc_id", "row", F.posexplode_outer("ids").alias("at", "id"))
-    met = rows.join(F.broadcast(table), "id", "left")
-    parts = F.sort_array(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("at", "piece"))))
-    return met.groupBy("row", "doc_id").agg(F.array_join(F.transform(parts, lambda x: x["piece"]), " ").alias("decoded")).drop("row")
+    pieces = F.from_json(F.lit(json.dumps(vocabulary(spec))), "array<string>")  # a constant of the plan, of checked size
+    found = F.transform(F.col(ids_col), lambda i: F.get(pieces, i))
+    text = F.coalesce(F.array_join(found, " "), F.lit(""))  # leaves nulls out
+    return coded.select(F.col(id_col).alias("doc_id"), *[F.col(ids_col).alias("ids")] * keep_ids, text.alias("decoded"))
 
 
 def digests(coded: DataFrame) -> DataFrame:

@@ -68,6 +68,11 @@ def stage_by(df: DataFrame, name: str, key: str) -> DataFrame:
     return out
 
 
+def boxed(df: DataFrame) -> Column:
+    """All columns of ``df`` as one, so that none of their names can clash with others."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
+
+
 def id_remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text, mod ``n``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, WORD, stage
+from .common import BROADCAST_BYTES, WORD, boxed, join_groups, stage
 
 BUCKET_ROWS = 4096
 WEIGHTS = (5, 2, 1)
@@ -92,13 +92,17 @@ def mix(sized: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE
         .withColumn("buckets", F.ceil(F.col("source_rows") / BUCKET_ROWS))
         .withColumn("schedule", shapes[((F.col("rank") - 1) % cycle).cast("int")])
         .withColumn("source_key", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")))
-        .drop("source", "weight", "source_rows"),
+        .drop("source", "weight"),
         "mix-targets",
     )
-    n_sources, widest = targets.agg(F.count("*"), F.max(F.octet_length("source_key.name"))).first()
-    few = F.broadcast(targets) if n_sources * (200 + (widest or 0)) <= BROADCAST_BYTES else targets
+    n_sources, widest, rows = targets.agg(F.count("*"), F.max(F.octet_length("source_key.name")), F.sum("source_rows")).first()
     key = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
-    placed = keyed.withColumn("source_key", key).join(few, "source_key").withColumn("bucket", F.floor(F.col("place") / _SPAN * F.col("buckets")))
+    named = keyed.withColumn("source_key", key)
+    if n_sources * (200 + (widest or 0)) <= BROADCAST_BYTES:
+        met = named.join(F.broadcast(targets), "source_key")
+    else:  # hot sources are few, and their rows stay where they are
+        met = join_groups(named, targets, "source_key", "source_rows", rows)
+    placed = met.drop("source_rows").withColumn("bucket", F.floor(F.col("place") / _SPAN * F.col("buckets")))
     sums = placed.groupBy("source_key", "bucket").agg(F.sum("size").alias("bucket_size"))
     earlier = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0))).drop("bucket_size")
@@ -125,9 +129,8 @@ def mix_table(docs: DataFrame) -> DataFrame:
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: the rows of ``docs``, as often as they are taken, sorted by range of position."""
-    names = docs.columns
-    boxed = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct(*names).alias("row_values"))
-    taken = mix(boxed).select("row_values", F.explode("positions").alias("position"))
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), boxed(docs).alias("row_values"))
+    taken = mix(rows).select("row_values", F.explode("positions").alias("position"))
     return taken.sort("position", "row_values.doc_id").select("row_values.*")
 
 

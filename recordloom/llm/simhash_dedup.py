@@ -3,9 +3,9 @@
 Texts become fingerprints of 64 bits. Two fingerprints that differ in at most d bits differ in at most d of their eight
 bytes, so at least 8 - d bytes match by position. The index lists fingerprints by positional bytes. A list for one byte
 would hold a 256th of the corpus, so lists are intersected beforehand: an entry is a triple of positional bytes, for
-twenty triples of positions chosen so that any four matching positions contain one of them (for very many fingerprints,
-quadruples; where three matching bytes must do, all 56 triples at every size). For the pairs that meet in a list, matching bytes are tallied, pairs below the guaranteed minimum are
-dropped and the others verified by their differing bits.
+twenty triples of positions chosen so that any four matching positions contain one of them, at every size. For the pairs
+that meet in a list, matching bytes are tallied position by position, pairs below the guaranteed minimum are dropped, and
+only the others are verified by their differing bits.
 
 Equal fingerprints are one class from the start. A list's pairs are compared in place and never written: the list gives
 a spanning forest of its links, which is all that connected components need. Lists over ``LIST`` classes are dealt
@@ -22,14 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_groups, stage, trim
+from .common import boxed as box, join_groups, stage, trim
 from .components import components
 from .hashing import U64, mix
 from .shingle_sets import links as alike, shingle_hashes, sketches
 
 LIST = 2048
-#: From so many classes on, the index takes quadruples of bytes: 70 short lists a fingerprint instead of 20.
-MANY = 1 << 26
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _PLACE = np.arange(8) * 256
 
@@ -60,11 +58,12 @@ def fingerprints(text: Column, shingle: int, count: int) -> Column:
     return made(text)
 
 
-def byte_sets(size: int) -> list[tuple[int, ...]]:
-    """Sets of positions such that any four of the eight contain one: for 3 the cyclic construction on groups of 3, 3
-    and 2 positions (triples within a group, or two of a group and one of the next), for 4 all."""
-    if size == 4:
-        return list(combinations(range(8), 4))
+def byte_sets(matches: int) -> list[tuple[int, ...]]:
+    """Sets of three positions (fewer, where fewer bytes need match) such that any ``matches`` of the eight contain one. For
+    four matches the cyclic construction on groups of 3, 3 and 2 positions will do: triples within a group, or two of a group
+    and one of the next."""
+    if matches < 4:
+        return list(combinations(range(8), matches))
     group = lambda i: min(i // 3, 2)
     chosen = []
     for t in combinations(range(8), 3):
@@ -74,13 +73,6 @@ def byte_sets(size: int) -> list[tuple[int, ...]]:
     return chosen
 
 
-def index_sets(matches: int, classes: int) -> list[tuple[int, ...]]:
-    """Sets of positions such that any ``matches`` of the eight contain one, whatever the number of classes."""
-    if matches < 4:
-        return list(combinations(range(8), matches))
-    return byte_sets(3 if classes < MANY else 4)
-
-
 def _keys(fingerprint: Column, sets: list[tuple[int, ...]], table: int) -> list[Column]:
     byte = lambda i: F.shiftright(fingerprint, 8 * i).bitwiseAND(F.lit(255))
     out = []
@@ -96,14 +88,17 @@ def _forest(runs: np.ndarray, prints: np.ndarray, matches: int, bits: int) -> np
     """For rows sorted by run: the position of each row's root in a spanning forest of the links within runs."""
     n = len(runs)
     root = np.arange(n)
+    planes = np.ascontiguousarray(prints).view(np.uint8).reshape(n, prints.shape[1], 8)
     last = np.searchsorted(runs, runs, "right") - 1
     at, step = np.flatnonzero(last > np.arange(n)), 1
     while len(at):
         pair = at[root[at] != root[at + step]]  # what is connected needs no comparison
         if len(pair):
-            x = prints[pair] ^ prints[pair + step]
-            tally = (x.view(np.uint8).reshape(len(pair), -1, 8) == 0).sum(2).max(1)
-            linked = pair[(tally >= matches) & (np.bitwise_count(x).sum(1) <= bits)]
+            tally = np.zeros((len(pair), prints.shape[1]), np.int8)  # shared positional bytes, by fingerprint
+            for place in range(8):
+                tally += planes[pair, :, place] == planes[pair + step, :, place]
+            pair = pair[tally.max(1) >= matches]
+            linked = pair[np.bitwise_count(prints[pair] ^ prints[pair + step]).sum(1) <= bits]
             for i in linked.tolist():
                 a, b = i, i + step
                 while root[a] != a:
@@ -178,7 +173,7 @@ def _scan(count: int, matches: int, bits: int, limit: int):
 def links(classes: DataFrame, count: int, bits: int, matches: int, limit: int = LIST) -> DataFrame:
     """Edges (a, b) between classes (cls, prints) that connect all whose fingerprints meet in the index with at least
     ``matches`` bytes in one of them and differ in ``bits`` at most over all of them."""
-    sets = index_sets(matches, classes.count())
+    sets = byte_sets(matches)
     prints = [F.col("prints")[i].alias(f"f{i}") for i in range(count)]
     keys = [k for i in range(count) for k in _keys(F.col("prints")[i], sets, i * len(sets))]
     entries = classes.select("cls", *prints, F.explode(F.array(*keys)).alias("key"))
@@ -256,13 +251,15 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     """``docs`` with one document of each group of near copies, that of the smallest id, and all its columns.
 
     Unlike ``near_groups`` this goes by similarity, see ``alike_groups``. Rows that repeat whole, id included, stay or go
-    together.
+    together. Null and blank texts are near copies of each other; columns may have any names; an empty table stays empty.
     """
     groups = stage(alike_groups(docs, shingle, similarity, id_col, text_col), "simhash-groups")
     # of equal (id, text), none goes if one stays
     stays = F.max(F.col("kept").cast("int"))
     gone = groups.groupBy("doc_id", "text_hash").agg(stays.alias("stays")).where("stays = 0").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("gone_id")) & F.xxhash64(docs[text_col]).eqNullSafe(F.col("gone_hash")), "left_anti")
+    boxed = docs.select(box(docs).alias("row_values"))
+    own = F.col(f"row_values.`{id_col}`"), F.xxhash64(F.col(f"row_values.`{text_col}`"))
+    return boxed.join(gone, own[0].eqNullSafe(F.col("gone_id")) & own[1].eqNullSafe(F.col("gone_hash")), "left_anti").select("row_values.*")
 
 
 def table(groups: DataFrame) -> DataFrame:

@@ -96,7 +96,7 @@ def _spread(p: Pieces, chosen: np.ndarray) -> np.ndarray:
     return np.repeat(first - (total - n), n) + np.arange(int(n.sum()))
 
 
-def repeated_spans(docs: DataFrame, k: int = K, sub: int = SUB, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, k: int = K, sub: int = SUB, id_col: str = "doc_id", text_col: str = "text", block_words: int = blocks.BLOCK_WORDS) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, removed (spans of words: first, words) and kept, the other
     words with a space between.
 
@@ -106,7 +106,7 @@ def repeated_spans(docs: DataFrame, k: int = K, sub: int = SUB, id_col: str = "d
     """
     if not 1 <= sub <= k:
         raise ValueError("sub must be from 1 to k")
-    packed = blocks.pack(docs, "span-blocks", id_col, text_col)
+    packed = blocks.pack(docs, "span-blocks", id_col, text_col, block_words)
     by_block = packed.groupBy("block")
 
     def minimizers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

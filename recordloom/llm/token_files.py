@@ -77,7 +77,7 @@ def place_of(ids: np.ndarray, ties: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the ids of all documents, each followed by ``end``, to a new folder.
 
-    Null texts count as empty, and so have the end id only. Ids are cast to long; those that don't fit are null. Null ids come
+    Null texts count as empty, and so have the end id only. Ids become longs; those that can't are null. Null ids come
     first, as if they were the least long; documents that share an id follow each other by a hash of their texts, then by
     their token ids. Any number of rows may share an id. There are as many ranges as ``docs`` has partitions or the cluster
     cores, whichever is more. A document of more than ``SEGMENT_IDS`` ids is a segment of its own. Other columns aren't read.
@@ -94,7 +94,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = E
         coded = F.concat(F.lit(b"\x01"), text.cast("binary"))
     kind = np.dtype(f"<u{width}")
     last = np.array([end], kind).tobytes()
-    doc_id = F.try_to_number(F.col(id_col), F.lit("S99999999999999999999")).cast("long") if dict(docs.dtypes)[id_col] == "string" else F.col(id_col).cast("long")
+    doc_id = F.col(id_col).try_cast("long")
     keyed = docs.select(doc_id.alias("doc_id"), F.xxhash64(text).alias("tie"), coded.alias("coded"))
     least = F.coalesce(doc_id, F.lit(-(2**63)))
     ranges = max(docs.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)

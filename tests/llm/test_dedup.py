@@ -60,6 +60,37 @@ def test_filter_has_no_false_negatives(spark):
     assert sum(r.possible for r in rows if many[r.h] == 1) < 40
 
 
+def test_exact_is_the_same_whatever_fits_a_broadcast(make, texts, monkeypatch):
+    docs = make(texts + texts[:9], ids=[*range(len(texts)), *range(9)])
+    results = []
+    for most in (64 << 20, 1):  # then nothing is broadcast by pass two, and the second filter is a single bucket
+        monkeypatch.setattr(exact_dedup, "BROADCAST_BYTES", most)
+        results.append((sorted(map(str, exact_dedup.exact_groups(docs).collect())), sorted(map(str, exact_dedup.drop_exact_duplicates(docs).collect()))))
+    assert results[0] == results[1]
+
+
+def test_exact_drop_keeps_everything_with_a_full_filter(make, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BUCKET_BITS", 8)  # nearly every row seems to repeat
+    monkeypatch.setattr(exact_dedup, "BROADCAST_BYTES", 1)
+    texts = [f"t{i % 60}" for i in range(100)]
+    assert sorted(r.doc_id for r in exact_dedup.drop_exact_duplicates(make(texts)).collect()) == list(range(40, 100))
+
+
+def test_equal_ids_and_texts_with_other_columns_rerun_alike(spark):
+    rows = [(1, "a b", f"s{i}", {"k": i}) for i in range(20)] + [(None, "A b", "z", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `so.urce` string, m map<string,int>")
+    kept = [exact_dedup.drop_exact_duplicates(docs.repartition(n)).collect() for n in (1, 7)]
+    assert kept[0] == kept[1] and len(kept[0]) == 1
+
+
+def test_dropping_bears_any_names(spark):
+    names = "doc_id long, text string, gone_id long, gone_hash long, row_values string, text_sha256 string, possible string, bucket string, keep_id long, cls long, best string"
+    docs = spark.createDataFrame([(i, f"w{i // 2} x y z a b c", 1, 2, "v", "h", "p", "b", 3, 4, "n") for i in range(10)], names)
+    assert sorted(r.doc_id for r in exact_dedup.drop_exact_duplicates(docs).collect()) == [1, 3, 5, 7, 9]
+    got = simhash_dedup.drop_near_duplicates(docs)
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [0, 2, 4, 6, 8]
+
+
 def test_empty_tables(make):
     none = make(["x"]).limit(0)
     assert exact_dedup.exact_groups(none).count() == exact_dedup.drop_exact_duplicates(none).count() == 0
@@ -128,10 +159,8 @@ def test_simhash_groups(make, texts):
 
 
 def test_four_matching_bytes_share_a_list():
-    for size in (3, 4):
-        sets = simhash_dedup.byte_sets(size)
-        assert all(any(set(s) <= set(four) for s in sets) for four in combinations(range(8), 4))
-    assert len(simhash_dedup.byte_sets(3)) == 20
+    sets = simhash_dedup.byte_sets(4)
+    assert all(any(set(s) <= set(four) for s in sets) for four in combinations(range(8), 4)) and len(sets) == 20
 
 
 @pytest.mark.parametrize("limit", [3, 2048])
@@ -183,14 +212,13 @@ def test_repeated_spans(make, texts, k, sub):
 
 
 def test_repeats_over_blocks_and_within(make, monkeypatch):
-    from recordloom.llm import blocks
-
     rng = random.Random(2)
     unit = " ".join(f"u{rng.randint(0, 99)}" for _ in range(50))
     texts = [f"{unit} x{i} {unit}" for i in range(8)] + ["la " * 100, " ".join(f"z{i}" for i in range(99))]
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.repeated_spans(make(texts).repartition(5)).collect()}
-    assert [got[i] for i in range(len(texts))] == plain_removal(texts, 35)
-    assert blocks.BLOCK_WORDS >= 1 << 20
+    expected = plain_removal(texts, 35)
+    for most in (1 << 20, 120):  # one block, or many of one document or two
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.repeated_spans(make(texts).repartition(2), block_words=most).collect()}
+        assert [got[i] for i in range(len(texts))] == expected
 
 
 def test_repeated_rows_are_copies(make):

@@ -1,4 +1,4 @@
-"""The byte index finds what links() promises, at every size of the table."""
+"""The byte index finds what links() promises."""
 
 import random
 from itertools import combinations
@@ -9,17 +9,14 @@ import pytest
 from recordloom.llm import components, simhash_dedup
 
 
-@pytest.mark.parametrize("classes", [10, simhash_dedup.MANY])
 @pytest.mark.parametrize("matches", [3, 4, 5])
-def test_matching_bytes_share_a_list(matches, classes):
-    sets = simhash_dedup.index_sets(matches, classes)
+def test_matching_bytes_share_a_list(matches):
+    sets = simhash_dedup.byte_sets(matches)
     assert all(any(set(s) <= set(some) for s in sets) for some in combinations(range(8), matches))
 
 
-@pytest.mark.parametrize("many", [1 << 26, 1])
-def test_three_matching_bytes_link(spark, monkeypatch, many):
-    """Pairs with exactly three bytes alike, in every position, below and above the switch by size."""
-    monkeypatch.setattr(simhash_dedup, "MANY", many)
+def test_three_matching_bytes_link(spark):
+    """Pairs with exactly three bytes alike, in every position."""
     rng = random.Random(6)
     rows, pairs = [], []
     for n, same in enumerate(combinations(range(8), 3)):
@@ -30,3 +27,11 @@ def test_three_matching_bytes_link(spark, monkeypatch, many):
     edges = simhash_dedup.links(spark.createDataFrame(rows, "cls long, prints array<long>"), 1, 5, 3)
     roots = {r.node: r.root for r in components.components(edges).collect()}
     assert all(roots.get(a) == roots.get(b) == a for a, b in pairs)
+
+
+def test_count_filter_comes_before_the_bits():
+    """Of two pairs in a list with as many differing bits, only the one with enough matching bytes is retained."""
+    spread, dense = sum(1 << 8 * i for i in range(5)), 0b11111
+    prints = np.array([[0], [spread], [1 << 40], [(1 << 40) ^ dense]], np.uint64)
+    root = simhash_dedup._forest(np.array([0, 0, 1, 1]), prints, 4, 5)
+    assert root.tolist() == [0, 1, 2, 2]
