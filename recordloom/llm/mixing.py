@@ -79,7 +79,8 @@ def mix(sized: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE
 
     A document's n-th copy is taken if its middle lies within the source's target, so each source's taken words differ
     from its target by half a document at most. The order within a source is the md5 of doc_id, then doc_id; rows that
-    share a doc_id take places next to each other by size. Null is a source of its own, last in rank. A source without
+    share a doc_id, null among them, take places next to each other by size; those equal in both share their places out in
+    an order of Spark's, so that any of them may be the one that is taken more often. Null is a source of its own, last in rank. A source without
     words has target 0. Reruns agree as nothing depends on partitions.
     """
     keyed = sized.withColumn("place", F.expr(_HASH.format(id="doc_id")).cast("double")).withColumn("place", F.coalesce("place", F.lit(0.0)))
@@ -150,15 +151,23 @@ WITH d AS (
 ), f AS (
   SELECT *, 2.0::DOUBLE * source_size <= own_level * weight AS is_full FROM l
 ), t AS (
-  SELECT source, source_size, CASE WHEN is_full THEN 2.0::DOUBLE * source_size
+  SELECT source, source_size, (rank - 1) % 3 AS kind, CASE WHEN is_full THEN 2.0::DOUBLE * source_size
          ELSE (SELECT arg_min(own_level, (source_size / weight, rank)) FROM f WHERE NOT is_full) * weight END AS target
   FROM f
 ), p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
-         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE + d.size / 2.0::DOUBLE AS middle
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.kind,
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), q AS (
+  SELECT *, start + size / 2.0::DOUBLE AS middle, CASE WHEN target = 0 THEN 0.0::DOUBLE ELSE least(start / target, 1.0::DOUBLE) END AS part,
+         [CASE kind WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 1.5::DOUBLE ELSE 0.5::DOUBLE END / 3.0::DOUBLE, 1.0::DOUBLE / 3.0::DOUBLE,
+          CASE kind WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.5::DOUBLE ELSE 1.5::DOUBLE END / 3.0::DOUBLE] AS own
+  FROM p
 )
 SELECT doc_id, size, source_size, target, (middle <= target)::INT + (middle + source_size <= target)::INT AS copies,
-       size * ((middle <= target)::INT + (middle + source_size <= target)::INT)::BIGINT AS taken
-FROM p
+       size * ((middle <= target)::INT + (middle + source_size <= target)::INT)::BIGINT AS taken,
+       CASE WHEN middle <= target THEN least(1.0::DOUBLE,
+         greatest(0.0::DOUBLE, least(1.0::DOUBLE, part / own[1])) / 3 + greatest(0.0::DOUBLE, least(1.0::DOUBLE, (part - own[1]) / own[2])) / 3
+         + greatest(0.0::DOUBLE, least(1.0::DOUBLE, (part - (own[1] + own[2])) / own[3])) / 3) END AS first_position
+FROM q
 """

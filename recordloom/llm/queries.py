@@ -48,7 +48,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_table(_documents(spark, sf_dir)).drop("first_position")
+    return mixing.mix_table(_documents(spark, sf_dir))
 
 
 QUERIES = {
