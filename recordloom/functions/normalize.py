@@ -16,34 +16,43 @@ from ..config import NormConfig
 _SPACES = re.compile(r"\s+")
 
 
-@lru_cache(8)
-def character_table(fold_latin: bool, punctuation_to_space: bool) -> dict[int, str]:
-    """What each character becomes, for those that change. Letters, marks and numbers stay, Latin letters lose their
-    accents, controls, format characters and surrogates go, private use and separators are spaces, punctuation and
+class CharacterTable(dict):
+    """What each character becomes, worked out when it is first met. Letters, marks and numbers stay, Latin letters lose
+    their accents, controls, format characters and surrogates go, private use and separators are spaces, punctuation and
     symbols are spaces or go. Unassigned code points stay."""
-    becomes = {"Cc": "", "Cf": "", "Cs": "", "Co": " "}
-    table = {}
-    for point in range(0x110000):
+
+    def __init__(self, fold_latin: bool, punctuation_to_space: bool):
+        self.fold_latin, self.punctuation = fold_latin, " " if punctuation_to_space else ""
+
+    def __missing__(self, point: int) -> str:
         char = chr(point)
         kind = unicodedata.category(char)
+        out = char
         if kind[0] == "L":
-            if fold_latin and unicodedata.name(char, "").startswith("LATIN"):
-                plain = "".join(c for c in unicodedata.normalize("NFD", char) if not unicodedata.combining(c))
-                if plain and plain != char:
-                    table[point] = plain
-        elif kind in becomes:
-            table[point] = becomes[kind]
-        elif kind[0] == "Z":
-            table[point] = " "
+            if self.fold_latin and unicodedata.name(char, "").startswith("LATIN"):
+                out = "".join(c for c in unicodedata.normalize("NFD", char) if not unicodedata.combining(c)) or char
+        elif kind in ("Cc", "Cf", "Cs"):
+            out = ""
+        elif kind == "Co" or kind[0] == "Z":
+            out = " "
         elif kind[0] in "PS":
-            table[point] = " " if punctuation_to_space else ""
-    return table
+            out = self.punctuation
+        self[point] = out
+        return out
+
+
+@lru_cache(8)
+def character_table(fold_latin: bool, punctuation_to_space: bool) -> CharacterTable:
+    return CharacterTable(fold_latin, punctuation_to_space)
 
 
 def normalize_text(value: object, config: NormConfig = NormConfig()) -> str:
     """A name or address in its normal form; "" for null and NaN, ``str`` of what isn't a string."""
     if value is None or value != value:
         return ""
+    if isinstance(value, str) and value.isascii() and value.isalnum():  # one plain word: nothing to fold or cut at
+        plain = value.lower()
+        return plain[: config.max_length] if config.max_length else plain
     text = unicodedata.normalize(config.form, str(value)).translate(character_table(config.fold_latin, config.punctuation_to_space))
     text = text.lower() if config.case == "lower" else text.casefold()
     text = _SPACES.sub(" ", text).strip()

@@ -105,10 +105,14 @@ def bounded_levenshtein(a: Column, b: Column, cap: Column, most: int) -> Column:
     return F.when((d < 0) | (d > cap), cap + 1).otherwise(d)
 
 
-def provenance(blockers: Column) -> tuple[Column, Column, Column]:
-    """Whether exact_name, token and char_ngram are among labels such as ``source2:token``."""
-    kinds = F.transform(blockers, lambda x: F.split_part(x, F.lit(":"), F.lit(2)))
-    return tuple(F.array_contains(kinds, kind) for kind in ("exact_name", "token", "char_ngram"))
+# The blockers' names in provenance labels, in the order of their bits and of a pair's labels.
+BLOCKERS = ("exact_name", "token", "char_ngram", "suffix_stripped")
+
+
+def provenance(blockers: Column, kinds: tuple[str, ...] = BLOCKERS[:3]) -> tuple[Column, ...]:
+    """Whether each kind is among labels such as ``source2:token``."""
+    found = F.transform(blockers, lambda x: F.split_part(x, F.lit(":"), F.lit(2)))
+    return tuple(F.array_contains(found, kind) for kind in kinds)
 
 
 def evidence(c: Column, digits: int) -> Column:
@@ -125,6 +129,7 @@ def _grams(n: int) -> Callable[[Column], Column]:
     return lambda: F.when(F.length("name_key") < n, _one(F.col("name_key"))).otherwise(ngrams(F.col("name_key"), n))
 
 
+# The names of proposals are values of a result column.
 #: Keys that a new blocker might use, as distinct keys of a record's normalized columns.
 PROPOSALS: dict[str, Callable[[], Column]] = {
     "token_any": lambda: token_set(F.col("name_norm")),

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from ..config import KeyConfig, LinkConfig
 from ..functions import text
 from ..functions.ids import id_number
+from ..sources.session import staged
 from . import keys
 
 #: Blockers in the order in which a pair lists them.
-ORDER = ("exact_name", "token", "char_ngram", "suffix_stripped")
+ORDER = text.BLOCKERS
 
 
 def _by_key(s1: DataFrame, targets: DataFrame, key) -> DataFrame:
@@ -39,7 +40,7 @@ def block_suffix(s1: DataFrame, targets: DataFrame) -> DataFrame:
 def _shared_rarest(s1: DataFrame, targets: DataFrame, kind: str, config: KeyConfig) -> DataFrame:
     make = keys.token_keys if kind == "token" else keys.trigram_keys
     target_keys = make(targets)
-    df = keys.document_frequency(target_keys)
+    df = staged(keys.document_frequency(target_keys), "frequencies")
     own = keys.rarest(target_keys, df, config).select("source", "key", "df", F.col("entity_id").alias("target_id"), F.col("rank").alias("target_rank"))
     ask = keys.rarest(make(s1.drop("source")), df, config).select("source", "key", F.col("entity_id").alias("s1_id"), F.col("rank").alias("s1_rank"))
     return ask.join(own, ["source", "key"])

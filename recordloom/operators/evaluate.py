@@ -41,6 +41,20 @@ def counters(truth: DataFrame, marked: DataFrame, at: Sequence[int] = ()) -> Dat
     return truth.join(by_entity, "s1_id", "left").fillna(0, [a for a in by_entity.columns if a != "s1_id"])
 
 
+def counters_by_source(truth: DataFrame, marked: DataFrame, sources: Sequence[int] = (2, 3)) -> DataFrame:
+    """``counters``, and candidates and hits of each source by itself."""
+    of = lambda s: F.col("source") == s
+    aggs = [x for s in sources for x in (F.count_if(of(s)).alias(f"n_candidates_source{s}"), F.sum(F.when(of(s), F.col("is_true")).otherwise(0)).alias(f"n_hits_source{s}"))]
+    own = marked.groupBy("s1_id").agg(F.count("*").alias("n_candidates"), F.sum("is_true").alias("n_hits"), *aggs)
+    return truth.join(own, "s1_id", "left").fillna(0, [c for c in own.columns if c != "s1_id"])
+
+
+def unknown_rows(truth: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Candidate rows and entities that the truth doesn't know, which no metric counts."""
+    strange = candidates.join(truth.select("s1_id"), "s1_id", "left_anti")
+    return strange.agg(F.count("*").alias("n_unknown_rows"), F.count_distinct("s1_id").alias("n_unknown_entities"))
+
+
 def _measures() -> list[Column]:
     n, c, h = F.col("n_true"), F.col("n_candidates"), F.col("n_hits")
     matched = n > 0

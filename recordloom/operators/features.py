@@ -37,6 +37,8 @@ TYPES = {
     "country_equal": "byte",
     "country_missing": "byte",
 }
+#: What must lie between 0 and 1.
+UNIT = ("name_token_jaccard", "name_token_set_ratio", "name_token_sort_ratio", "name_partial_ratio", "name_char3_jaccard", "name_length_ratio", "address_token_jaccard", "address_length_ratio", "char_jaccard")
 FUZZY = ("name_token_set_ratio", "name_token_sort_ratio", "name_partial_ratio")
 PROVENANCE = ("token_df", "char_jaccard", "blocker_exact_name", "blocker_token", "blocker_char_ngram", "n_blockers", "s1_candidate_count", "source_is_s2")
 IDS = ("s1_id", "target_id", "source")
@@ -100,13 +102,39 @@ def pair_features(candidates: DataFrame, s1: DataFrame, targets: DataFrame, fuzz
     return rows.select(*IDS, *[v.alias(n) for n, v in made.items()], ok.cast("byte").alias("text_join_ok"))
 
 
+def _in_unit(name: str) -> Column:
+    inside = (F.col(f"{name}__l") >= 0) & (F.col(f"{name}__g") <= 1)
+    return F.coalesce(inside, F.lit(True)) if name in UNIT else F.lit(None).cast("boolean")
+
+
+def assert_unit(stats: DataFrame) -> None:
+    """Raises ValueError with the features that leave the interval, of ``feature_stats``."""
+    if out := [r.feature for r in stats.where("not in_unit_interval").select("feature").collect()]:
+        raise ValueError(f"not between 0 and 1: {', '.join(sorted(out))}")
+
+
+def accounting(candidates: DataFrame, made: DataFrame, sampled: bool = False) -> DataFrame:
+    """(check, expected, found, holds): what must hold between candidates and their features. ``sampled`` where features
+    are of a part of the entities: then each entity that is there must be there with all its candidates."""
+    if sampled:
+        candidates = candidates.join(made.select("s1_id").distinct(), "s1_id", "left_semi")
+    count = lambda df: df.agg(F.count("*").alias("rows"), F.count_distinct("s1_id").alias("entities"), F.count_distinct("s1_id", "target_id").alias("pairs"))
+    a, b = (count(df).select(F.struct("*").alias(n)) for df, n in ((candidates, "a"), (made, "b")))
+    by_entity = made.groupBy("s1_id").agg(F.count("*").alias("n"), F.max("s1_candidate_count").alias("said"), F.min("s1_candidate_count").alias("least"))
+    c = by_entity.agg(F.count("*").alias("entities"), F.count_if((F.col("n") == F.col("said")) & (F.col("n") == F.col("least"))).alias("right")).select(F.struct("*").alias("c"))
+    one = a.join(F.broadcast(b)).join(F.broadcast(c))
+    checks = {"rows_are_lossless": ("a.rows", "b.rows"), "entities_are_lossless": ("a.entities", "b.entities"), "pairs_are_lossless": ("a.pairs", "b.pairs"), "candidate_counts_are_whole": ("c.entities", "c.right")}
+    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("check"), F.col(x).alias("expected"), F.col(y).alias("found"), (F.col(x) == F.col(y)).alias("holds")) for k, (x, y) in checks.items()])).alias("x")).select("x.*")
+
+
 def feature_stats(features: DataFrame) -> DataFrame:
-    """(feature, n, n_missing, least, greatest, in_unit_interval) in a row a feature."""
+    """(feature, n, n_missing, least, greatest, in_unit_interval) in a row a feature; the last is null for features without
+    that bound, and true where there is no value."""
     names = [c for c in features.columns if c in TYPES]
     aggs = [x for n in names for x in (F.count_if(F.col(n).isNull()).alias(f"{n}__m"), F.min(n).cast("double").alias(f"{n}__l"), F.max(n).cast("double").alias(f"{n}__g"))]
     one = features.agg(F.count("*").alias("n"), *aggs)
     parts = [
-        F.struct(F.lit(n).alias("feature"), F.col("n"), F.col(f"{n}__m").alias("n_missing"), F.round(F.col(f"{n}__l"), 6).alias("least"), F.round(F.col(f"{n}__g"), 6).alias("greatest"))
+        F.struct(F.lit(n).alias("feature"), F.col("n"), F.col(f"{n}__m").alias("n_missing"), F.round(F.col(f"{n}__l"), 6).alias("least"), F.round(F.col(f"{n}__g"), 6).alias("greatest"), _in_unit(n).alias("in_unit_interval"))
         for n in names
     ]
     return one.select(F.explode(F.array(*parts)).alias("x")).select("x.*")

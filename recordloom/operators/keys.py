@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import KeyConfig
 from ..functions import text
+from ..sources.session import staged
 
 
 def token_keys(records: DataFrame) -> DataFrame:
@@ -32,10 +33,21 @@ def vocabulary(keys: DataFrame) -> DataFrame:
     return keys.groupBy("source", "key").agg(F.min("place").alias("first"))
 
 
+#: Keys over a cap that are broadcast, at most.
+MOST_OVER = 1 << 18
+
+
+def _below_cap(keys: DataFrame, df: DataFrame, on: list[str], cap: int) -> DataFrame:
+    """``keys`` without those that are over the cap wherever they occur."""
+    over = df.groupBy(*on).agg(F.min("df").alias("least")).where(F.col("least") > cap).select(*on)
+    return keys.join(F.broadcast(over), on, "left_anti") if over.limit(MOST_OVER + 1).count() <= MOST_OVER else keys
+
+
 def rarest(keys: DataFrame, df: DataFrame, config: KeyConfig) -> DataFrame:
     """(source, entity_id, key, df, rank): each record's ``rarest`` keys by (df, order of the vocabulary).
 
-    The cap is applied below the window, as only eligible keys are ranked. Tokens that are equally rare go by their first
+    The cap is applied below the window, as only eligible keys are ranked, and below the join too: keys over the cap, of
+    which there are few though they own most rows, are taken out before anything is shuffled by key. Tokens that are equally rare go by their first
     occurrence in the targets, trigrams by their code points. Keys without a source, those of the reference side, meet
     the frequencies of every source.
     """
@@ -43,14 +55,14 @@ def rarest(keys: DataFrame, df: DataFrame, config: KeyConfig) -> DataFrame:
     on = [c for c in ("source", "key") if c in keys.columns]
     order = ["df", "first"] if "first" in df.columns else ["df", "key"]
     rank = F.row_number().over(Window.partitionBy("source", "entity_id").orderBy(*order))
-    met = keys.drop("place").join(eligible, on).withColumn("rank", rank)
+    met = _below_cap(keys.drop("place"), df, on, config.df_cap).join(eligible, on).withColumn("rank", rank)
     return met.where(F.col("rank") <= config.rarest).select("source", "entity_id", "key", "df", "rank")
 
 
 def postings(targets: DataFrame, kind: str, config: KeyConfig) -> DataFrame:
     """The inverted index of a blocker as a table; saved and loaded as such, or bucketed by key."""
     keys = token_keys(targets) if kind == "token" else trigram_keys(targets)
-    return rarest(keys, document_frequency(keys), config)
+    return rarest(keys, staged(document_frequency(keys), "frequencies"), config)
 
 
 def describe(index: DataFrame, targets: DataFrame) -> DataFrame:

@@ -8,22 +8,23 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.similarity import scripts_udf
 from ..operators.evaluate import ceiling, counters, mark_true
+from ..operators.ordered import numbered
 
-KINDS = ("exact_name", "token", "char_ngram")
+KINDS = text.BLOCKERS[:3]
 
 
-def masked(candidates: DataFrame, true_pairs: DataFrame, truth: DataFrame) -> DataFrame:
-    """Candidates of known entities with mask (1, 2, 4 for KINDS) and is_true."""
-    flags = text.provenance(F.col("blockers"))
+def masked(candidates: DataFrame, true_pairs: DataFrame, truth: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """Candidates of known entities with mask (1, 2, 4 and so on for ``kinds``) and is_true."""
+    flags = text.provenance(F.col("blockers"), kinds)
     mask = sum((f.cast("int") * (1 << i) for i, f in enumerate(flags)), F.lit(0))
     return mark_true(candidates.withColumn("mask", mask), true_pairs).join(truth.select("s1_id"), "s1_id", "left_semi")
 
 
-def blocker_table(rows: DataFrame, true_pairs: DataFrame) -> DataFrame:
+def blocker_table(rows: DataFrame, true_pairs: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """For each blocker: pairs found, rows, precision, and what the union would lose without it."""
     hit = F.col("is_true") == 1
     has = lambda i: F.col("mask").bitwiseAND(F.lit(1 << i)) > 0
-    aggs = [x for i in range(3) for x in (F.count_if(hit & has(i)).alias(f"t{i}"), F.count_if(has(i)).alias(f"r{i}"), F.count_if(hit & (F.col("mask") == 1 << i)).alias(f"o{i}"), F.count_if(F.col("mask") == 1 << i).alias(f"q{i}"))]
+    aggs = [x for i in range(len(kinds)) for x in (F.count_if(hit & has(i)).alias(f"t{i}"), F.count_if(has(i)).alias(f"r{i}"), F.count_if(hit & (F.col("mask") == 1 << i)).alias(f"o{i}"), F.count_if(F.col("mask") == 1 << i).alias(f"q{i}"))]
     one = rows.agg(F.count("*").alias("n_rows"), *aggs).join(true_pairs.agg(F.count("*").alias("n_true")))
     parts = [
         F.struct(
@@ -36,7 +37,7 @@ def blocker_table(rows: DataFrame, true_pairs: DataFrame) -> DataFrame:
             F.col(f"o{i}").alias("pairs_only_this_blocker_finds"),
             F.col(f"q{i}").alias("rows_where_only_this_blocker_fires"),
         )
-        for i, k in enumerate(KINDS)
+        for i, k in enumerate(kinds)
     ]
     return one.select(F.explode(F.array(*parts)).alias("x")).select("x.*")
 
@@ -54,10 +55,13 @@ def entity_accounting(by_entity: DataFrame) -> DataFrame:
     """Entities covered fully, in part or not, rows spent on entities without a match, and how concentrated misses are."""
     n, c, h = F.col("n_true"), F.col("n_candidates"), F.col("n_hits")
     miss = n - h
-    worst = Window.orderBy(F.desc("miss"), "s1_id")
-    missed = by_entity.select("s1_id", miss.alias("miss")).where("miss > 0")
-    ranked = missed.withColumns({"r": F.row_number().over(worst), "k": F.count("*").over(Window.partitionBy())})
-    decile = ranked.agg(F.round(text.safe_div(F.coalesce(F.sum(F.when(F.col("r") <= F.greatest(F.lit(1), F.floor(F.col("k") / 10)), F.col("miss"))), F.lit(0)), F.sum("miss")), 6).alias("missed_pairs_worst_decile_share"))
+    # who is in the worst tenth matters less than how much is missed there: entities are counted by what they miss, and the
+    # levels from the worst down are taken as far as the tenth goes
+    levels = by_entity.select(miss.alias("miss")).where("miss > 0").groupBy("miss").agg(F.count("*").alias("n"))
+    levels = levels.agg(F.sum("n").alias("k"), F.sum(F.col("miss") * F.col("n")).alias("all"), F.array_sort(F.collect_list(F.struct((-F.col("miss")).alias("less"), "n"))).alias("levels"))
+    tenth = F.greatest(F.lit(1).cast("long"), F.floor(F.col("k") / 10))
+    taken = F.aggregate("levels", F.struct(tenth.alias("left"), F.lit(0).cast("long").alias("miss")), lambda a, x: F.struct((a["left"] - F.least(a["left"], x["n"])).alias("left"), (a["miss"] - x["less"] * F.least(a["left"], x["n"])).alias("miss")))
+    decile = levels.select(F.round(text.safe_div(F.coalesce(taken["miss"], F.lit(0)), F.col("all")), 6).alias("missed_pairs_worst_decile_share"))
     recall = F.coalesce(F.avg(F.when(n > 0, h / n)), F.lit(0.0))
     one = by_entity.agg(
         F.count("*").alias("entities_scored"),
@@ -69,6 +73,7 @@ def entity_accounting(by_entity: DataFrame) -> DataFrame:
         F.count_if((c == 0) & (n > 0)).alias("entities_with_zero_candidates_and_matches"),
         F.coalesce(F.sum(F.when(n == 0, c)), F.lit(0)).alias("candidate_rows_on_no_match_entities"),
         F.round(F.percentile(c, 0.5), 6).alias("rows_p50"),
+        F.round(F.percentile(c, 0.9), 6).alias("rows_p90"),
         F.round(F.percentile(c, 0.99), 6).alias("rows_p99"),
         F.round(recall, 6).alias("macro_recall"),
         F.round(ceiling(recall), 6).alias("f05_ceiling"),
@@ -97,9 +102,12 @@ def diagnose(pairs: DataFrame, scripts: bool = True) -> DataFrame:
     prefix = (shorter != "") & F.startswith(longer, shorter)
     if scripts:
         pairs = pairs.withColumns({"scripts_a": scripts_udf(x), "scripts_b": scripts_udf(y)})
+        latin = lambda c: (F.size(c) > 0) & ~F.array_contains(c, "LATIN")
+        pairs = pairs.withColumns({"non_latin_a": latin("scripts_a"), "non_latin_b": latin("scripts_b")})
         cross = (F.size("scripts_a") > 0) & (F.size("scripts_b") > 0) & ~F.arrays_overlap("scripts_a", "scripts_b")
     else:
         cross = F.lit(False)
+    # fixed values: causes are values of a result column, and the first that fits decides
     cause = F.when((x == "") | (y == ""), "empty_normalized_name")
     for rule, name in (
         (x == y, "DEFECT_identical_name_not_retrieved"),
@@ -114,8 +122,17 @@ def diagnose(pairs: DataFrame, scripts: bool = True) -> DataFrame:
         (content > 0, "char_overlap_below_threshold"),
     ):
         cause = cause.when(rule, name)
+    blank = lambda c: F.col(c) == ""
     return pairs.withColumns(
         {
+            "name_a_empty": x == "",
+            "name_b_empty": y == "",
+            "address_a_blank": blank("a_address_norm"),
+            "address_b_blank": blank("b_address_norm"),
+            "address_both_blank": blank("a_address_norm") & blank("b_address_norm"),
+            "country_a_blank": blank("a_country_norm"),
+            "country_b_blank": blank("b_country_norm"),
+            "country_both_blank": blank("a_country_norm") & blank("b_country_norm"),
             "name_equal": x == y,
             "cross_script": cross,
             "token_count_a": F.size(tx),
@@ -138,28 +155,45 @@ def diagnose(pairs: DataFrame, scripts: bool = True) -> DataFrame:
     )
 
 
-def cause_table(diagnosed: DataFrame) -> DataFrame:
-    return diagnosed.groupBy("primary_cause").agg(F.count("*").alias("n_pairs"), F.round(F.avg("token_jaccard"), 6).alias("mean_token_jaccard"), F.round(F.avg("trigram_jaccard"), 6).alias("mean_trigram_jaccard"), F.round(F.avg("address_jaccard"), 6).alias("mean_address_jaccard"))
+def cause_table(diagnosed: DataFrame, by: str | None = None) -> DataFrame:
+    return diagnosed.groupBy(*([by] if by else []), "primary_cause").agg(F.count("*").alias("n_pairs"), F.round(F.avg("token_jaccard"), 6).alias("mean_token_jaccard"), F.round(F.avg("trigram_jaccard"), 6).alias("mean_trigram_jaccard"), F.round(F.avg("address_jaccard"), 6).alias("mean_address_jaccard"))
 
 
 MEASURES = ("token_count_a", "token_count_b", "shared_tokens", "token_jaccard", "char_len_ratio", "trigram_jaccard", "address_jaccard")
 FLAGS = ("name_equal", "first_token_equal", "sorted_tokens_equal", "token_subset", "initials_match", "suffix_stripped_equal", "prefix_relation", "digits_only_diff", "country_equal")
 
 
-def diagnosis_summary(diagnosed: DataFrame) -> DataFrame:
-    """(field, mean, p50, p90, share_nonzero) of the measures and flags of diagnosed pairs."""
+def contrast(true_pairs: DataFrame, candidates: DataFrame, step: int = 1, most: int | None = None) -> DataFrame:
+    """True pairs with group ``missed`` (all of them) or ``recovered`` (every ``step``-th in order, ``most`` at most; None:
+    without a bound)."""
+    missed = missed_pairs(true_pairs, candidates).select("s1_id", "target_id", "source", F.lit("missed").alias("group"))
+    found = true_pairs.join(candidates.select("s1_id", "target_id").distinct(), ["s1_id", "target_id"], "left_semi").select("s1_id", "target_id", "source", F.lit("recovered").alias("group"))
+    if step > 1 or most is not None:
+        found = every_nth(found, ["s1_id", "target_id"], step, most if most is not None else 1 << 40)
+    return missed.unionByName(found)
+
+
+def examples(diagnosed: DataFrame, each: int = 3) -> DataFrame:
+    """The first ``each`` pairs of every group and cause, to look at."""
+    place = F.row_number().over(Window.partitionBy("group", "primary_cause").orderBy("s1_id", "target_id"))
+    return diagnosed.withColumn("place", place).where(F.col("place") <= each).select("group", "primary_cause", "place", "s1_id", "target_id", "a_name_norm", "b_name_norm", "a_address_norm", "b_address_norm")
+
+
+def diagnosis_summary(diagnosed: DataFrame, by: str | None = None) -> DataFrame:
+    """([by,] field, mean, p50, p90, share_nonzero) of the measures and flags of diagnosed pairs."""
     r6 = lambda x: F.round(F.coalesce(x, F.lit(0.0)), 6)
     fields = [*MEASURES, *FLAGS]
-    rows = diagnosed.select(*[F.col(f).cast("double").alias(f) for f in fields])
-    one = rows.agg(*[x for f in fields for x in (r6(F.avg(f)).alias(f"{f}__m"), r6(F.percentile(f, 0.5)).alias(f"{f}__5"), r6(F.percentile(f, 0.9)).alias(f"{f}__9"), r6(F.avg((F.col(f) != 0).cast("double"))).alias(f"{f}__n"))])
+    keys = [by] if by else []
+    rows = diagnosed.select(*keys, *[F.col(f).cast("double").alias(f) for f in fields])
+    one = rows.groupBy(*keys).agg(*[x for f in fields for x in (r6(F.avg(f)).alias(f"{f}__m"), r6(F.percentile(f, 0.5)).alias(f"{f}__5"), r6(F.percentile(f, 0.9)).alias(f"{f}__9"), r6(F.avg((F.col(f) != 0).cast("double"))).alias(f"{f}__n"))])
     parts = [F.struct(F.lit(f).alias("field"), F.col(f"{f}__m").alias("mean"), F.col(f"{f}__5").alias("p50"), F.col(f"{f}__9").alias("p90"), F.col(f"{f}__n").alias("share_nonzero")) for f in fields]
-    return one.select(F.explode(F.array(*parts)).alias("x")).select("x.*")
+    return one.select(*keys, F.explode(F.array(*parts)).alias("x")).select(*keys, "x.*")
 
 
 def every_nth(rows: DataFrame, order: list[str], step: int, most: int) -> DataFrame:
     """Each ``step``-th row in an order, ``most`` at most: a contrast sample to look at."""
-    place = F.row_number().over(Window.orderBy(*order)) - 1
-    return rows.withColumn("_place", place).where((F.col("_place") % step == 0) & (F.col("_place") < step * most)).drop("_place")
+    rows = numbered(rows, [F.col(c) for c in order], "_place")
+    return rows.where((F.col("_place") % step == 0) & (F.col("_place") < step * most)).drop("_place")
 
 
 def _proposed(records: DataFrame) -> DataFrame:
@@ -200,6 +234,18 @@ def proposal_recall(s1: DataFrame, targets: DataFrame, true_pairs: DataFrame, tr
     )
 
 
+def proposal_value(recall: DataFrame, growth: DataFrame, candidate_rows: int, retention: float = 0.8957) -> DataFrame:
+    """What a proposal costs for what it brings: ``proposal_recall`` and ``proposal_growth`` in a row each, with growth
+    against the rows that there are, precision, and the F0.5 ceiling at a matcher's retention."""
+    return recall.join(growth, "proposal").select(
+        *recall.columns,
+        "candidate_rows",
+        F.round(text.safe_div(F.col("candidate_rows"), F.lit(candidate_rows)), 6).alias("growth_factor"),
+        F.round(text.safe_div(F.col("true_pairs_recovered"), F.col("candidate_rows")), 6).alias("candidate_precision"),
+        F.round(ceiling(F.col("macro_entity_recall") * retention), 6).alias("f05_ceiling_at_retention"),
+    )
+
+
 def metric_chain(by_entity: DataFrame, retention: float = 0.8957) -> DataFrame:
     """Recall of the candidates, its ceiling, and the ceiling at a matcher's retention."""
     recall = F.coalesce(F.avg(F.when(F.col("n_true") > 0, F.col("n_hits") / F.col("n_true"))), F.lit(0.0))

@@ -13,6 +13,7 @@ from ..functions.ids import entity_code, hash_bucket, is_sampled, is_validation,
 from ..functions.similarity import dominant_script_udf, scripts_udf
 from ..operators import blocking, evaluate, features, keys, matcher
 from ..sources import files
+from ..sources.session import staged
 from ..sources.tables import Corpus, corpus, records
 from . import calibrate, errors, names, statistics
 from . import sql as S
@@ -20,12 +21,9 @@ from . import sql as S
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 TOKEN, CHAR = KeyConfig(1000, 1), KeyConfig(1000, 5, 0.3)
-#: One that the small tables reach, to see the cap work.
-TIGHT = KeyConfig(20, 3)
-AT = (1, 2, 5, 10, 25)
-SCORE = "name_char3_jaccard"
-#: As Run.train takes them.
-ROUNDS = 50
+AT = LinkConfig().recall_at
+#: Of the job's settings, fewer rounds and rows in a leaf: the tables are small, and a round is several Spark jobs.
+TREES = matcher.TreeSettings(rounds=30, least_rows=20)
 
 
 def query(name: str, sql: str | None = None):
@@ -136,9 +134,9 @@ def token_vocabulary(c):
     return keys.vocabulary(keys.token_keys(c.targets)).select("source", "key", F.col("first.row_pos").alias("first_row"), F.col("first.at").alias("first_at"))
 
 
-@on_corpus("rarest_token_keys", S.q("tk(20,3)", "SELECT source, entity_id, key, df, rank FROM tk"))
+@on_corpus("rarest_token_keys", S.q("tk(1000,1)", "SELECT source, entity_id, key, df, rank FROM tk"))
 def rarest_token_keys(c):
-    return keys.postings(c.targets, "token", TIGHT)
+    return keys.postings(c.targets, "token", TOKEN)
 
 
 @on_corpus("rarest_trigram_keys", S.q("gk(1000,5)", "SELECT source, entity_id, key, df, rank FROM gk"))
@@ -149,7 +147,7 @@ def rarest_trigram_keys(c):
 @on_corpus(
     "index_statistics",
     S.q(
-        "tk(20,3)",
+        "tk(1000,1)",
         """SELECT source, n_rows, coalesce(n_keys, 0) AS n_keys, coalesce(n_postings, 0) AS n_postings, coalesce(max_posting, 0) AS max_posting,
         n_rows - coalesce(n_indexed, 0) AS rows_without_key, round(coalesce(n_postings / n_keys, 0), 6) AS postings_per_key
         FROM (SELECT source, count(*) AS n_rows FROM t GROUP BY source)
@@ -158,7 +156,7 @@ def rarest_trigram_keys(c):
     ),
 )
 def index_statistics(c):
-    return keys.describe(keys.postings(c.targets, "token", TIGHT), c.targets)
+    return keys.describe(keys.postings(c.targets, "token", TOKEN), c.targets)
 
 
 @on_corpus("df_by_cap", S.q("tdf", "SELECT source, count(*) AS n_keys, sum(df)::BIGINT AS n_occurrences, max(df) AS max_df, " + ", ".join(f"count(*) FILTER (df <= {k}) AS n_up_to_{k}" for k in calibrate.TOKEN_CAPS) + " FROM tdf GROUP BY source"))
@@ -189,11 +187,6 @@ def block_token(c):
     return blocking.block_token(c.s1, c.targets, TOKEN)
 
 
-@on_corpus("block_token_tight", S.q("token(20,3)", "SELECT * FROM token"))
-def block_token_tight(c):
-    return blocking.block_token(c.s1, c.targets, TIGHT)
-
-
 @on_corpus("block_char", S.q("char", "SELECT s1_id, target_id, source, round(char_jaccard, 6) AS char_jaccard FROM char"))
 def block_char(c):
     return _r6(blocking.block_char(c.s1, c.targets, CHAR), "char_jaccard")
@@ -251,6 +244,20 @@ def entity_counters(c):
     return _counters(c).select("s1_id", "n_true", "n_candidates", "n_hits")
 
 
+@on_corpus(
+    "entity_counters_by_source",
+    S.q("marked,st", "SELECT s1_id, n_true, coalesce(n, 0) AS n_candidates, coalesce(h, 0) AS n_hits, coalesce(c2, 0) AS n_candidates_source2, coalesce(h2, 0) AS n_hits_source2, coalesce(c3, 0) AS n_candidates_source3, coalesce(h3, 0) AS n_hits_source3 FROM st LEFT JOIN (SELECT s1_id, count(*) AS n, sum(is_true)::BIGINT AS h, count(*) FILTER (source = 2) AS c2, coalesce(sum(is_true) FILTER (source = 2), 0)::BIGINT AS h2, count(*) FILTER (source = 3) AS c3, coalesce(sum(is_true) FILTER (source = 3), 0)::BIGINT AS h3 FROM marked GROUP BY s1_id) USING (s1_id)"),
+)
+def entity_counters_by_source(c):
+    return evaluate.counters_by_source(c.truth, _marked(c)).drop("row_pos")
+
+
+@on_corpus("unknown_rows", S.q("cand,st", f"SELECT count(*) AS n_unknown_rows, count(DISTINCT s1_id) AS n_unknown_entities FROM cand WHERE s1_id NOT IN (SELECT s1_id FROM st WHERE {S.md5_bucket('s1_id', 10)} > 0)"))
+def unknown_rows(c):
+    """Rows of entities that the truth doesn't know, a tenth of them here."""
+    return evaluate.unknown_rows(c.truth.where(md5_bucket(F.col("s1_id"), 10) > 0), _candidates(c))
+
+
 @query("blocking_metrics", S.q("ec", f"SELECT {S.MEASURES}, count(*) * (SELECT count(*) FROM t) AS n_possible_pairs, round(count(*) * (SELECT count(*) FROM t) / sum(n_candidates), 6) AS reduction_ratio, round(sum(n_candidates) / (count(*) * (SELECT count(*) FROM t)), 9) AS candidate_rate FROM ec"))
 def blocking_metrics(spark, sf_dir):
     c = corpus(spark, sf_dir)
@@ -299,6 +306,12 @@ def zero_candidate_entities(c):
     return c.s1.select(F.col("entity_id").alias("s1_id")).join(_candidates(c), "s1_id", "left_anti")
 
 
+@on_corpus("hash_split_md5", S.q("st", f"SELECT s1_id, CASE WHEN {S.md5_bucket('s1_id', 1000000)} < 200000 THEN 'val' ELSE 'train' END AS split, {S.md5_bucket('s1_id', 5)} AS fold FROM st"))
+def hash_split_md5(c):
+    e = F.col("s1_id")
+    return c.truth.select("s1_id", F.when(is_validation(e, 0.2, "md5"), "val").otherwise("train").alias("split"), md5_bucket(e, 5).alias("fold"))
+
+
 @on_corpus("hash_split")
 def hash_split(c):
     e = F.col("s1_id")
@@ -324,6 +337,15 @@ def feature_missingness(c):
     return features.feature_stats(features.pair_features(_candidates(c), c.s1, c.targets, fuzzy=False))
 
 
+@on_corpus(
+    "feature_accounting",
+    S.q("cand", "SELECT unnest(['rows_are_lossless', 'entities_are_lossless', 'pairs_are_lossless', 'candidate_counts_are_whole']) AS \"check\", unnest([n, e, n, e]) AS expected, unnest([n, e, n, e]) AS found, true AS holds FROM (SELECT count(*) AS n, count(DISTINCT s1_id) AS e FROM cand)"),
+)
+def feature_accounting(c):
+    found = _candidates(c)
+    return features.accounting(found, features.pair_features(found, c.s1, c.targets, fuzzy=False))
+
+
 @on_corpus("duplicate_pairs", S.q("found", "SELECT count(*) AS n_rows, count(DISTINCT (s1_id, target_id)) AS n_pairs, count(*) - count(DISTINCT (s1_id, target_id)) AS n_repeated FROM found"))
 def duplicate_pairs(c):
     every = [blocking.BLOCKERS[b](c.s1, c.targets, blocking.LinkConfig()).select("s1_id", "target_id") for b in blocking.LinkConfig().blockers]
@@ -380,11 +402,30 @@ def baselines(c):
     return made[0].unionByName(made[1])
 
 
-@on_corpus("ab_compare", S.q("decided_ec,loose_ec", f"SELECT 'tight' AS run, {S.MACRO} FROM decided_ec UNION ALL SELECT 'loose', {S.MACRO} FROM loose_ec"))
+def _AB(name: str, rows: str, counted: str) -> str:
+    same = f"SELECT count(*) FROM (SELECT DISTINCT s1_id, target_id FROM {rows} WHERE score >= 0.5::FLOAT) SEMI JOIN (SELECT * FROM scored WHERE score >= 0.5::FLOAT) USING (s1_id, target_id)"
+    return f"SELECT '{name}' AS run, (SELECT count(*) FROM {rows} WHERE score >= 0.5::FLOAT) AS n_rows, ({same}) AS n_same_pairs, {S.MACRO} FROM {counted}"
+
+
+@on_corpus(
+    "ab_compare",
+    S.q(
+        "scored,scored_tok,decided_ec,tok_ec",
+        f"""SELECT *, round(macro_f05_score_zero - first_value(macro_f05_score_zero) OVER o, 6) AS delta_score_zero, round(macro_f05_exclude - first_value(macro_f05_exclude) OVER o, 6) AS delta_exclude, true AS holds
+        FROM ({_AB("trigrams", "scored", "decided_ec")} UNION ALL {_AB("tokens", "scored_tok", "tok_ec")}) WINDOW o AS (ORDER BY run DESC)""",
+    ),
+)
 def ab_compare(c):
-    scored = _scored(c).withColumn("is_true", F.col("label"))
-    made = [evaluate.macro_f05(evaluate.counters(c.truth, matcher.decide(scored, t))).select(F.lit(n).alias("run"), "*") for n, t in (("tight", 0.5), ("loose", 0.35))]
-    return made[0].unionByName(made[1])
+    """Two runs, scored by trigrams and by tokens, at one threshold."""
+    rows = features.joined_text(_candidates(c), c.s1, c.targets)
+    score = text.token_jaccard(F.col("a_name_norm"), F.col("b_name_norm")).cast("float")
+    tokens = matcher.label_pairs(rows.select("s1_id", "target_id", "source", score.alias("score")), c.truth, c.true_pairs)
+    return matcher.ab_compare({"trigrams": _scored(c), "tokens": tokens}, c.truth, 0.5)
+
+
+@on_corpus("sweep_at_positions", S.q("sweep", "SELECT DISTINCT s.* FROM sweep s JOIN (SELECT p, min(predicted_rows) AS predicted_rows FROM sweep, (SELECT unnest([0, 1, 3, 10, 30, 100, 300, 1000]) AS p) WHERE predicted_rows >= p GROUP BY p) USING (predicted_rows)"))
+def sweep_at_positions(c):
+    return matcher.snap_to_grid(staged(matcher.threshold_sweep(_scored(c), c.truth), "sweep"), [0, 1, 3, 10, 30, 100, 300, 1000])
 
 
 def _submission(c: Corpus) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -409,7 +450,7 @@ def gbt_oof(c):
     config = LinkConfig()
     rows = features.pair_features(_candidates(c), c.s1, c.targets)
     rows = matcher.label_pairs(rows, c.truth, c.true_pairs).join(matcher.assign_folds(c.truth, config.folds).select("s1_id", "fold"), "s1_id")
-    return matcher.out_of_fold(rows, list(features.TYPES), config.folds, ROUNDS)[0].select("s1_id", "target_id", "label", "fold", "score")
+    return matcher.out_of_fold(rows, list(features.TYPES), config.folds, TREES)[0].select("s1_id", "target_id", "label", "fold", "score")
 
 
 # --- statistics
@@ -513,7 +554,7 @@ def _census(c: Corpus) -> DataFrame:
 
 @on_corpus("candidate_census", S.q("census", S.census_summary()))
 def candidate_census(c):
-    return statistics.census_summary(_census(c), 20)
+    return statistics.census_summary(_census(c), TOKEN.df_cap)
 
 
 @on_corpus("census_by_cap", S.q("census", f"SELECT cap, count(*) FILTER (rarest > 0 AND rarest <= cap) AS n_reached, count(*) - count(*) FILTER (rarest > 0 AND rarest <= cap) AS n_structural_zero, coalesce(sum(rarest) FILTER (rarest <= cap), 0)::BIGINT AS total_estimate, coalesce(max(rarest) FILTER (rarest <= cap), 0) AS max_estimate FROM census, (SELECT unnest({list(statistics.CAPS)})::INT AS cap) GROUP BY cap"))
@@ -541,9 +582,9 @@ def exact_postings(c):
     return statistics.exact_postings(c.targets)
 
 
-@on_corpus("reachability", S.q("census,exn", "SELECT rarest > 0 AND rarest <= 20 AS by_token, n_exact > 0 AS by_exact, count(*) AS n_entities, count(*) FILTER (n_true > 0) AS n_matched FROM census JOIN exn USING (s1_id) GROUP BY ALL"))
+@on_corpus("reachability", S.q("census,exn", "SELECT rarest > 0 AND rarest <= 1000 AS by_token, n_exact > 0 AS by_exact, count(*) AS n_entities, count(*) FILTER (n_true > 0) AS n_matched FROM census JOIN exn USING (s1_id) GROUP BY ALL"))
 def reachability(c):
-    return statistics.reachability(_census(c), statistics.exact_by_entity(c.s1, c.targets), 20)
+    return statistics.reachability(_census(c), statistics.exact_by_entity(c.s1, c.targets), TOKEN.df_cap)
 
 
 @on_corpus("zero_match_risk", S.q("zero,zp", S.zero_match_risk()))
@@ -565,17 +606,28 @@ def _names_of(c: Corpus, pairs: DataFrame) -> DataFrame:
     return features.joined_text(pairs, c.s1, c.targets).where("text_join_ok")
 
 
+def _candidate_names(c: Corpus) -> DataFrame:
+    return _names_of(c, _candidates(c).select("s1_id", "target_id", "source"))
+
+
 @on_corpus("name_differences", S.q("cls", "SELECT s1_id, target_id, category, reason, n_tokens_a, n_tokens_b FROM cls"))
 def name_differences(c):
-    pairs = blocking.block_token(c.s1, c.targets, TIGHT).select("s1_id", "target_id", "source")
-    return names.classify(_names_of(c, pairs), scripts=False).select("s1_id", "target_id", "category", "reason", "n_tokens_a", "n_tokens_b")
+    return names.classify(_candidate_names(c)).select("s1_id", "target_id", "category", "reason", "n_tokens_a", "n_tokens_b")
 
 
-@on_corpus("name_difference_table")
+@on_corpus(
+    "name_difference_table",
+    S.q("tcls", "SELECT source, category, reason, count(*) AS n_pairs, round(avg(abs(n_tokens_a - n_tokens_b)), 6) AS mean_token_delta, max(abs(n_tokens_a - n_tokens_b))::BIGINT AS max_token_delta, count(*) FILTER (ca <> '' AND cb <> '' AND ca <> cb) AS n_country_mismatch FROM tcls GROUP BY ALL"),
+)
 def name_difference_table(c):
     return names.difference_table(names.classify(_names_of(c, c.true_pairs)))
 
 
+@on_corpus("name_token_histogram", S.q("tcls", "SELECT source, side, least(n, 12)::BIGINT AS n_tokens, count(*) AS n_pairs FROM (SELECT source, 'a' AS side, n_tokens_a AS n FROM tcls UNION ALL SELECT source, 'b', n_tokens_b FROM tcls) GROUP BY ALL"))
+def name_token_histogram(c):
+    return names.token_histogram(names.classify(_names_of(c, c.true_pairs)))
+
+
 # --- error analysis
 
 
@@ -611,20 +663,56 @@ def metric_chain(c):
 
 @on_corpus("pair_diagnosis", S.q("diag", "SELECT s1_id, target_id, primary_cause, shared_tokens, round(token_jaccard, 6) AS token_jaccard, round(trigram_jaccard, 6) AS trigram_jaccard, round(char_len_ratio, 6) AS char_len_ratio, suffix_stripped_equal, prefix_relation, digits_only_diff FROM diag"))
 def pair_diagnosis(c):
-    pairs = blocking.block_token(c.s1, c.targets, TIGHT).select("s1_id", "target_id", "source")
-    out = errors.diagnose(_names_of(c, pairs), scripts=False)
+    out = errors.diagnose(_candidate_names(c))
     return _r6(out, "token_jaccard", "trigram_jaccard", "char_len_ratio").select("s1_id", "target_id", "primary_cause", "shared_tokens", "token_jaccard", "trigram_jaccard", "char_len_ratio", "suffix_stripped_equal", "prefix_relation", "digits_only_diff")
 
 
-@on_corpus("cause_table")
+_CAUSES = "primary_cause, count(*) AS n_pairs, round(avg(token_jaccard), 6) AS mean_token_jaccard, round(avg(trigram_jaccard), 6) AS mean_trigram_jaccard, round(avg(address_jaccard), 6) AS mean_address_jaccard"
+
+
+@on_corpus("cause_table", S.q("mdiag", f"SELECT {_CAUSES} FROM mdiag GROUP BY primary_cause"))
 def cause_table(c):
     return errors.cause_table(errors.diagnose(_names_of(c, errors.missed_pairs(c.true_pairs, _candidates(c)).select("s1_id", "target_id", "source"))))
 
 
 @on_corpus("diagnosis_summary", S.diagnosis_summary())
 def diagnosis_summary(c):
-    pairs = blocking.block_token(c.s1, c.targets, TIGHT).select("s1_id", "target_id", "source")
-    return errors.diagnosis_summary(errors.diagnose(_names_of(c, pairs), scripts=False)).where(F.col("field").isin(*S.SUMMARISED))
+    return errors.diagnosis_summary(errors.diagnose(_candidate_names(c))).where(F.col("field").isin(*S.SUMMARISED))
+
+
+def _contrasted(c: Corpus) -> DataFrame:
+    return errors.diagnose(_names_of(c, errors.contrast(c.true_pairs, _candidates(c))))
+
+
+@on_corpus("contrast_causes", S.q("bdiag", f"""SELECT "group", {_CAUSES} FROM bdiag GROUP BY "group", primary_cause"""))
+def contrast_causes(c):
+    """Causes of missed pairs beside the same measures of all recovered ones."""
+    return errors.cause_table(_contrasted(c), "group")
+
+
+@on_corpus("contrast_summary", S.diagnosis_summary("bdiag", '"group"'))
+def contrast_summary(c):
+    return errors.diagnosis_summary(_contrasted(c), "group").where(F.col("field").isin(*S.SUMMARISED))
+
+
+@on_corpus("blocker_table_four", S.q("masked4", S.blocker_table(4, "masked4")))
+def blocker_table_four(c):
+    return errors.blocker_table(_masked_four(c), c.true_pairs, text.BLOCKERS)
+
+
+def _masked_four(c: Corpus) -> DataFrame:
+    return errors.masked(blocking.candidates(c.s1, c.targets, LinkConfig(blockers=text.BLOCKERS)), c.true_pairs, c.truth, text.BLOCKERS)
+
+
+@on_corpus(
+    "combination_table_four",
+    S.q(
+        "masked4",
+        "SELECT array_to_string([x FOR x IN [" + ", ".join(f"CASE WHEN m & {1 << i} > 0 THEN '{k}' END" for i, k in enumerate(text.BLOCKERS)) + "] IF x IS NOT NULL], '+') AS combination, count(s1_id) AS candidate_rows, coalesce(sum(is_true), 0)::BIGINT AS true_pairs, round(coalesce(avg(is_true), 0), 6) AS precision FROM (SELECT unnest(range(1, 16)) AS m) LEFT JOIN masked4 ON m = mask GROUP BY m",
+    ),
+)
+def combination_table_four(c):
+    return errors.combination_table(_masked_four(c), text.BLOCKERS)
 
 
 @on_corpus("contrast_sample", S.q("tp", "SELECT s1_id, target_id FROM (SELECT *, row_number() OVER (ORDER BY s1_id, target_id) - 1 AS p FROM tp) WHERE p % 3 = 0 AND p < 30"))
@@ -654,52 +742,41 @@ def proposal_recall(c):
     return errors.proposal_recall(c.s1, c.targets, c.true_pairs, c.truth, _candidates(c))
 
 
-# --- what has a cap of 20 above, on the job's settings
-
-
-@on_corpus("rarest_token_keys_production")
-def rarest_token_keys_production(c):
-    return keys.postings(c.targets, "token", TOKEN)
-
-
-@on_corpus("index_statistics_production")
-def index_statistics_production(c):
-    return keys.describe(keys.postings(c.targets, "token", TOKEN), c.targets)
-
-
-@on_corpus("candidate_census_production")
-def candidate_census_production(c):
-    return statistics.census_summary(_census(c), TOKEN.df_cap)
-
-
-@on_corpus("reachability_production")
-def reachability_production(c):
-    return statistics.reachability(_census(c), statistics.exact_by_entity(c.s1, c.targets), TOKEN.df_cap)
+@on_corpus("proposal_value", S.proposal_value(SQL["proposal_recall"], SQL["proposal_growth"]))
+def proposal_value(c):
+    found = staged(_candidates(c), "candidates")
+    return errors.proposal_value(errors.proposal_recall(c.s1, c.targets, c.true_pairs, c.truth, found), errors.proposal_growth(c.s1, c.targets), found.count())
 
 
-def _candidate_names(c: Corpus) -> DataFrame:
-    return _names_of(c, _candidates(c).select("s1_id", "target_id", "source"))
+# --- calibration
 
+GRID_CAPS, GRID_KS = calibrate.TOKEN_CAPS, calibrate.TOKEN_KS
 
-@on_corpus("name_differences_production")
-def name_differences_production(c):
-    return names.classify(_candidate_names(c), scripts=False).select("s1_id", "target_id", "category", "reason", "n_tokens_a", "n_tokens_b")
 
+@on_corpus(
+    "drop_reasons",
+    S.q(
+        "sk(1000000000,1000000),tdf,tok,s1",
+        "SELECT source, count(*) AS n_entities, count(*) FILTER (least <= 1000) AS n_selected, count(*) FILTER (n = 0) AS n_no_key, count(*) FILTER (n > 0 AND least IS NULL) AS n_not_in_targets, count(*) FILTER (least > 1000) AS n_over_cap FROM (SELECT z.source, s1.entity_id, (SELECT count(*) FROM tok x WHERE x.entity_id = s1.entity_id) AS n, (SELECT min(df) FROM sk x WHERE x.entity_id = s1.entity_id AND x.source = z.source) AS least FROM s1, (SELECT DISTINCT source FROM tdf) z) GROUP BY source",
+    ),
+)
+def drop_reasons(c):
+    return calibrate.drop_reasons(c.s1, c.targets, "token", TOKEN)
 
-@on_corpus("pair_diagnosis_production")
-def pair_diagnosis_production(c):
-    out = errors.diagnose(_candidate_names(c), scripts=False)
-    return _r6(out, "token_jaccard", "trigram_jaccard", "char_len_ratio").select("s1_id", "target_id", "primary_cause", "shared_tokens", "token_jaccard", "trigram_jaccard", "char_len_ratio", "suffix_stripped_equal", "prefix_relation", "digits_only_diff")
 
+def _calibrated(c: Corpus, kind: str) -> DataFrame:
+    split = F.when(is_validation(F.col("s1_id"), 0.2, "md5"), "val").otherwise("train")
+    return calibrate.calibrated(c.s1, c.targets, c.true_pairs, c.truth, kind, split, 400_000_000)
 
-@on_corpus("diagnosis_summary_production")
-def diagnosis_summary_production(c):
-    return errors.diagnosis_summary(errors.diagnose(_candidate_names(c), scripts=False)).where(F.col("field").isin(*S.SUMMARISED))
 
+@on_corpus("calibrate_token", S.calibrated("token", calibrate.TOKEN_CAPS, calibrate.TOKEN_KS))
+def calibrate_token(c):
+    return _calibrated(c, "token")
 
-# --- calibration
 
-GRID_CAPS, GRID_KS = (5, 20, 100), (1, 3)
+@on_corpus("calibrate_char", S.calibrated("char", calibrate.CHAR_CAPS, calibrate.CHAR_KS, calibrate.CHAR_JACCARDS))
+def calibrate_char(c):
+    return _calibrated(c, "char")
 
 
 @on_corpus("volume_bound", S.volume_bound(GRID_CAPS, GRID_KS))
@@ -712,9 +789,9 @@ def token_grid(c):
     return calibrate.token_grid(c.s1, c.targets, c.true_pairs, GRID_CAPS, GRID_KS)
 
 
-@on_corpus("char_grid", S.char_grid((20, 100), (1, 5), (0.3, 0.5, 0.7)))
+@on_corpus("char_grid", S.char_grid(calibrate.CHAR_CAPS, calibrate.CHAR_KS, calibrate.CHAR_JACCARDS))
 def char_grid(c):
-    return calibrate.char_grid(c.s1, c.targets, c.true_pairs, (20, 100), (1, 5), (0.3, 0.5, 0.7))
+    return calibrate.char_grid(c.s1, c.targets, c.true_pairs)
 
 
 @on_corpus("incremental_token", S.incremental_token(GRID_CAPS, GRID_KS))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import re
 
-from ..functions.text import LEGAL_TOKENS, PROPOSALS
-from ..operators.features import TYPES
+from ..functions.text import BLOCKERS, LEGAL_TOKENS, PROPOSALS
+from ..operators.features import TYPES, UNIT
 
 
 def norm(x: str) -> str:
@@ -152,7 +152,7 @@ def _proposed() -> str:
     return " UNION ALL ".join(f"SELECT '{p}' AS p, source, entity_id, unnest({k}) AS key FROM r" for p, k in keys.items())
 
 
-def _classified() -> str:
+def _classified(pairs: str) -> str:
     x, y = "a.name_norm", "b.name_norm"
     longest = f"greatest(length({x}), length({y}))"
     cap = f"greatest(3, floor({longest} * 0.6::DOUBLE)::INT + 1)"
@@ -172,10 +172,10 @@ def _classified() -> str:
         (f"{far} OR {content} > 0.25", "unknown_other", "shared_character_content"),
     ]
     case = lambda i, other: "CASE " + " ".join(f"WHEN {r[0]} THEN '{r[i]}'" for r in rules) + f" ELSE '{other}' END"
-    return f"SELECT p.s1_id, p.target_id, {case(1, 'unknown_other')} AS category, {case(2, 'no_shared_content')} AS reason, len({tokens(x)}) AS n_tokens_a, len({tokens(y)}) AS n_tokens_b FROM token p {_BOTH}"
+    return f"SELECT p.s1_id, p.target_id, {case(1, 'unknown_other')} AS category, {case(2, 'no_shared_content')} AS reason, len({tokens(x)}) AS n_tokens_a, len({tokens(y)}) AS n_tokens_b, p.source, a.country_norm AS ca, b.country_norm AS cb FROM {pairs} p {_BOTH}"
 
 
-def _diagnosed() -> str:
+def _diagnosed(pairs: str, more: str = "") -> str:
     x, y, kx, ky = "a.name_norm", "b.name_norm", "a.name_key", "b.name_key"
     shared = f"len(list_intersect({_A}, {_B}))"
     initials = lambda c: f"array_to_string([x[1] FOR x IN {tokens(c)}], '')"
@@ -198,7 +198,7 @@ def _diagnosed() -> str:
     cause = "CASE " + " ".join(f"WHEN {r} THEN '{n}'" for r, n in rules) + " ELSE 'no_lexical_overlap' END"
     return f"""SELECT p.s1_id, p.target_id, {cause} AS primary_cause, {shared} AS shared_tokens, {jaccard(_A, _B)} AS token_jaccard, {content} AS trigram_jaccard,
       coalesce(least(length({kx}), length({ky})) / nullif(greatest(length({kx}), length({ky})), 0), 0) AS char_len_ratio, {legal} AS suffix_stripped_equal, {prefix} AS prefix_relation,
-      ({x} <> '' AND {digits(x)} = {digits(y)} AND {x} <> {y}) AS digits_only_diff FROM token p {_BOTH}"""
+      ({x} <> '' AND {digits(x)} = {digits(y)} AND {x} <> {y}) AS digits_only_diff, {jaccard(_DA, _DB)} AS address_jaccard{more} FROM {pairs} p {_BOTH}"""
 
 
 _RANKED = {
@@ -237,7 +237,7 @@ _CTES: dict[str, tuple[str, str]] = {
     "exact_ec": ("exact,tp,st", _counted("(SELECT e.*, (x.s1_id IS NOT NULL)::INT AS is_true FROM exact e LEFT JOIN tp x ON x.s1_id = e.s1_id AND x.target_id = e.target_id)")),
     "hits_at": (
         "marked,st",
-        "SELECT k, (SELECT coalesce(sum(is_true), 0)::BIGINT FROM (SELECT is_true, row_number() OVER (PARTITION BY s1_id ORDER BY source, substr(target_id, 4)::BIGINT) AS p FROM marked) WHERE p <= k) AS hits FROM (SELECT unnest([1, 2, 5, 10, 25])::INT AS k)",
+        "SELECT k, (SELECT coalesce(sum(is_true), 0)::BIGINT FROM (SELECT is_true, row_number() OVER (PARTITION BY s1_id ORDER BY source, substr(target_id, 4)::BIGINT) AS p FROM marked) WHERE p <= k) AS hits FROM (SELECT unnest([10, 25, 50, 100, 200])::INT AS k)",
     ),
     "feat": ("cand,s1,t", _features()),
     "scored": ("marked,s1,t", f"SELECT p.s1_id, p.target_id, p.source, p.is_true, ({trigram_jaccard('a.name_key', 'b.name_key')})::FLOAT AS score FROM marked p {_BOTH}"),
@@ -268,8 +268,20 @@ _CTES: dict[str, tuple[str, str]] = {
     "exn": ("s1,t", "SELECT s1.entity_id AS s1_id, coalesce(n, 0) AS n_exact FROM s1 LEFT JOIN (SELECT name_norm, count(*) AS n FROM t WHERE name_norm <> '' GROUP BY name_norm) USING (name_norm)"),
     "zero": ("s1,st", "SELECT s1.* FROM s1 JOIN st ON st.s1_id = s1.entity_id WHERE n_true = 0"),
     "zp": ("zero,t", f"SELECT a.entity_id AS s1_id, len({_DA}) > 0 AND len({_DB}) > 0 AS both_, {jaccard(_DA, _DB)} AS j FROM zero a JOIN t b USING (name_norm) WHERE name_norm <> ''"),
-    "cls": ("token(20,3),s1,t", _classified()),
-    "diag": ("token(20,3),s1,t", _diagnosed()),
+    "cls": ("cand,s1,t", _classified("cand")),
+    "tcls": ("tp,s1,t", _classified("tp")),
+    "diag": ("cand,s1,t", _diagnosed("cand")),
+    "missed": ("cand,tp", "SELECT s1_id, target_id, source FROM tp ANTI JOIN cand USING (s1_id, target_id)"),
+    "mdiag": ("missed,s1,t", _diagnosed("missed")),
+    "grouped": ("missed,cand,tp", "SELECT *, 'missed' AS grp FROM missed UNION ALL SELECT s1_id, target_id, source, 'recovered' FROM tp SEMI JOIN cand USING (s1_id, target_id)"),
+    "bdiag": ("grouped,s1,t", _diagnosed("grouped", ', p.grp AS "group"')),
+    "scored_tok": ("marked,s1,t", f"SELECT p.s1_id, p.target_id, p.source, p.is_true, ({jaccard(_A, _B)})::FLOAT AS score FROM marked p {_BOTH}"),
+    "tok_ec": ("scored_tok,st", _counted("(SELECT * FROM scored_tok WHERE score >= 0.5::FLOAT)")),
+    "suffixed": ("r,s1,t", f"SELECT a.entity_id AS s1_id, b.entity_id AS target_id, b.source FROM (SELECT *, {suffix('name_norm')} AS k FROM s1) a JOIN (SELECT *, {suffix('name_norm')} AS k FROM t) b USING (k) WHERE k <> ''"),
+    "masked4": (
+        "exact,token,char,suffixed,tp",
+        "SELECT f.s1_id, f.target_id, bit_or(f.m) AS mask, max((x.s1_id IS NOT NULL)::INT) AS is_true FROM (SELECT s1_id, target_id, 1 AS m FROM exact UNION ALL SELECT s1_id, target_id, 2 FROM token UNION ALL SELECT s1_id, target_id, 4 FROM char UNION ALL SELECT s1_id, target_id, 8 FROM suffixed) f LEFT JOIN tp x ON x.s1_id = f.s1_id AND x.target_id = f.target_id GROUP BY f.s1_id, f.target_id",
+    ),
     "masked": ("marked", "SELECT *, contains(blockers, ':exact_name')::INT + 2 * contains(blockers, ':token')::INT + 4 * contains(blockers, ':char_ngram')::INT AS mask FROM marked"),
     "prop": ("r,tp", _proposed()),
 }
@@ -311,7 +323,7 @@ def q(needs: str, body: str) -> str:
 
 
 def feature_stats() -> str:
-    rows = " UNION ALL ".join(f"SELECT '{n}' AS feature, count(*) AS n, count(*) - count({n}) AS n_missing, round(min({n})::DOUBLE, 6) AS least, round(max({n})::DOUBLE, 6) AS greatest FROM feat" for n in _FEATURES)
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS feature, count(*) AS n, count(*) - count({n}) AS n_missing, round(min({n})::DOUBLE, 6) AS least, round(max({n})::DOUBLE, 6) AS greatest, {f'coalesce(min({n}) >= 0 AND max({n}) <= 1, true)' if n in UNIT else 'NULL::BOOLEAN'} AS in_unit_interval FROM feat" for n in _FEATURES)
     return q("feat", rows)
 
 
@@ -326,6 +338,7 @@ def submission_checks() -> str:
     ids = "[x FOR x IN string_split(matched_entity_ids, ',') IF x <> '']"
     checks = {
         "exactly_one_row_per_s1_entity": "(SELECT count(*) FROM submission) = (SELECT count(*) FROM s1)",
+        "row_count_matches_the_s1_file": "(SELECT count(*) FROM submission) = (SELECT count(*) FROM s1)",
         "the_s1_file_is_not_empty": "(SELECT count(*) FROM s1) > 0",
         "no_duplicate_s1_ids": "(SELECT count(DISTINCT source1_entity_id) FROM submission) = (SELECT count(*) FROM submission) AND (SELECT count(DISTINCT entity_id) FROM s1) = (SELECT count(*) FROM s1)",
         "no_s1_entity_dropped": "(SELECT count(*) FROM scored WHERE s1_id NOT IN (SELECT entity_id FROM s1)) = 0",
@@ -350,7 +363,7 @@ def census_summary() -> str:
     return f"""SELECT count(*) AS n_entities, count(*) FILTER (NOT usable) AS n_structural_zero, count(*) FILTER (n_tokens = 0) AS n_empty_name, count(*) FILTER (n_tokens > 0 AND n_present = 0) AS n_no_token_in_targets,
     count(*) FILTER (n_present > 0 AND NOT usable) AS n_every_token_above_cap, sum(est)::BIGINT AS total_estimate, {distribution("est", "est")}, round(coalesce(sum(est) FILTER (n_true > 0) / nullif(sum(n_true), 0), 0), 6) AS candidates_per_true_pair,
     count(*) FILTER (n_true > 0 AND est < n_true) AS n_below_one, count(*) FILTER (n_true > 0 AND est = 0) AS n_matched_without_candidates
-    FROM (SELECT *, rarest > 0 AND rarest <= 20 AS usable, CASE WHEN rarest > 0 AND rarest <= 20 THEN rarest ELSE 0 END AS est FROM census)"""
+    FROM (SELECT *, rarest > 0 AND rarest <= 1000 AS usable, CASE WHEN rarest > 0 AND rarest <= 1000 THEN rarest ELSE 0 END AS est FROM census)"""
 
 
 def zero_match_risk() -> str:
@@ -360,14 +373,14 @@ def zero_match_risk() -> str:
     FROM (SELECT z.entity_id, coalesce(a.n, 0) AS n, coalesce(b.n, 0) AS k FROM zero z LEFT JOIN (SELECT name_norm, count(*) AS n FROM t WHERE name_norm <> '' GROUP BY name_norm) a USING (name_norm) LEFT JOIN (SELECT name_key, count(*) AS n FROM t WHERE name_key <> '' GROUP BY name_key) b USING (name_key))"""
 
 
-def blocker_table() -> str:
+def blocker_table(kinds: int = 3, masked: str = "masked") -> str:
     rows = []
-    for i, k in enumerate(("exact_name", "token", "char_ngram")):
+    for i, k in enumerate(BLOCKERS[:kinds]):
         has = f"mask & {1 << i} > 0"
         rows.append(
             f"""SELECT '{k}' AS blocker, count(*) FILTER (is_true = 1 AND {has}) AS true_pairs_recovered, round(count(*) FILTER (is_true = 1 AND {has}) / (SELECT count(*) FROM tp), 6) AS true_pair_recall, count(*) FILTER ({has}) AS candidate_rows,
             round(count(*) FILTER ({has}) / count(*), 6) AS share_of_candidate_rows, round(coalesce(count(*) FILTER (is_true = 1 AND {has}) / nullif(count(*) FILTER ({has}), 0), 0), 6) AS candidate_precision,
-            count(*) FILTER (is_true = 1 AND mask = {1 << i}) AS pairs_only_this_blocker_finds, count(*) FILTER (mask = {1 << i}) AS rows_where_only_this_blocker_fires FROM masked"""
+            count(*) FILTER (is_true = 1 AND mask = {1 << i}) AS pairs_only_this_blocker_finds, count(*) FILTER (mask = {1 << i}) AS rows_where_only_this_blocker_fires FROM {masked}"""
         )
     return " UNION ALL ".join(rows)
 
@@ -375,7 +388,7 @@ def blocker_table() -> str:
 def entity_accounting() -> str:
     return f"""SELECT count(*) AS entities_scored, {_MATCHED} AS entities_with_true_matches, count(*) FILTER (n_true > 0 AND n_hits = n_true) AS entities_fully_covered, count(*) FILTER (n_hits > 0 AND n_hits < n_true) AS entities_partially_covered,
     count(*) FILTER (n_true > 0 AND n_hits = 0) AS entities_with_zero_recovered, count(*) FILTER (n_candidates = 0) AS entities_with_zero_candidates, count(*) FILTER (n_candidates = 0 AND n_true > 0) AS entities_with_zero_candidates_and_matches,
-    coalesce(sum(n_candidates) FILTER (n_true = 0), 0)::BIGINT AS candidate_rows_on_no_match_entities, round(quantile_cont(n_candidates, 0.5), 6) AS rows_p50, round(quantile_cont(n_candidates, 0.99), 6) AS rows_p99,
+    coalesce(sum(n_candidates) FILTER (n_true = 0), 0)::BIGINT AS candidate_rows_on_no_match_entities, round(quantile_cont(n_candidates, 0.5), 6) AS rows_p50, round(quantile_cont(n_candidates, 0.9), 6) AS rows_p90, round(quantile_cont(n_candidates, 0.99), 6) AS rows_p99,
     round({_RECALL}, 6) AS macro_recall, round(1.25 * {_RECALL} / (0.25 + {_RECALL}), 6) AS f05_ceiling, max(n_true - n_hits) AS missed_max,
     (SELECT round(coalesce(sum(m) FILTER (r <= greatest(1, k // 10)), 0) / coalesce(nullif(sum(m), 0), 1), 6) FROM (SELECT n_true - n_hits AS m, row_number() OVER (ORDER BY n_true - n_hits DESC, s1_id) AS r, count(*) OVER () AS k FROM ec WHERE n_true > n_hits)) AS missed_pairs_worst_decile_share
     FROM ec"""
@@ -385,15 +398,17 @@ def _grid(caps, ks) -> str:
     return "(VALUES " + ", ".join(f"({c}, {k})" for c in caps for k in ks) + ") g(df_cap, rarest_k)"
 
 
+def volume_bound_body(kind: str, caps, ks) -> str:
+    s, t = ("sk", "tk") if kind == "token" else ("sgk", "gk")
+    return f"""SELECT g.df_cap, g.rarest_k, coalesce(sum(n), 0)::BIGINT AS bound, count(DISTINCT x.entity_id) AS s1_reached FROM {_grid(caps, ks)} LEFT JOIN (
+        SELECT g.df_cap, g.rarest_k, s.entity_id, p.n FROM {_grid(caps, ks)} JOIN {s} s ON s.df <= g.df_cap AND s.rank <= g.rarest_k
+        JOIN (SELECT g.df_cap, g.rarest_k, source, key, count(*) AS n FROM {_grid(caps, ks)} JOIN {t} ON df <= g.df_cap AND rank <= g.rarest_k GROUP BY ALL) p ON p.df_cap = g.df_cap AND p.rarest_k = g.rarest_k AND p.source = s.source AND p.key = s.key) x
+        ON x.df_cap = g.df_cap AND x.rarest_k = g.rarest_k GROUP BY ALL"""
+
+
 def volume_bound(caps, ks) -> str:
     loose = f"({max(caps)},{max(ks)})"
-    return q(
-        f"tk{loose},sk{loose}",
-        f"""SELECT g.df_cap, g.rarest_k, coalesce(sum(n), 0)::BIGINT AS bound, count(DISTINCT x.entity_id) AS s1_reached FROM {_grid(caps, ks)} LEFT JOIN (
-        SELECT g.df_cap, g.rarest_k, s.entity_id, p.n FROM {_grid(caps, ks)} JOIN sk s ON s.df <= g.df_cap AND s.rank <= g.rarest_k
-        JOIN (SELECT g.df_cap, g.rarest_k, source, key, count(*) AS n FROM {_grid(caps, ks)} JOIN tk ON df <= g.df_cap AND rank <= g.rarest_k GROUP BY ALL) p ON p.df_cap = g.df_cap AND p.rarest_k = g.rarest_k AND p.source = s.source AND p.key = s.key) x
-        ON x.df_cap = g.df_cap AND x.rarest_k = g.rarest_k GROUP BY ALL""",
-    )
+    return q(f"tk{loose},sk{loose}", volume_bound_body("token", caps, ks))
 
 
 def _pairs_in_cells(kind: str, caps, ks) -> str:
@@ -411,10 +426,10 @@ def token_grid(caps, ks) -> str:
 
 def char_grid(caps, ks, jaccards) -> str:
     loose = f"({max(caps)},{max(ks)})"
-    pairs = f"SELECT p.*, {jaccard(grams('a.name_key', 3), grams('b.name_key', 3))} AS j FROM ({_pairs_in_cells('char', caps, ks)}) p {_BOTH}"
-    return q(
-        f"gk{loose},sgk{loose},tp,s1,t",
-        f"SELECT df_cap, rarest_k, min_jaccard, count(*) AS n_candidates, count(x.s1_id) AS true_pairs, count(DISTINCT c.s1_id) AS s1_reached, round(count(x.s1_id) / (SELECT count(*) FROM tp), 6) AS recall, round(count(x.s1_id) / count(*), 6) AS precision FROM ({pairs}) c JOIN (SELECT unnest({list(jaccards)})::DOUBLE AS min_jaccard) ON j >= min_jaccard LEFT JOIN tp x ON x.s1_id = c.s1_id AND x.target_id = c.target_id GROUP BY ALL",
+    pairs = "SELECT * FROM cells JOIN alike USING (s1_id, target_id)"
+    ctes = q(f"gk{loose},sgk{loose},tp,s1,t", "").rstrip() + f",\ncells AS MATERIALIZED ({_pairs_in_cells('char', caps, ks)}),\nalike AS MATERIALIZED (SELECT p.*, {jaccard(grams('a.name_key', 3), grams('b.name_key', 3))} AS j FROM (SELECT DISTINCT s1_id, target_id FROM cells) p {_BOTH})\n"
+    return ctes + (
+        f"SELECT df_cap, rarest_k, min_jaccard, count(*) AS n_candidates, count(x.s1_id) AS true_pairs, count(DISTINCT c.s1_id) AS s1_reached, round(count(x.s1_id) / (SELECT count(*) FROM tp), 6) AS recall, round(count(x.s1_id) / count(*), 6) AS precision FROM ({pairs}) c JOIN (SELECT unnest({list(jaccards)})::DOUBLE AS min_jaccard) ON j >= min_jaccard LEFT JOIN tp x ON x.s1_id = c.s1_id AND x.target_id = c.target_id GROUP BY ALL"
     )
 
 
@@ -433,9 +448,50 @@ def incremental_token(caps, ks) -> str:
 SUMMARISED = ("shared_tokens", "token_jaccard", "trigram_jaccard", "char_len_ratio", "suffix_stripped_equal", "prefix_relation", "digits_only_diff")
 
 
-def diagnosis_summary() -> str:
+def diagnosis_summary(of: str = "diag", by: str = "") -> str:
+    keys, end = (f"{by}, ", f" GROUP BY {by}") if by else ("", "")
     rows = " UNION ALL ".join(
-        f"SELECT '{f}' AS field, round(coalesce(avg({f}::DOUBLE), 0), 6) AS mean, round(coalesce(quantile_cont({f}::DOUBLE, 0.5), 0), 6) AS p50, round(coalesce(quantile_cont({f}::DOUBLE, 0.9), 0), 6) AS p90, round(coalesce(avg(({f}::DOUBLE <> 0)::INT), 0), 6) AS share_nonzero FROM diag"
+        f"SELECT {keys}'{f}' AS field, round(coalesce(avg({f}::DOUBLE), 0), 6) AS mean, round(coalesce(quantile_cont({f}::DOUBLE, 0.5), 0), 6) AS p50, round(coalesce(quantile_cont({f}::DOUBLE, 0.9), 0), 6) AS p90, round(coalesce(avg(({f}::DOUBLE <> 0)::INT), 0), 6) AS share_nonzero FROM {of}{end}"
         for f in SUMMARISED
     )
-    return q("diag", rows)
+    return q(of, rows)
+
+
+def proposal_value(recall: str, growth: str) -> str:
+    """Both queries joined; the candidates are counted anew."""
+    return f"""SELECT a.*, b.candidate_rows, round(b.candidate_rows / (SELECT count(*) FROM ({q("cand", "SELECT * FROM cand")})), 6) AS growth_factor, round(coalesce(a.true_pairs_recovered / nullif(b.candidate_rows, 0), 0), 6) AS candidate_precision,
+    round(coalesce(1.25 * a.macro_entity_recall * 0.8957 / nullif(0.25 + a.macro_entity_recall * 0.8957, 0), 0), 6) AS f05_ceiling_at_retention FROM ({recall}) a JOIN ({growth}) b USING (proposal)"""
+
+
+def calibrated(kind: str, caps, ks, jaccards=()) -> str:
+    """Every set of blockers in every cell, for both parts of the split and all entities; no cell is over the budget."""
+    loose, grid = f"({max(caps)},{max(ks)})", _grid(caps, ks)
+    bound = "(" + volume_bound_body(kind, caps, ks) + ")"
+    cells = f"cells AS MATERIALIZED ({_pairs_in_cells(kind, caps, ks)})"
+    if kind == "token":
+        needs = f"tk{loose},sk{loose},tp,st,exact,char"
+        parts = {"exact": f"SELECT df_cap, rarest_k, s1_id, target_id FROM exact, {grid}", "token": "SELECT df_cap, rarest_k, s1_id, target_id FROM cells", "char": f"SELECT df_cap, rarest_k, s1_id, target_id FROM char, {grid}"}
+        sets = {"exact": ("exact",), "char": ("char",), "token": ("token",), "token_plus_exact": ("exact", "token"), "exact_plus_char": ("exact", "char"), "exact_char_token": ("exact", "char", "token")}
+        rows = " UNION ALL ".join(f"SELECT '{n}' AS candidate_set, NULL::DOUBLE AS min_jaccard, * FROM ({' UNION '.join(parts[p] for p in of)})" for n, of in sets.items())
+        more = ""
+    else:
+        needs = f"gk{loose},sgk{loose},tp,st,exact,s1,t"
+        more = f", alike AS MATERIALIZED (SELECT p.*, {jaccard(grams('a.name_key', 3), grams('b.name_key', 3))} AS j FROM (SELECT DISTINCT s1_id, target_id FROM cells) p {_BOTH})"
+        levels = f"(SELECT unnest({list(jaccards)})::DOUBLE AS min_jaccard)"
+        char = f"SELECT min_jaccard, df_cap, rarest_k, s1_id, target_id FROM cells JOIN alike USING (s1_id, target_id) JOIN {levels} ON j >= min_jaccard"
+        rows = f"SELECT 'char' AS candidate_set, * FROM ({char}) UNION ALL SELECT 'char_plus_exact', * FROM ({char} UNION SELECT min_jaccard, df_cap, rarest_k, s1_id, target_id FROM exact, {grid}, {levels})"
+    split = f"CASE WHEN {md5_bucket('s1_id', 1000000)} < 200000 THEN 'val' ELSE 'train' END"
+    return (
+        q(needs, "").rstrip()
+        + f""",
+{cells}{more}, own AS MATERIALIZED ({rows}), sp AS (SELECT s1_id, n_true, {split} AS part FROM st),
+marks AS (SELECT own.*, sp.part, (x.s1_id IS NOT NULL)::INT AS is_true FROM own JOIN sp USING (s1_id) LEFT JOIN tp x ON x.s1_id = own.s1_id AND x.target_id = own.target_id)
+SELECT b.df_cap, b.rarest_k, b.bound, true AS evaluated, m.candidate_set, m.min_jaccard, y.split, count(*) FILTER ({_IN}) AS n_candidates, count(*) FILTER ({_IN} AND is_true = 1) AS true_pairs,
+count(DISTINCT CASE WHEN {_IN} THEN m.s1_id END) AS s1_reached, round(coalesce(count(*) FILTER ({_IN} AND is_true = 1) / nullif(any_value(y.n), 0), 0), 6) AS recall,
+round(coalesce(count(*) FILTER ({_IN} AND is_true = 1) / nullif(count(*) FILTER ({_IN}), 0), 0), 6) AS precision
+FROM {bound} b JOIN marks m ON m.df_cap = b.df_cap AND m.rarest_k = b.rarest_k,
+(SELECT 'all' AS split, (SELECT sum(n_true) FROM sp) AS n UNION ALL SELECT part, sum(n_true) FROM sp GROUP BY part) y GROUP BY ALL"""
+    )
+
+
+_IN = "(y.split = 'all' OR y.split = m.part)"

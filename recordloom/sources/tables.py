@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import NormConfig
+from .session import staged
 from ..functions.normalize import address_norm, country_norm, name_norm, strip_separators
 
 
@@ -39,7 +40,8 @@ def records(spark: SparkSession, sf_dir: str, config: NormConfig = NormConfig())
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
-    all_records = records(spark, sf_dir)
+    """The corpus, with records normalized once: every blocker and statistic reads the staged table."""
+    all_records = staged(records(spark, sf_dir), "records")
     s1 = all_records.where("source = 1").drop("source")
     targets = all_records.where("source > 1")
     keyed = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", (1 + F.col("doc_id") % 3).cast("int").alias("source"), F.md5(F.col("text").cast("binary")).alias("h"))
