@@ -1,7 +1,14 @@
 import gzip
+import os
+import shutil
+import zipfile
 
 import pytest
 
+from recordloom.__main__ import main
+from recordloom.config import KeyConfig, LinkConfig
+from recordloom.functions.text import BLOCKERS
+from recordloom.operators import matcher
 from recordloom.plans.jobs import Run
 from recordloom.plans.resume import resumed
 from recordloom.sources import files
@@ -31,14 +38,112 @@ def test_whole_run(spark, root):
     assert n == run.candidates("test") >= 60
     got = {r.split: r for r in run.evaluate().collect()}
     assert got["all"].blocking_recall_pair == 1.0 and got["all"].n_true_pairs == 48
-    assert run.features("train") == n and run.features("test") == n
+    assert run.features("test") == n and 0 < run.features("train") < n, "auto takes the validation entities of training data"
+    assert run.features("train", entities="all") == n
     chosen = run.train("train", score="name_token_jaccard").first()
     assert chosen.chosen_macro_f05 > 0.7
     assert all(r.holds for r in run.predict("test", score="name_token_jaccard").collect())
-    out = spark.read.option("sep", "\t").option("header", True).csv(f"{root}/submission/test")
+    out = spark.read.option("sep", "\t").option("header", True).csv(f"{root}/submission/test.tsv")
     assert out.count() == 30 and out.where("matched_entity_ids LIKE 'S2-1,%'").count() >= 1
 
 
+def test_reports(spark, root):
+    run = Run(spark, root, LinkConfig(blockers=BLOCKERS), "tsv")
+    run.prepare(("train",))
+    assert run.s1("train").where("address_norm = '1 main st'").count() == 1, "a prepared table of TSV reads like one of Parquet"
+    run.candidates("train")
+    read = lambda name: spark.read.option("sep", "\t").option("header", True).option("inferSchema", True).csv(f"{root}/reports/train/{name}")
+    assert all(read(f"errors/{n}").count() for n in run.analyze("train") if n not in ("causes", "examples", "diagnosis"))
+    assert read("errors/combinations").count() == 15 and read("errors/proposals").count() == 14
+    assert {r.group for r in read("errors/diagnosis").collect()} <= {"missed", "recovered"}
+    assert all(read(f"statistics/{n}").columns for n in run.statistics("train"))
+    n = run.calibrate("train", "token", budget=10**9)
+    assert n == run.calibrate("train", "token", budget=10**9) > 12
+
+
+def test_runs_are_compared(spark, root, tmp_path):
+    run = Run(spark, root)
+    run.prepare(("train",))
+    run.candidates("train")
+    run.features("train", entities="all")
+    run.train("train", score="name_token_jaccard")
+    shutil.copytree(root, str(tmp_path / "other"))
+    other = Run(spark, str(tmp_path / "other"))
+    other.train("train", score="name_length_ratio")
+    got = {r.run: r for r in run.compare({"same": root, "length": other.root}).collect()}
+    assert got["same"].delta_score_zero == 0 and got["length"].n_rows >= got["this"].n_rows
+
+
+def test_models_are_checked_when_loaded(spark, tmp_path):
+    rows = spark.createDataFrame([(f"S1-{i}", i // 2 % 2, i % 2, float(i % 2) + (i % 5) / 9, None if i % 3 else 1.0) for i in range(60)], "s1_id string, fold int, label int, x double, y double")
+    settings = matcher.TreeSettings(rounds=2, least_rows=1)
+    scored, models = matcher.out_of_fold(rows, ["x", "y"], 2, settings)
+    assert scored.where("(score > 0.5) = (label = 1)").count() == 60
+    path = str(tmp_path / "model")
+    matcher.save_models(models, path, ["x", "y"], settings)
+    assert matcher.describe_models(spark, path) == {"folds": 2, "features": ["x", "y"], "settings": {"depth": 5, "least_rows": 1, "rate": 0.05, "rounds": 2, "seed": 42}}
+    back = matcher.predict(rows, ["x", "y"], matcher.load_models(path, 2, ["x", "y"]))
+    assert back.where("(score > 0.5) = (label = 1)").count() == 60
+    with pytest.raises(ValueError, match="folds"):
+        matcher.load_models(path, 3)
+    with pytest.raises(ValueError, match="z"):
+        matcher.load_models(path, 2, ["x", "z"])
+
+
+def test_indexes_know_what_they_are(spark, root):
+    run = Run(spark, root)
+    run.prepare(("train",))
+    counts = run.postings()
+    assert run.load_postings("train", "token").count() == counts["token"] and run.load_frequencies("train", "char").count() == counts["char_df"]
+    with pytest.raises(ValueError, match="settings"):
+        Run(spark, root, LinkConfig(token=KeyConfig(7, 2))).load_postings("train", "token")
+    path = f"{root}/postings/train/token"
+    with pytest.raises(ValueError, match="char postings"):
+        files.load_index(spark, path, "char postings")
+    spark.read.parquet(f"{path}/rows").limit(1).write.parquet(f"{path}/short")
+    shutil.rmtree(f"{path}/rows")
+    shutil.move(f"{path}/short", f"{path}/rows")
+    with pytest.raises(ValueError, match="1 of"):
+        run.load_postings("train", "token")
+    with pytest.raises(FileNotFoundError, match="nowhere"):
+        files.load_index(spark, f"{root}/nowhere", "token postings")
+
+
+def test_missing_and_malformed_inputs(spark, root):
+    with pytest.raises(FileNotFoundError, match="dev/source1.tsv"):
+        Run(spark, root).prepare(("dev",))
+    with open(f"{root}/raw/train/source2.tsv", "a") as f:
+        f.write("S2-99\tonly two\n")
+    assert files.malformed_rows(spark, f"{root}/raw/train/source2.tsv") == 1
+    with pytest.warns(UserWarning, match="source2.tsv has 1 lines"):
+        Run(spark, root).prepare(("train",))
+
+
+def test_command_line(spark, root, capsys):
+    assert main(["prepare", root]) == 0 and main(["candidates", root, "--blockers", "exact_name,suffix_stripped"]) == 0
+    assert spark.read.parquet(f"{root}/candidates/train").where("array_contains(blockers, 'source2:token')").count() == 0
+    assert main(["candidates", root, "--blockers", "nonsense"]) == 1 and "nonsense" in capsys.readouterr().err
+
+
+def test_a_table_survives_a_broken_publication(spark, tmp_path):
+    path = str(tmp_path / "out")
+    files.published(spark.range(3), path)
+    shutil.move(path, f"{path}.old")  # as a run leaves it that ends between the two renames
+    assert files.read_published(spark, path).count() == 3
+    assert files.published(spark.range(4), path) == 4 and not os.path.exists(f"{path}.old")
+
+
+def test_single_file_and_zip(spark, tmp_path):
+    path = str(tmp_path / "one.tsv")
+    rows = spark.createDataFrame([(2, "b", ""), (1, "a", "x y"), (3, 'c"', "z")], "p int, i string, t string")
+    assert files.write_single(rows, path, "p") == 3
+    assert open(path).read() == 'i\tt\na\tx y\nb\t\nc"\tz\n'
+    with zipfile.ZipFile(tmp_path / "x.tsv.zip", "w") as z:
+        z.writestr("x.tsv", HEAD + 'S1-1\tA "q\t\tNULL\nS1-2\t\t\t\n')
+    got = files.read_tsv(spark, str(tmp_path / "x.tsv.zip")).orderBy("row_pos").collect()
+    assert [tuple(r)[:4] for r in got] == [("S1-1", 'A "q', "", "NULL"), ("S1-2", "", "", "")]
+
+
 def test_tsv(spark, tmp_path):
     with gzip.open(tmp_path / "x.tsv.gz", "wt") as f:
         f.write(HEAD + 'S1-1\tA "quoted\t\tNULL\nS1-2\t\t\t\n')

@@ -1,30 +1,30 @@
-"""Queries on the job's settings cover what the ones with a cap of 20 leave out."""
-
-import inspect
+"""Registered queries run on the job's settings."""
 
 from recordloom.config import LinkConfig
 from recordloom.operators import features, matcher
 from recordloom.plans import errors, queries
-from recordloom.plans.jobs import Run
 from recordloom.sources.tables import corpus
 
 SMALL = "/root/testdata/sf0.001"
 
 
 def test_diagnosis_covers_all_candidates(spark):
-    rows = queries.QUERIES["pair_diagnosis_production"](spark, SMALL).collect()
+    rows = queries.QUERIES["pair_diagnosis"](spark, SMALL).collect()
     candidates = queries.QUERIES["union_provenance"](spark, SMALL).collect()
     assert {(r.s1_id, r.target_id) for r in rows} == {(r.s1_id, r.target_id) for r in candidates}
-    tight = queries.QUERIES["pair_diagnosis"](spark, SMALL).collect()
-    assert len(rows) != len(tight)
 
 
 def test_reachability_goes_by_the_cap_of_the_job(spark):
-    reached = sum(r.n_entities for r in queries.QUERIES["reachability_production"](spark, SMALL).collect() if r.by_token)
+    reached = sum(r.n_entities for r in queries.QUERIES["reachability"](spark, SMALL).collect() if r.by_token)
     [at] = [r.n_reached for r in queries.QUERIES["census_by_cap"](spark, SMALL).collect() if r.cap == queries.TOKEN.df_cap]
     assert reached == at
 
 
+def test_settings_are_those_of_the_job():
+    config = LinkConfig()
+    assert (queries.TOKEN, queries.CHAR, queries.AT) == (config.token, config.char, config.recall_at)
+
+
 def test_missed_pairs_are_those_of_the_union(spark, monkeypatch):
     seen = []
     made = errors.missed_pairs
@@ -34,10 +34,10 @@ def test_missed_pairs_are_those_of_the_union(spark, monkeypatch):
     assert seen[0].columns == whole.columns and seen[0].count() == whole.count()
 
 
-def test_matcher_has_the_features_folds_and_rounds_of_the_job(spark, monkeypatch):
+def test_matcher_has_the_features_and_folds_of_the_job(spark, monkeypatch):
     seen = []
-    monkeypatch.setattr(matcher, "out_of_fold", lambda rows, names, k, rounds: seen.append((rows, names, k, rounds)) or (rows.withColumn("score", rows.label), []))
+    monkeypatch.setattr(matcher, "out_of_fold", lambda rows, names, k, settings: seen.append((rows, names, k, settings)) or (rows.withColumn("score", rows.label), []))
     queries.QUERIES["gbt_oof"](spark, SMALL)
-    [(rows, names, k, rounds)] = seen
-    assert names == list(features.TYPES) and set(names) <= set(rows.columns)
-    assert k == LinkConfig().folds and rounds == inspect.signature(Run.train).parameters["rounds"].default
+    [(rows, names, k, settings)] = seen
+    assert names == list(features.TYPES) and set(names) <= set(rows.columns) and k == LinkConfig().folds
+    assert (settings.depth, settings.rate) == (matcher.TreeSettings().depth, matcher.TreeSettings().rate)
