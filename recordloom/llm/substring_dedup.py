@@ -1,23 +1,22 @@
 """Removal of long passages that repeat, by compacted paths of a de Bruijn graph.
 
-The graph's edges are the k-mers of the corpus, windows of ``k`` successive words. An edge is repeated if its k-mer
-starts at two places or more, and every word that a repeated edge covers is removed.
-
-Single edges are never shuffled by the billion. A document's edges are cut into pieces, a piece being a run of
-successive edges with the same minimizer (the least hash of a short run of words within the window, the leftmost on a
-tie). As a k-mer decides its minimizer, equal edges are in pieces of equal minimizers:
-
-1. Minimizers that occur once, most of them, settle all edges of their piece as unrepeated. Each block counts its own
-   minimizers first, so one row per block and minimizer is shuffled.
-2. Pieces with a repeated minimizer meet by minimizer. Where a whole piece repeats, the path through it doesn't branch
-   between its occurrences, and it stays compact: all its edges are repeated.
-3. Where different pieces have the same minimizer, the graph branches within them, and their edges are compared one by
-   one, by two independent 64-bit hashes.
-4. What repeats goes back to its blocks, where the source coordinates of the pieces and edges are found again and give
-   the spans of words.
-
-Work and shuffle are linear in the text: nothing is paired. Blocks hold
-words, not texts (see blocks.py); equality is that of 128-bit hashes.
+The graph's edges are the k-mers of the corpus, windows of ``k`` successive words; its nodes are (k-1)-mers, an edge leading
+from its first k-1 words to its last. An edge is repeated if its k-mer starts at two places or more, and every word that a
+repeated edge covers is removed. Only repeated edges make it into the graph:
+
+1. A document's edges are cut into pieces, a piece being a run of successive edges with the same minimizer (the least hash
+   of a short run of words within the window, the leftmost on a tie). As a k-mer decides its minimizer, equal edges are in
+   pieces of equal minimizers, and those of a minimizer that occurs once, most of them, are unrepeated.
+2. Where all pieces of a minimizer are equal, the piece is a path that doesn't branch: it enters the graph as one compact
+   edge. Where they differ, the graph branches within them, and they enter it edge by edge.
+3. Nodes count what enters and what leaves them. Where it is one each, the path doesn't branch, and the two are joined;
+   paths are compacted through joins, as components of these links.
+4. What repeats goes back to its blocks with its path. It is looked for by a rolling hash and verified by a 128-bit digest
+   of the very words at its source coordinates. What follows each other there on a path is one span, and spans are
+   what is removed.
+
+Work and shuffle are linear in the text: nothing is paired, and counts are combined by block before the shuffle. Blocks hold
+words, not texts (see blocks.py). Equality is that of 128-bit digests of words; rolling hashes only choose what to look at.
 """
 
 from __future__ import annotations
@@ -28,49 +27,80 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
 from .common import WORD, join_groups, stage, trim
+from .components import components
 from .hashing import U64, is_in, mix, rolling, signed, sliding_min, unsigned
 
 K = 35
 SUB = 8
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-_PLACE = U64((1 << 28) - 1)  # the low bits of a minimizer's key tell its place
+_PLACES = 1 << 20
+ITEM = "roll long, digest binary, src long, dst long, edges int, block long, n long"
 
 
 @dataclass
 class Pieces:
-    """The pieces of a range of a block's documents: first and last edge, minimizer and content."""
+    """The pieces of a range of a block's documents: first and last edge, minimizer, rolling hash; and hashes of all edges
+    and nodes."""
 
+    words: list[bytes]
+    part: np.ndarray
     first: np.ndarray
     last: np.ndarray
     least: np.ndarray
-    content: tuple[np.ndarray, np.ndarray]
-    edges: tuple[np.ndarray, np.ndarray]
-
-
-def _pieces(h: tuple[np.ndarray, np.ndarray], ends: np.ndarray, k: int, sub: int) -> Pieces:
+    roll: np.ndarray
+    edges: np.ndarray
+    nodes: np.ndarray
+    _text: tuple[memoryview, np.ndarray] | None = None
+
+    def digests(self, first: np.ndarray, size: np.ndarray | int) -> list[bytes]:
+        """128-bit digests of the words from each ``first`` on, ``size`` of them."""
+        if self._text is None:
+            own = [self.words[c] for c in self.part.tolist()]
+            ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1)])
+            self._text = memoryview(b" ".join(own)), ends
+        text, ends = self._text
+        return [xxhash.xxh3_128_digest(text[a:b]) for a, b in zip(ends[first].tolist(), (ends[first + size] - 1).tolist())]
+
+
+def leftmost_least(seeds: np.ndarray, width: int) -> np.ndarray:
+    """Where the least of every ``width`` successive seeds is, the leftmost on a tie. By ranges of ``_PLACES``, so that a
+    place needs few bits beside the order of the seeds, however long the text."""
+    out = []
+    for at in range(0, max(0, len(seeds) - width + 1), _PLACES):
+        part = seeds[at : at + _PLACES + width - 1]
+        rank = np.empty(len(part), np.int64)
+        order = np.argsort(part, kind="stable")
+        value = part[order]
+        rank[order] = np.cumsum(np.concatenate([[0], (value[1:] != value[:-1]).astype(np.int64)]))
+        least = sliding_min(rank * len(part) + np.arange(len(part)), width)
+        out.append(at + least % len(part))
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def _pieces(words: list[bytes], part: np.ndarray, h: tuple[np.ndarray, np.ndarray], ends: np.ndarray, k: int, sub: int) -> Pieces:
     """h: both hashes of each word; ends: of the documents, from 0."""
-    edges = tuple(rolling(x, k, b) for x, b in zip(h, _BASES))
+    edges = rolling(h[0], k, _BASES[0])
+    nodes = mix(rolling(h[0], k - 1, _BASES[0]) + mix(rolling(h[1], k - 1, _BASES[1]))) if k > 1 else np.zeros(len(part) + 1, U64)
     seeds = mix(rolling(h[0], sub, _BASES[0]))
-    key = (seeds & ~_PLACE) | np.arange(len(seeds), dtype=U64)
-    least = sliding_min(key, k - sub + 1)
-    starts = np.arange(len(least))
+    place = leftmost_least(seeds, k - sub + 1)
+    starts = np.arange(len(place))
     starts = starts[starts + k <= np.repeat(ends[1:], np.diff(ends))[: len(starts)]]
-    place = (least[starts] & _PLACE).astype(np.int64)
+    place = place[starts]
     cut = np.flatnonzero((np.diff(place) != 0) | (np.diff(starts) != 1)) + 1
     at = np.concatenate([[0], cut]) if len(starts) else cut
     to = np.concatenate([cut, [len(starts)]]) - 1 if len(starts) else cut
     first, last = starts[at], starts[to]
     # first and last edge overlap, so they tell the whole piece
-    content = tuple(mix(e[first] * U64(0xA24BAED4963EE407) + e[last] * U64(0x9FB21C651E98DF25) + (last - first).astype(U64)) for e in edges)
-    return Pieces(first, last, seeds[place[at]], content, edges)
+    roll = mix(edges[first] * U64(0xA24BAED4963EE407) + edges[last] * U64(0x9FB21C651E98DF25) + (last - first).astype(U64))
+    return Pieces(words, part, first, last, seeds[place[at]], roll, edges, nodes)
 
 
-def _each(row: dict, k: int, sub: int) -> Iterator[tuple[int, int, np.ndarray, Pieces]]:
+def _each(row: dict, k: int, sub: int) -> Iterator[tuple[int, int, Pieces]]:
     """Pieces of a block, by ranges of documents that bound the memory."""
     words, codes, ends = blocks.block_words(row)
     digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), "<u8").reshape(-1, 2)
@@ -78,15 +108,7 @@ def _each(row: dict, k: int, sub: int) -> Iterator[tuple[int, int, np.ndarray, P
     for a, b in blocks.doc_chunks(ends):
         part = codes[ends[a] : ends[b]]
         trim()
-        yield a, b, part, _pieces((both[0][part], both[1][part]), ends[a : b + 1] - ends[a], k, sub)
-
-
-def _rows(names: str, *columns: np.ndarray) -> pa.Table:
-    return pa.table([pa.array(signed(c) if c.dtype == U64 else c) for c in columns], names=names.split())
-
-
-def _joined(parts: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate(parts) if parts else np.zeros(0, U64)
+        yield a, b, _pieces(words, part, (both[0][part], both[1][part]), ends[a : b + 1] - ends[a], k, sub)
 
 
 def _spread(p: Pieces, chosen: np.ndarray) -> np.ndarray:
@@ -96,13 +118,58 @@ def _spread(p: Pieces, chosen: np.ndarray) -> np.ndarray:
     return np.repeat(first - (total - n), n) + np.arange(int(n.sum()))
 
 
+class _Items:
+    """Distinct items of a block by digest, with how often they occur."""
+
+    def __init__(self):
+        self.met: dict[bytes, int] = {}
+        self.rows: list[tuple] = []
+        self.counts: list[int] = []
+
+    def add(self, p: Pieces, digests: list[bytes], roll: np.ndarray, src: np.ndarray, dst: np.ndarray, edges: np.ndarray, least: np.ndarray) -> None:
+        met, rows, counts = self.met, self.rows, self.counts
+        columns = zip(digests, signed(roll).tolist(), signed(src).tolist(), signed(dst).tolist(), edges.tolist(), signed(least).tolist())
+        for digest, *rest in columns:
+            at = met.setdefault(digest, len(rows))
+            if at == len(rows):
+                rows.append((digest, *rest))
+                counts.append(1)
+            else:
+                counts[at] += 1
+
+    def table(self, block: int, with_least: bool) -> pa.Table:
+        digest, roll, src, dst, edges, least = zip(*self.rows) if self.rows else ((),) * 6
+        n = len(digest)
+        columns = [pa.array(roll, pa.int64()), pa.array(digest, pa.binary()), pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.array(edges, pa.int32()), pa.array([block] * n, pa.int64()), pa.array(self.counts, pa.int64())]
+        names = [x.split()[0] for x in ITEM.split(", ")]
+        return pa.table([*columns, pa.array(least, pa.int64())], names=[*names, "least"]) if with_least else pa.table(columns, names=names)
+
+
+def _number(block: pa.Table) -> int:
+    return block.column("block")[0].as_py() if len(block) else 0
+
+
+def compacted(items: DataFrame) -> DataFrame:
+    """Adds ``path`` to distinct items (digest, src, dst, …): one number for all items of a path that doesn't branch.
+
+    A node that one item enters and one leaves joins the two; the components of these links are the paths."""
+    items = items.withColumn("item", F.xxhash64("digest"))
+    none = F.lit(None).cast("long")
+    ends = F.array(F.struct(F.col("src").alias("node"), F.col("item").alias("leaves"), none.alias("enters")), F.struct(F.col("dst").alias("node"), none.alias("leaves"), F.col("item").alias("enters")))
+    nodes = items.select(F.explode(ends).alias("x")).groupBy("x.node")
+    nodes = nodes.agg(F.count("x.leaves").alias("out"), F.count("x.enters").alias("in"), F.max("x.enters").alias("a"), F.max("x.leaves").alias("b"))
+    paths = components(nodes.where((F.col("out") == 1) & (F.col("in") == 1) & (F.col("a") != F.col("b"))).select("a", "b"))
+    return items.join(paths.select(F.col("node").alias("item"), F.col("root").alias("path")), "item", "left").withColumn("path", F.coalesce("path", "item")).drop("item")
+
+
 def repeated_spans(docs: DataFrame, k: int = K, sub: int = SUB, id_col: str = "doc_id", text_col: str = "text", block_words: int = blocks.BLOCK_WORDS) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, removed (spans of words: first, words) and kept, the other
-    words with a space between.
+    """One row per document: doc_id, n_words, n_removed, removed (spans of words: first, words), kept, the other words with a
+    space between, and paths, the numbers of the graph's compact paths that it shares, in order.
 
     A word is removed if a window of ``k`` words over it also starts elsewhere, in this or any other document, as judged
-    on the input. Null texts have no words, texts of under ``k`` words lose none. Ids may be null or repeat: rows that
-    repeat whole are copies of each other, and lose all that a window covers. Other columns aren't read.
+    on the input. Null texts have no words, texts of under ``k`` words lose none, texts may be of any length. Ids become longs
+    (null, where they can't) and may be null or repeat: rows that repeat whole are copies of each other, and lose all that a
+    window covers. An empty table gives none. Other columns aren't read.
     """
     if not 1 <= sub <= k:
         raise ValueError("sub must be from 1 to k")
@@ -112,84 +179,86 @@ def repeated_spans(docs: DataFrame, k: int = K, sub: int = SUB, id_col: str = "d
     def minimizers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                least, n = np.unique(_joined([p.least for *_, p in _each(row, k, sub)]), return_counts=True)
-                yield from _rows("least block n", least, np.full(len(least), row["block"]), n).to_batches(1 << 16)
-
-    def occurs(*by: str):
-        return F.sum("n").over(Window.partitionBy(*by))
+                parts = [p.least for *_, p in _each(row, k, sub)]
+                least, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, U64), return_counts=True)
+                yield from pa.table([pa.array(signed(least)), pa.array(np.full(len(least), row["block"])), pa.array(n)], names=["least", "block", "n"]).to_batches(1 << 16)
 
-    seeds = packed.select("block", "doc_words", "words", "codes").mapInArrow(minimizers, "least long, block long, n long")
-    seeds = seeds.withColumn("all", occurs("least")).where("all > 1").select("block", "least")
+    seeds = stage(packed.select("block", "doc_words", "words", "codes").mapInArrow(minimizers, "least long, block long, n long"), "span-seeds")
+    again = seeds.groupBy("least").agg(F.sum("n").alias("all"), F.count("*").alias("rows")).where("all > 1").drop("all")
+    wanted = join_groups(seeds, again, "least", "rows", seeds.count()).select("block", "least")
 
     def contents(seeds: pa.Table, block: pa.Table) -> pa.Table:
-        wanted, found = unsigned(seeds.column("least")), []
+        wanted, items = unsigned(seeds.column("least")), _Items()
         for row in block.to_pylist() if len(wanted) else []:
             for *_, p in _each(row, k, sub):
-                mine = is_in(p.least, wanted)
-                found.append((p.least[mine], p.content[0][mine], p.content[1][mine]))
-        least, c1, c2 = (_joined([x[i] for x in found]) for i in range(3))
-        one, at, n = np.unique(c1, return_index=True, return_counts=True)
-        number = block.column("block")[0].as_py() if len(block) else 0
-        return _rows("least c1 c2 block n", least[at], one, c2[at], np.full(len(one), number), n.astype(np.int64))
-
-    pieces = seeds.groupBy("block").cogroup(by_block).applyInArrow(contents, "least long, c1 long, c2 long, block long, n long")
-    # a passage that many documents share, in different surroundings, is one minimizer with as many pieces: counts are
-    # combined before the shuffle, and a hot minimizer's pieces stay where they are
-    pieces = stage(pieces, "span-found")
-    same = stage(pieces.groupBy("least", "c1", "c2").agg(F.sum("n").alias("same")), "span-same")
-    every = same.groupBy("least").agg(F.sum("same").alias("all"), F.count("*").alias("different"))
-    known = join_groups(same, every, "least", "different", same.count()).drop("different")
-    pieces = pieces.join(known, ["least", "c1", "c2"])
-    pieces = stage(pieces.select("block", "least", "c1", (F.col("same") > 1).alias("whole"), (F.col("all") > F.col("same")).alias("branches")), "span-pieces")
-
-    def opened(pieces: pa.Table, block: pa.Table) -> pa.Table:
-        least, c1 = unsigned(pieces.column("least")), unsigned(pieces.column("c1"))
-        whole, branches = (pieces.column(x).to_numpy() for x in ("whole", "branches"))
-        open_, closed, found = np.unique(least[branches]), c1[whole], []
-        for row in block.to_pylist() if len(open_) else []:
+                i = np.flatnonzero(is_in(p.least, wanted))
+                first, last = p.first[i], p.last[i]
+                items.add(p, p.digests(first, last - first + k), p.roll[i], p.nodes[first], p.nodes[last + 1], last - first + 1, p.least[i])
+        return items.table(_number(block), True)
+
+    def told(name: str) -> Column:  # the words tell the rest
+        return F.first(name).alias(name)
+
+    pieces = stage(wanted.groupBy("block").cogroup(by_block).applyInArrow(contents, f"{ITEM}, least long"), "span-pieces")
+    same = stage(pieces.groupBy("digest").agg(F.sum("n").alias("all"), F.count("*").alias("rows"), *map(told, ("src", "dst", "edges", "least"))), "span-same")
+    kinds = same.groupBy("least").agg(F.count("*").alias("kinds"))
+    known = stage(join_groups(same, kinds, "least", "kinds", same.count()), "span-known")
+    branching = join_groups(pieces.select("digest", "block", "least"), known.where("kinds > 1").select("digest", "rows"), "digest", "rows", pieces.count()).select("block", "least").distinct()
+
+    def opened(branching: pa.Table, block: pa.Table) -> pa.Table:
+        wanted, items = unsigned(branching.column("least")), _Items()
+        for row in block.to_pylist() if len(wanted) else []:
             for *_, p in _each(row, k, sub):
-                mine = np.flatnonzero(is_in(p.least, open_))
-                for chosen, ask in ((mine[~is_in(p.content[0][mine], closed)], True), (mine[is_in(p.content[0][mine], closed)], False)):
-                    at = _spread(p, chosen)
-                    found.append((p.edges[0][at], p.edges[1][at], np.full(len(at), ask)))
-        e1, e2, ask = _joined([x[0] for x in found]), _joined([x[1] for x in found]), _joined([x[2] for x in found]).astype(bool)
-        one, at, back, n = np.unique(e1, return_index=True, return_inverse=True, return_counts=True)
-        asked = np.bincount(back, ask, len(one)) > 0
-        number = block.column("block")[0].as_py() if len(block) else 0
-        return _rows("e1 e2 block n ask", one, e2[at], np.full(len(one), number), n.astype(np.int64), asked)
-
-    edges = pieces.groupBy("block").cogroup(by_block).applyInArrow(opened, "e1 long, e2 long, block long, n long, ask boolean")
-    edges = edges.withColumn("all", occurs("e1", "e2")).where("all > 1 and ask")
-    repeated = pieces.where("whole").select("block", F.lit(True).alias("piece"), F.col("c1").alias("hash"))
-    repeated = repeated.unionByName(edges.select("block", F.lit(False).alias("piece"), F.col("e1").alias("hash")))
+                at = _spread(p, np.flatnonzero(is_in(p.least, wanted)))
+                items.add(p, p.digests(at, k), p.edges[at], p.nodes[at], p.nodes[at + 1], np.ones(len(at), np.int64), np.zeros(len(at), U64))
+        return items.table(_number(block), False)
+
+    edges = stage(branching.groupBy("block").cogroup(by_block).applyInArrow(opened, ITEM), "span-edges")
+    single = edges.groupBy("digest").agg(F.sum("n").alias("all"), F.count("*").alias("rows"), *map(told, ("src", "dst", "edges"))).where("all > 1")
+    items = stage(known.where("kinds = 1 and all > 1").select("digest", "rows", "src", "dst", "edges", F.lit(True).alias("whole")).unionByName(single.select("digest", "rows", "src", "dst", "edges", F.lit(False).alias("whole"))), "span-items")
+    paths = stage(compacted(items).select("digest", "rows", "whole", "path"), "span-paths")
+    places = lambda df, whole: join_groups(df.select("digest", "roll", "block"), paths.where(F.col("whole") == whole), "digest", "rows", df.count())
+    repeated = places(pieces, True).unionByName(places(edges, False)).select("block", "roll", "digest", "whole", "path")
 
     spans = pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32())]))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("removed", spans), ("kept", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("removed", spans), ("kept", pa.string()), ("paths", pa.list_(pa.int64()))])
 
     def removed(repeated: pa.Table, block: pa.Table) -> pa.Table:
-        hashes, piece = unsigned(repeated.column("hash")), repeated.column("piece").to_numpy()
-        pieces, edges, batches = hashes[piece], hashes[~piece], []
+        rolls, whole, batches = unsigned(repeated.column("roll")), repeated.column("whole").to_numpy(), []
+        path_of = dict(zip(repeated.column("digest").to_pylist(), repeated.column("path").to_pylist()))
         for row in block.to_pylist():
             words, doc_ids, counts = [w.decode() for w in blocks.words_of(row["words"])], row["doc_ids"], row["doc_words"]
-            for a, b, part, p in _each(row, k, sub):
-                whole = is_in(p.content[0], pieces)
-                rest = _spread(p, np.flatnonzero(~whole))
-                starts = np.concatenate([_spread(p, np.flatnonzero(whole)), rest[is_in(p.edges[0][rest], edges)]])
-                step = np.zeros(len(part) + 1, np.int64)
-                step[starts] += 1  # each start is there once
-                step[starts + k] -= 1
+            for a, b, p in _each(row, k, sub):
+                i = np.flatnonzero(is_in(p.roll, rolls[whole]))
+                at = _spread(p, np.setdiff1d(np.arange(len(p.first)), i, assume_unique=True))
+                at = at[is_in(p.edges[at], rolls[~whole])]
+                first = np.concatenate([p.first[i], at])
+                size = np.concatenate([p.last[i] - p.first[i] + 1, np.ones(len(at), np.int64)])
+                # by the words that are there: what only its rolling hash brought here is in no path
+                paths = [path_of.get(d) for d in p.digests(first, size + k - 1)]
+                good = np.array([x is not None for x in paths], bool)
+                order = np.flatnonzero(good)[np.argsort(first[good], kind="stable")]
+                first, size, path = first[order], size[order], np.array([paths[j] for j in order.tolist()], np.int64)
+                turn = np.concatenate([[True], (path[1:] != path[:-1]) | (first[1:] != first[:-1] + size[:-1])]) if len(order) else np.zeros(0, bool)
+                starts = np.flatnonzero(turn)
+                ends = np.concatenate([starts[1:], [len(order)]]) - 1 if len(order) else starts
+                step = np.zeros(len(p.part) + 1, np.int64)
+                np.add.at(step, first[starts], 1)
+                np.add.at(step, first[ends] + size[ends] - 1 + k, -1)
                 gone = np.cumsum(step[:-1]) > 0
-                rows, at = [], 0
-                for i in range(a, b):
-                    mine, mask = part[at : at + counts[i]], gone[at : at + counts[i]]
-                    at += counts[i]
-                    turn = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]])))
-                    rows.append((doc_ids[i], counts[i], int(mask.sum()), [{"first": int(s), "words": int(e - s)} for s, e in zip(turn[::2], turn[1::2])], " ".join(map(words.__getitem__, mine[~mask].tolist()))))
+                rows, place = [], 0
+                for j in range(a, b):
+                    mine, mask = p.part[place : place + counts[j]], gone[place : place + counts[j]]
+                    x, y = np.searchsorted(first[starts], [place, place + counts[j]])
+                    place += counts[j]
+                    edge = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]])))
+                    shared = list(dict.fromkeys(path[starts[x:y]].tolist()))
+                    rows.append((doc_ids[j], counts[j], int(mask.sum()), [{"first": int(s), "words": int(e - s)} for s, e in zip(edge[::2], edge[1::2])], " ".join(map(words.__getitem__, mine[~mask].tolist())), shared))
                 batches.append(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema))
         trim()
         return pa.Table.from_batches(batches, schema)
 
-    out = "doc_id long, n_words long, n_removed long, removed array<struct<first: int, words: int>>, kept string"
+    out = "doc_id long, n_words long, n_removed long, removed array<struct<first: int, words: int>>, kept string, paths array<long>"
     return repeated.groupBy("block").cogroup(by_block).applyInArrow(removed, out)
 
 

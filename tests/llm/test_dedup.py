@@ -225,3 +225,51 @@ def test_repeated_rows_are_copies(make):
     text = " ".join(f"q{i}" for i in range(40))
     got = substring_dedup.repeated_spans(make([text, text], ids=[1, 1])).collect()
     assert [r.n_removed for r in got] == [40, 40] and {r.doc_id for r in got} == {1}
+
+
+def test_paths_that_dont_branch_are_compacted(spark):
+    """Chains 1-2-3-4 and 8-9, a fork at 4, a cycle 20-21-20 and an item by itself."""
+    items = [("a", 1, 2), ("b", 2, 3), ("c", 3, 4), ("d", 4, 5), ("e", 4, 6), ("f", 8, 9), ("g", 20, 21), ("h", 21, 20)]
+    rows = spark.createDataFrame([(d.encode(), s, t) for d, s, t in items], "digest binary, src long, dst long")
+    path = {bytes(r.digest).decode(): r.path for r in substring_dedup.compacted(rows).collect()}
+    groups = defaultdict(set)
+    for d, p in path.items():
+        groups[p].add(d)
+    assert sorted(map(sorted, groups.values())) == [["a", "b", "c"], ["d"], ["e"], ["f"], ["g", "h"]]
+
+
+def test_spans_name_the_paths_they_share(make):
+    rng = random.Random(12)
+    words = lambda n: " ".join(f"v{rng.randint(0, 10**6)}" for _ in range(n))
+    one, two = words(120), words(90)
+    texts = [f"{words(10)} {one} {words(9)}", f"{one} {words(30)}", f"{two} {words(5)} {one}", two, words(200)]
+    rows = {r.doc_id: r for r in substring_dedup.repeated_spans(make(texts)).collect()}
+    assert [len(rows[i].paths) for i in range(5)] == [1, 1, 2, 1, 0], "a passage is one path"
+    assert rows[0].paths == rows[1].paths and set(rows[2].paths) == {*rows[0].paths, *rows[3].paths}
+    assert [(s.first, s.words) for s in rows[2].removed] == [(0, 90), (95, 120)]
+
+
+def test_leftmost_least_over_ranges(monkeypatch):
+    rng = np.random.default_rng(3)
+    seeds = rng.integers(0, 9, 500).astype(np.uint64)
+    plain = [i + int(np.argmin(seeds[i : i + 7])) for i in range(494)]
+    for places in (1 << 20, 50):
+        monkeypatch.setattr(substring_dedup, "_PLACES", places)
+        assert substring_dedup.leftmost_least(seeds, 7).tolist() == plain
+    assert len(substring_dedup.leftmost_least(seeds[:3], 7)) == 0
+
+
+def test_digests_are_of_the_words_at_their_places(monkeypatch):
+    """Whatever the rolling hashes, which have three bits here."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(60)) for _ in range(12)]
+    texts += texts[:3]
+    full = substring_dedup.rolling
+    monkeypatch.setattr(substring_dedup, "rolling", lambda h, k, base: full(h, k, base) & np.uint64(7))
+    words = sorted({w.encode() for t in texts for w in t.split()})
+    code = {w: i for i, w in enumerate(words)}
+    part = np.array([code[w.encode()] for w in texts[0].split()])
+    h = np.arange(len(words), dtype=np.uint64)
+    p = substring_dedup._pieces(words, part, (h[part], h[part]), np.array([0, len(part)]), 5, 2)
+    digests = p.digests(np.arange(10), 5)
+    assert digests == [xxhash.xxh3_128_digest(" ".join(texts[0].split()[i : i + 5]).encode()) for i in range(10)]

@@ -181,3 +181,12 @@ def test_search_is_exact_beyond_doubles(spark):
     assert search(spark, rows, 5, 50, "double") == plain_search(rows, 5, 50)
     with pytest.raises(Exception, match="OverflowError|overflow|too large|int"):
         search(spark, [(0, [1e12]), (1, [1e12])], 5, 50, "double")
+
+
+def test_mix_is_the_same_for_many_sources(make, monkeypatch):
+    """Sources that don't fit a broadcast meet their documents in a join that splits hot ones."""
+    texts = [f"w{i} " * (i % 7) for i in range(300)]
+    docs = make(texts, sources=["hot" if i % 3 else (None if i % 5 == 0 else f"s{i}") for i in range(300)])
+    once = sorted(map(str, mixing.mix_table(docs).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 1)
+    assert sorted(map(str, mixing.mix_table(docs).collect())) == once
