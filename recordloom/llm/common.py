@@ -2,23 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import re
-import shutil
-import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.session import scratch_dir
+
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A side of a join is broadcast only below this many bytes, counted before the join is planned.
 BROADCAST_BYTES = 64 << 20
 
-_own_dir: str | None = None
 
 
 def trim() -> None:
@@ -30,37 +27,24 @@ def trim() -> None:
         pass
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``. Where it is unset, a local session gets a folder of its own; a cluster
-    must name one, as the executors' local disks aren't shared."""
-    global _own_dir
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="recordloom-")
-        atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
-    return f"file://{_own_dir}"
-
-
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back. Cuts the lineage at a table that outlives lost executors,
     and fixes what depends on the order of rows (block numbers, row numbers) once and for all."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/recordloom/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def stage_by(df: DataFrame, name: str, key: str) -> DataFrame:
     """Like ``stage``, but bucketed by ``key``: later joins and groups by it don't shuffle these rows again. The table's
-    name is dropped at once, its files stay."""
+    name is dropped at once, its files stay. There are as many buckets as shuffle partitions, or as ``df`` has partitions if
+    those are more."""
     spark = df.sparkSession
     table = f"recordloom_{name.replace('-', '_')}_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/recordloom/{name}-{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    buckets = min(most, max(int(spark.conf.get("spark.sql.shuffle.partitions")), df._jdf.rdd().getNumPartitions()))
     df.write.option("path", path).option("compression", "zstd").bucketBy(buckets, key).saveAsTable(table)
     out = spark.table(table)
     out.schema  # the plan has its files and buckets now

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder, trim
+from .common import BROADCAST_BYTES, id_remainder, trim
 
 BUCKETS = 1 << 15
 SMOOTHING = 0.5
@@ -75,7 +75,8 @@ def _groups(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
 
 def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, bytes]]:
     """Trigram counts by language (little-endian 64-bit, one a bucket), over all documents where ``learn`` holds and
-    language and text aren't null. The model has a quarter of a megabyte a language, whatever the corpus."""
+    language and text aren't null. The model has a quarter of a megabyte a language, whatever the corpus; of over 256
+    languages it is refused with a ValueError."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
@@ -102,6 +103,9 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     own = own.where(learn).where("lang is not null and text is not null").select("lang", "text")
     sums = own.mapInArrow(counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    n_langs = own.agg(F.count_distinct("lang")).first()[0]
+    if n_langs * BUCKETS * 8 > BROADCAST_BYTES:
+        raise ValueError(f"{n_langs} languages make a model that is too large to send to every task")
     tables: dict[str, np.ndarray] = {}
     for batch in sums.toArrow().to_batches():
         langs = batch.column(0).to_pylist()
@@ -202,8 +206,8 @@ def identify_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per document: doc_id, held_out (crc32 of the id mod 4 is 2; false for null ids), lang_pred and score.
 
     Learns from the text and language of documents with an id that isn't held out, predicts from texts alone. Rows are
-    scored one by one, so ids may be null or repeat; other columns aren't read. A table without any language gives
-    ``und`` throughout.
+    scored one by one, so ids may be null or repeat, and a very long text is taken whole, by itself; other columns aren't
+    read. A table without any language gives ``und`` throughout, an empty one no rows.
     """
     model = train(docs, not_held_out(F.col("doc_id")), id_col, text_col, lang_col)
     held_out = F.coalesce(id_remainder(F.col(id_col), 4) == 2, F.lit(False))

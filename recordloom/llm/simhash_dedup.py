@@ -184,8 +184,8 @@ def links(classes: DataFrame, count: int, bits: int, matches: int, limit: int =
     short = found.where("b is not null").select("a", "b")
     if dealt.isEmpty():
         return short
-    sizes = dealt.groupBy("key").agg(F.ceil(F.count("*") / limit).alias("parts"))
-    parts = dealt.join(sizes, "key").join(classes, "cls").withColumn("part", F.pmod(F.xxhash64("cls"), "parts"))
+    sizes = dealt.groupBy("key").agg(F.ceil(F.count("*") / limit).alias("parts"), F.count("*").alias("n"))
+    parts = join_groups(dealt, sizes, "key", "n", dealt.count()).drop("n").join(classes, "cls").withColumn("part", F.pmod(F.xxhash64("cls"), "parts"))
     tiles = parts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     tiles = tiles.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "cls", *prints)
 

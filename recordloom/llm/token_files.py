@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import BROADCAST_BYTES, shared_dir
+from ..sources.session import scratch_dir
+from .common import BROADCAST_BYTES
 from .jvm_functions import byte_pairs, decode_blocks, encode_blocks, pair_table
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -191,6 +192,6 @@ def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """``write`` to the shared folder, then ``summary`` of what was written: one row per document, whatever its id or text
     (see ``write``); an empty table gives none."""
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/recordloom/tokens-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write(docs, path, tokenizer)
     return summary(spark, path)

@@ -177,11 +177,11 @@ def _scorer(model: list[tuple[str, list[float]]]) -> Scorer:
     return _scorers[key]
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[tuple[str, list[float]]]:
+def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> list[tuple[str, list[float]]]:
     """The model: up to 3 * FEATURES named weights. ``learn`` is a condition on the id, for documents and labels alike.
 
     The prior is the share of toxic among learnable labels. Of several labels of an id, toxic wins; null labels count as
-    none. About POSITIVES and UNLABELLED documents, by a hash of the id, are reduced to their distinct words where they
+    none. About ``positives`` confirmed toxic documents and ``unlabelled`` others, by a hash of the id, are reduced to their distinct words where they
     lie, and one task fits on those.
     """
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")).where("doc_id is not null and label is not null").where(learn)
@@ -193,8 +193,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
         return []
     prior = min(0.5, max(1e-3, n_pos / n))
     chance = lambda salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
-    positives = known.where("label = 1").where(chance("p") < POSITIVES / n_pos).select("doc_id", F.lit(True).alias("positive"))  # about POSITIVES rows
-    sample = own.join(F.broadcast(positives), "doc_id", "left").withColumn("unlabelled", chance("u") < UNLABELLED / n_docs)
+    confirmed = known.where("label = 1").where(chance("p") < positives / n_pos).select("doc_id", F.lit(True).alias("positive"))  # about ``positives`` rows
+    sample = own.join(F.broadcast(confirmed), "doc_id", "left").withColumn("unlabelled", chance("u") < unlabelled / n_docs)
     sample = sample.where("positive or unlabelled").select(F.coalesce("positive", F.lit(False)).alias("positive"), "unlabelled", "text")
 
     def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +230,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 5, id_col:
     """One row per document: doc_id, held_out (crc32 of the id mod ``folds`` is 0; false for null ids), score, predicted.
 
     Only ids that aren't held out are learnt from, and only texts are scored. Rows are scored one by one, so ids may be
-    null or repeat. Without any toxic label, all scores are about 0. Other columns aren't read.
+    null or repeat, and texts of any length count whole. Without any toxic label, all scores are about 0; an empty table
+    gives no rows. Other columns of either table aren't read, whatever their names.
     """
     model = train(docs, labels, id_remainder(F.col("doc_id"), folds) != 0, id_col, text_col, label_col)
     out = docs.select(
