@@ -77,3 +77,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table of fewer files than there are cores, each of which may be a single row group and so a single task,
+    dealt out to all cores. Tables of more files, or of more splits than cores, stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) < cores and df._jdf.rdd().getNumPartitions() <= cores:
+        return df.repartition(cores)
+    return df

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import NormConfig
-from .session import staged
+from .session import spread, staged
 from ..functions.normalize import address_norm, country_norm, name_norm, strip_separators
 
 
@@ -23,7 +23,7 @@ class Corpus:
 
 
 def records(spark: SparkSession, sf_dir: str, config: NormConfig = NormConfig()) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     line = lambda n: F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(n))
     source = (1 + F.col("doc_id") % 3).cast("int")
     raw = docs.select(
