@@ -2,9 +2,10 @@
 
 Candidates come from min-wise hashes: ``BANDS`` keys of ``ROWS`` minima each. A pair of similarity s has no key in common
 with probability (1 - s ** ROWS) ** BANDS, which is 5e-7 at 0.8 and less above. Lists of a single set are dropped, and of
-lists with the same members one stays. Whole sets are made only for what is left and compared in the list, so that pairs
-are never written: a list gives a spanning forest of its links. Lists over ``LIST`` sets are dealt out to tiles, each of
-which compares two parts of the list.
+lists with the same members one stays. Sizes and parities of sets (see ``may_be_alike``) then rule out, exactly, most members
+that are like no other in their list. Whole sets are made only for what is left and compared in the list, so that pairs
+are never written: a list gives a spanning forest of its links. Lists with the same least member are compared in one place,
+which gets each set once. Lists over ``LIST`` sets are dealt out to tiles, each of which compares two parts of the list.
 """
 
 from __future__ import annotations
@@ -55,19 +56,35 @@ def band_keys(distinct: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def parity(distinct: np.ndarray) -> bytes:
+    """Whether the number of hashes with the same low 10 bits is odd, a bit for each."""
+    return np.packbits(np.bincount((distinct & U64(1023)).astype(np.int64), minlength=1024).astype(np.uint8) & 1).tobytes()
+
+
+def may_be_alike(size_a: np.ndarray, size_b: np.ndarray, parity_a: np.ndarray, parity_b: np.ndarray, similarity: float) -> np.ndarray:
+    """False where two sets certainly are below a similarity s: the smaller has less than s times the larger's size, or
+    their parities (as rows of 64-bit words) differ in more bits than elements can be in one set only, which are
+    (1 - s) / (1 + s) of both sizes at most."""
+    sizes = np.minimum(size_a, size_b) >= similarity * np.maximum(size_a, size_b) * (1 - 1e-9)
+    apart = np.bitwise_count(parity_a ^ parity_b).sum(-1, dtype=np.int64)
+    return sizes & (apart <= (1 - similarity) / (1 + similarity) * (size_a + size_b) * (1 + 1e-9))
+
+
 def sketches(text: Column, shingle: int) -> Column:
-    """digest (128 bits, equal for equal sets) and keys."""
+    """digest (128 bits, equal for equal sets), keys, size and parity of a text's set."""
 
-    @F.arrow_udf("struct<digest: binary, keys: array<bigint>>")
+    @F.arrow_udf("struct<digest: binary, keys: array<bigint>, size: int, parity: binary>")
     def made(texts: pa.Array) -> pa.Array:
-        digests, keys = [], []
+        digests, keys, sizes, parities = [], [], [], []
         for x in texts:
             distinct = np.unique(shingle_hashes(x.as_py(), shingle))
             digests.append(hashlib.md5(distinct.astype("<u8").tobytes()).digest())
             keys.append(band_keys(distinct))
+            sizes.append(len(distinct))
+            parities.append(parity(distinct))
         ends = np.cumsum([0, *map(len, keys)], dtype=np.int32)
         flat = pa.array(np.concatenate([np.zeros(0, np.int64), *keys]))
-        out = pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["digest", "keys"])
+        out = pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array(sizes, pa.int32()), pa.array(parities, pa.binary())], names=["digest", "keys", "size", "parity"])
         trim()
         return out
 
@@ -91,15 +108,13 @@ def forest(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     order = np.array(sorted(range(len(sets)), key=lambda i: len(sets[i])))
     ordered = [sets[i] for i in order]
     size = np.array([len(s) for s in ordered])
-    # parity of hashes by their low 10 bits: no more bits can differ than elements do
-    parity = np.stack([np.packbits(np.bincount((s & U64(1023)).astype(np.int64), minlength=1024).astype(np.uint8) & 1).view(U64) for s in ordered])
+    parities = np.stack([np.frombuffer(parity(s), U64) for s in ordered])
     root = np.arange(len(sets))
     at, step = np.arange(len(sets) - 1), 1
     while len(at):
         at = at[size[at] >= similarity * size[at + step] * (1 - 1e-9)]  # sizes only grow with the step
         pair = at[root[at] != root[at + step]]
-        apart = np.bitwise_count(parity[pair] ^ parity[pair + step]).sum(1, dtype=np.int64)
-        pair = pair[apart <= (1 - similarity) / (1 + similarity) * (size[pair] + size[pair + step]) * (1 + 1e-9)]
+        pair = pair[may_be_alike(size[pair], size[pair + step], parities[pair], parities[pair + step], similarity)]
         for i in pair.tolist():
             a, b = root[i], root[i + step]
             if a != b:
@@ -113,39 +128,76 @@ def forest(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return out
 
 
+def with_partner(size: np.ndarray, parities: np.ndarray, similarity: float) -> np.ndarray:
+    """Which members of a list may be like another one in it."""
+    order = np.argsort(size, kind="stable")
+    size, parities = size[order], parities[order]
+    found = np.zeros(len(size), bool)
+    at, step = np.arange(len(size) - 1), 1
+    while len(at):
+        at = at[size[at] >= similarity * size[at + step] * (1 - 1e-9)]
+        pair = at[~(found[at] & found[at + step])]
+        pair = pair[may_be_alike(size[pair], size[pair + step], parities[pair], parities[pair + step], similarity)]
+        found[pair] = found[pair + step] = True
+        step += 1
+        at = at[at + step < len(size)]
+    out = np.empty(len(size), bool)
+    out[order] = found
+    return out
+
+
 def candidate_lists(classes: DataFrame) -> DataFrame:
-    """(key, cls, n): the lists of two or more classes (cls, keys), n being the size; one list of those with equal members."""
+    """(key, cls, n, least): the lists of two or more classes (cls, keys), n being the size and least the least class; one
+    list of those with equal members."""
     entries = classes.select("cls", F.explode("keys").alias("key"))
     marks = [F.bit_xor(F.xxhash64("cls", F.lit(i))).alias(f"m{i}") for i in range(2)]
-    lists = entries.groupBy("key").agg(F.count("*").alias("n"), *marks).where("n > 1")
-    chosen = stage(lists.groupBy("n", "m0", "m1").agg(F.min("key").alias("key")).select("key", "n"), "shingle-lists")
+    lists = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("least"), *marks).where("n > 1")
+    chosen = stage(lists.groupBy("n", "least", "m0", "m1").agg(F.min("key").alias("key")).select("key", "n", "least"), "shingle-lists")
     return stage(join_groups(entries, chosen, "key", "n", classes.count() * BANDS), "shingle-entries")
 
 
+def _runs(rows: pa.Table) -> tuple[pa.Table, zip]:
+    """Rows sorted by key, and where each key's rows start and end."""
+    rows = rows.sort_by("key").combine_chunks()
+    key = rows.column("key").to_numpy()
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return rows, zip(starts.tolist(), [*starts[1:].tolist(), len(key)])
+
+
 def links(classes: DataFrame, texts: DataFrame, shingle: int, similarity: float, limit: int = LIST) -> DataFrame:
-    """Edges (a, b) that connect all classes (cls, keys, row) whose shingle sets meet in a list and have at least this
-    similarity. ``texts`` (row, text) has a text of each class."""
+    """Edges (a, b) that connect all classes (cls, keys, row, size, parity) whose shingle sets meet in a list and have at
+    least this similarity. ``texts`` (row, text) has a text of each class."""
     lists = candidate_lists(classes)
-    few = stage(classes.join(lists.select("cls").distinct(), "cls", "left_semi").select("cls", "row"), "shingle-classes")
-    few = F.broadcast(few) if few.count() * 32 < BROADCAST_BYTES else few
-    sets = stage(texts.join(few, "row").select("cls", whole_sets(F.col("text"), shingle).alias("elements")), "shingle-sets")
     parts = F.ceil(F.col("n") / limit)
-    buckets = 1 + lists.count() // limit
-    dealt = lists.withColumns({"parts": parts, "part": F.pmod(F.xxhash64("cls"), parts), "lot": F.when(F.col("n") > limit, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(buckets)))})
+    dealt = lists.withColumns({"parts": parts, "part": F.pmod(F.xxhash64("cls"), parts), "lot": F.when(F.col("n") > limit, F.col("key")).otherwise(F.col("least"))})
     tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    tiles = tiles.select("lot", "key", "cls", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).join(sets, "cls")
-
-    def tile(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("key").combine_chunks()
-        key, cls = rows.column("key").to_numpy(), rows.column("cls").to_numpy()
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        a, b = [], []
-        for start, end in zip(starts, [*starts[1:], len(key)]):
-            root = forest([np.frombuffer(x.as_py(), "<u8").astype(U64) for x in rows.column("elements")[start:end]], similarity)
+    tiles = tiles.select("lot", "key", "cls", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).join(classes.select("cls", "size", "parity"), "cls")
+
+    def narrowed(rows: pa.Table) -> pa.Table:
+        rows, runs = _runs(rows)
+        size = rows.column("size").to_numpy().astype(np.int64)
+        parities = np.frombuffer(b"".join(rows.column("parity").to_pylist()), U64).reshape(len(size), 16)
+        keep = np.concatenate([np.zeros(0, bool), *[with_partner(size[a:b], parities[a:b], similarity) for a, b in runs]])
+        return rows.select(["lot", "i", "j", "key", "cls"]).filter(pa.array(keep))
+
+    left = stage(tiles.groupBy("lot", "i", "j").applyInArrow(narrowed, "lot long, i long, j long, key long, cls long"), "shingle-left")
+    few = stage(left.select("cls").distinct().join(classes.select("cls", "row"), "cls"), "shingle-classes")
+    few = F.broadcast(few) if few.count() * 32 < BROADCAST_BYTES else few
+    sets = stage(texts.join(few, "row").select("cls", whole_sets(F.col("text"), shingle).alias("elements")), "shingle-sets")
+    sent = stage(left.select("lot", "i", "j", "cls").distinct(), "shingle-sent").join(sets, "cls")
+
+    def tile(rows: pa.Table, sent: pa.Table) -> pa.Table:
+        rows, runs = _runs(rows)
+        cls = rows.column("cls").to_numpy()
+        elements = {c: np.frombuffer(x.as_py(), "<u8").astype(U64) for c, x in zip(sent.column("cls").to_pylist(), sent.column("elements"))}
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for start, end in runs:
+            root = forest([elements[c] for c in cls[start:end].tolist()], similarity)
             linked = np.flatnonzero(root != np.arange(end - start))
             a.append(cls[start:end][linked])
             b.append(cls[start:end][root[linked]])
+        del elements
         trim()
         return pa.table([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-    return tiles.groupBy("lot", "i", "j").applyInArrow(tile, "a long, b long")
+    return left.groupBy("lot", "i", "j").cogroup(sent.groupBy("lot", "i", "j")).applyInArrow(tile, "a long, b long")

@@ -239,7 +239,7 @@ def alike_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_
     text = F.col(text_col)
     made = docs.select(F.col(id_col).alias("doc_id"), sketches(text, shingle).alias("sketch"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     rows = stage(made.select("doc_id", "sketch.*", "text_hash", "text").withColumn("row", F.monotonically_increasing_id()), "shingle-rows")
-    texts, rows, keys = rows.select("row", "text"), rows.select("doc_id", "digest", "text_hash", "row"), rows.select("row", "keys")
+    texts, rows, keys = rows.select("row", "text"), rows.select("doc_id", "digest", "text_hash", "row"), rows.select("row", "keys", "size", "parity")
     total = rows.count()
     best = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("best")
     classes = stage(rows.groupBy("digest").agg(best, F.count("*").alias("n")).withColumn("cls", F.monotonically_increasing_id()), "simhash-classes")

@@ -76,8 +76,28 @@ def test_long_lists_are_dealt_out(spark, limit):
         words = [f"w{rng.randint(0, 50000)}" for _ in range(150)]
         texts += [edited(rng, words, rng.randint(0, 3)) for _ in range(20)]
     texts = sorted(set(texts))
-    rows = [(i, i, shingle_sets.band_keys(np.unique(shingle_sets.shingle_hashes(t, 5))).tolist(), t) for i, t in enumerate(texts)]
-    df = spark.createDataFrame(rows, "cls long, row long, keys array<long>, text string")
+    sets = [np.unique(shingle_sets.shingle_hashes(t, 5)) for t in texts]
+    rows = [(i, i, shingle_sets.band_keys(x).tolist(), len(x), shingle_sets.parity(x), t) for i, (x, t) in enumerate(zip(sets, texts))]
+    df = spark.createDataFrame(rows, "cls long, row long, keys array<long>, size int, parity binary, text string")
     edges = shingle_sets.links(df.drop("text"), df.select("row", "text"), 5, 0.8, limit)
     roots = {r.node: r.root for r in simhash_dedup.components(edges).collect()}
     assert {i for i in range(len(texts)) if roots.get(i, i) == i} == plain_kept(texts)
+
+
+def test_nothing_alike_is_ruled_out():
+    """Sizes and parities rule out most pairs below the similarity and none from it on."""
+    rng = np.random.default_rng(4)
+    out = kept = 0
+    for _ in range(400):
+        n, common = int(rng.integers(5, 900)), rng.random()
+        both, a, b = (rng.integers(0, 2**64, int(k), dtype=np.uint64) for k in (n * common, n * (1 - common) * rng.random(), n * (1 - common) * rng.random()))
+        x, y = np.unique(np.r_[both, a]), np.unique(np.r_[both, b])
+        if not len(x) or not len(y):
+            continue
+        alike = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+        p = [np.frombuffer(shingle_sets.parity(s), np.uint64) for s in (x, y)]
+        may = bool(shingle_sets.may_be_alike(np.int64(len(x)), np.int64(len(y)), *p, 0.8))
+        assert may or alike < 0.8
+        assert shingle_sets.with_partner(np.array([len(x), len(y)]), np.stack(p), 0.8).tolist() == [may, may]
+        out, kept = out + (not may), kept + (may and alike < 0.6)
+    assert out > 150 and kept < 20
