@@ -9,11 +9,10 @@ repeated edge covers is removed. Only repeated edges make it into the graph:
    pieces of equal minimizers, and those of a minimizer that occurs once, most of them, are unrepeated.
 2. Where all pieces of a minimizer are equal, the piece is a path that doesn't branch: it enters the graph as one compact
    edge. Where they differ, the graph branches within them, and they enter it edge by edge.
-3. Nodes count what enters and what leaves them. Where it is one each, the path doesn't branch, and the two are joined;
-   paths are compacted through joins, as components of these links.
-4. What repeats goes back to its blocks with its path. It is looked for by a rolling hash and verified by a 128-bit digest
-   of the very words at its source coordinates. What follows each other there on a path is one span, and spans are
-   what is removed.
+3. Nodes count what enters and what leaves them; where more than one item does, the graph forks.
+4. What repeats, and the forks on its way, are joined back to their blocks. There it is looked for by a rolling hash and
+   verified by a 128-bit digest of the very words at its source coordinates, and items that follow each other through nodes
+   that don't fork are compacted into one path, a span of words. Spans are what is removed.
 
 Work and shuffle are linear in the text: nothing is paired, and counts are combined by block before the shuffle. Blocks hold
 words, not texts (see blocks.py). Equality is that of 128-bit digests of words; rolling hashes only choose what to look at.
@@ -31,8 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import WORD, join_groups, stage, trim
-from .components import components
+from .common import BROADCAST_BYTES, WORD, join_groups, stage, trim
+from .exact_dedup import mark_possible, member_filter
 from .hashing import U64, is_in, mix, rolling, signed, sliding_min, unsigned
 
 K = 35
@@ -149,22 +148,17 @@ def _number(block: pa.Table) -> int:
     return block.column("block")[0].as_py() if len(block) else 0
 
 
-def compacted(items: DataFrame) -> DataFrame:
-    """Adds ``path`` to distinct items (digest, src, dst, …): one number for all items of a path that doesn't branch.
-
-    A node that one item enters and one leaves joins the two; the components of these links are the paths."""
-    items = items.withColumn("item", F.xxhash64("digest"))
-    none = F.lit(None).cast("long")
-    ends = F.array(F.struct(F.col("src").alias("node"), F.col("item").alias("leaves"), none.alias("enters")), F.struct(F.col("dst").alias("node"), none.alias("leaves"), F.col("item").alias("enters")))
-    nodes = items.select(F.explode(ends).alias("x")).groupBy("x.node")
-    nodes = nodes.agg(F.count("x.leaves").alias("out"), F.count("x.enters").alias("in"), F.max("x.enters").alias("a"), F.max("x.leaves").alias("b"))
-    paths = components(nodes.where((F.col("out") == 1) & (F.col("in") == 1) & (F.col("a") != F.col("b"))).select("a", "b"))
-    return items.join(paths.select(F.col("node").alias("item"), F.col("root").alias("path")), "item", "left").withColumn("path", F.coalesce("path", "item")).drop("item")
+def branching_nodes(items: DataFrame) -> DataFrame:
+    """Nodes that more than one of the distinct items (digest, src, dst) enters or leaves. All others are inside of a path, or
+    at its end."""
+    ends = F.array(F.struct(F.col("src").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")), F.struct(F.col("dst").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+    nodes = items.select(F.explode(ends).alias("x")).groupBy("x.node").agg(F.sum("x.out").alias("out"), F.sum("x.in").alias("in"))
+    return nodes.where((F.col("out") > 1) | (F.col("in") > 1)).select("node")
 
 
 def repeated_spans(docs: DataFrame, k: int = K, sub: int = SUB, id_col: str = "doc_id", text_col: str = "text", block_words: int = blocks.BLOCK_WORDS) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, removed (spans of words: first, words), kept, the other words with a
-    space between, and paths, the numbers of the graph's compact paths that it shares, in order.
+    space between, and paths, the compact paths of the graph that it walks, in order, each told by its first item.
 
     A word is removed if a window of ``k`` words over it also starts elsewhere, in this or any other document, as judged
     on the input. Null texts have no words, texts of under ``k`` words lose none, texts may be of any length. Ids become longs
@@ -214,32 +208,46 @@ def repeated_spans(docs: DataFrame, k: int = K, sub: int = SUB, id_col: str = "d
         return items.table(_number(block), False)
 
     edges = stage(branching.groupBy("block").cogroup(by_block).applyInArrow(opened, ITEM), "span-edges")
-    single = edges.groupBy("digest").agg(F.sum("n").alias("all"), F.count("*").alias("rows"), *map(told, ("src", "dst", "edges"))).where("all > 1")
-    items = stage(known.where("kinds = 1 and all > 1").select("digest", "rows", "src", "dst", "edges", F.lit(True).alias("whole")).unionByName(single.select("digest", "rows", "src", "dst", "edges", F.lit(False).alias("whole"))), "span-items")
-    paths = stage(compacted(items).select("digest", "rows", "whole", "path"), "span-paths")
-    places = lambda df, whole: join_groups(df.select("digest", "roll", "block"), paths.where(F.col("whole") == whole), "digest", "rows", df.count())
-    repeated = places(pieces, True).unionByName(places(edges, False)).select("block", "roll", "digest", "whole", "path")
+    totals = stage(edges.groupBy("digest").agg(F.sum("n").alias("all"), F.count("*").alias("rows")).where("all > 1").select("digest", "rows"), "span-totals")
+    # most edges are unrepeated and don't pass a filter of fixed size; only the rest is shuffled with all that it carries
+    code = F.lower(F.hex("digest"))
+    bitmaps, buckets = member_filter(totals.select(code.alias("code")), "code", totals.count())
+    possible = mark_possible(edges.withColumn("code", code), "code", bitmaps, buckets).where("possible")
+    carried = ("digest", "roll", "src", "dst", "block")
+    single = stage(join_groups(possible.select(*carried), totals, "digest", "rows", edges.count()).select(*carried), "span-single")
+    once = known.where("kinds = 1 and all > 1").select("digest", "rows", "src", "dst")
+    whole = join_groups(pieces.select("digest", "roll", "block"), once.select("digest", "rows"), "digest", "rows", pieces.count()).select("block", "roll", "digest", F.lit(True).alias("whole"))
+    items = once.select("digest", "src", "dst").unionByName(single.groupBy("digest").agg(*map(told, ("src", "dst"))))
+    forks = stage(branching_nodes(items), "span-forks")
+    forks = F.broadcast(forks) if forks.count() * 48 <= BROADCAST_BYTES else forks
+    met = single.select("block", F.col("src").alias("node")).unionByName(join_groups(pieces.select("digest", "block"), once.select("digest", "rows", "src"), "digest", "rows", pieces.count()).select("block", F.col("src").alias("node")))
+    forked = met.join(forks, "node").distinct().select("block", F.col("node").alias("roll"), F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("boolean").alias("whole"))
+    repeated = whole.unionByName(single.select("block", "roll", "digest", F.lit(False).alias("whole"))).unionByName(forked)
 
     spans = pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32())]))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("removed", spans), ("kept", pa.string()), ("paths", pa.list_(pa.int64()))])
 
     def removed(repeated: pa.Table, block: pa.Table) -> pa.Table:
-        rolls, whole, batches = unsigned(repeated.column("roll")), repeated.column("whole").to_numpy(), []
-        path_of = dict(zip(repeated.column("digest").to_pylist(), repeated.column("path").to_pylist()))
+        rolls, kinds, batches = unsigned(repeated.column("roll")), repeated.column("whole").to_pylist(), []
+        kinds = np.array([2 if x is None else int(x) for x in kinds], np.int8)
+        known = {d for d in repeated.column("digest").to_pylist() if d is not None}
         for row in block.to_pylist():
             words, doc_ids, counts = [w.decode() for w in blocks.words_of(row["words"])], row["doc_ids"], row["doc_words"]
             for a, b, p in _each(row, k, sub):
-                i = np.flatnonzero(is_in(p.roll, rolls[whole]))
+                i = np.flatnonzero(is_in(p.roll, rolls[kinds == 1]))
                 at = _spread(p, np.setdiff1d(np.arange(len(p.first)), i, assume_unique=True))
-                at = at[is_in(p.edges[at], rolls[~whole])]
+                at = at[is_in(p.edges[at], rolls[kinds == 0])]
                 first = np.concatenate([p.first[i], at])
                 size = np.concatenate([p.last[i] - p.first[i] + 1, np.ones(len(at), np.int64)])
-                # by the words that are there: what only its rolling hash brought here is in no path
-                paths = [path_of.get(d) for d in p.digests(first, size + k - 1)]
-                good = np.array([x is not None for x in paths], bool)
+                # by the words that are there: what only its rolling hash brought here is no repeat
+                digests = p.digests(first, size + k - 1)
+                good = np.array([d in known for d in digests], bool)
                 order = np.flatnonzero(good)[np.argsort(first[good], kind="stable")]
-                first, size, path = first[order], size[order], np.array([paths[j] for j in order.tolist()], np.int64)
-                turn = np.concatenate([[True], (path[1:] != path[:-1]) | (first[1:] != first[:-1] + size[:-1])]) if len(order) else np.zeros(0, bool)
+                first, size = first[order], size[order]
+                # a path goes on where the next item starts at the node that the last one ends in, and nothing forks there
+                turn = np.ones(len(order), bool)
+                turn[1:] = (first[1:] != first[:-1] + size[:-1]) | is_in(p.nodes[first[1:]], rolls[kinds == 2])
+                path = np.array([int.from_bytes(digests[j][:8], "little", signed=True) for j in order[turn].tolist()], np.int64)
                 starts = np.flatnonzero(turn)
                 ends = np.concatenate([starts[1:], [len(order)]]) - 1 if len(order) else starts
                 step = np.zeros(len(p.part) + 1, np.int64)
@@ -252,7 +260,7 @@ def repeated_spans(docs: DataFrame, k: int = K, sub: int = SUB, id_col: str = "d
                     x, y = np.searchsorted(first[starts], [place, place + counts[j]])
                     place += counts[j]
                     edge = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]])))
-                    shared = list(dict.fromkeys(path[starts[x:y]].tolist()))
+                    shared = list(dict.fromkeys(path[x:y].tolist()))
                     rows.append((doc_ids[j], counts[j], int(mask.sum()), [{"first": int(s), "words": int(e - s)} for s, e in zip(edge[::2], edge[1::2])], " ".join(map(words.__getitem__, mine[~mask].tolist())), shared))
                 batches.append(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema))
         trim()

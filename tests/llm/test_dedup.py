@@ -227,15 +227,22 @@ def test_repeated_rows_are_copies(make):
     assert [r.n_removed for r in got] == [40, 40] and {r.doc_id for r in got} == {1}
 
 
-def test_paths_that_dont_branch_are_compacted(spark):
-    """Chains 1-2-3-4 and 8-9, a fork at 4, a cycle 20-21-20 and an item by itself."""
-    items = [("a", 1, 2), ("b", 2, 3), ("c", 3, 4), ("d", 4, 5), ("e", 4, 6), ("f", 8, 9), ("g", 20, 21), ("h", 21, 20)]
+def test_nodes_that_fork(spark):
+    """Chains 1-2-3-4 and 8-9, a fork at 4, a junction at 9, a cycle 20-21-20 and an item by itself."""
+    items = [("a", 1, 2), ("b", 2, 3), ("c", 3, 4), ("d", 4, 5), ("e", 4, 6), ("f", 8, 9), ("i", 7, 9), ("g", 20, 21), ("h", 21, 20), ("j", 30, 31)]
     rows = spark.createDataFrame([(d.encode(), s, t) for d, s, t in items], "digest binary, src long, dst long")
-    path = {bytes(r.digest).decode(): r.path for r in substring_dedup.compacted(rows).collect()}
-    groups = defaultdict(set)
-    for d, p in path.items():
-        groups[p].add(d)
-    assert sorted(map(sorted, groups.values())) == [["a", "b", "c"], ["d"], ["e"], ["f"], ["g", "h"]]
+    assert sorted(r.node for r in substring_dedup.branching_nodes(rows).collect()) == [4, 9]
+
+
+def test_paths_end_where_the_graph_forks(make):
+    """Two passages with a common middle: its words are one path of their own in both."""
+    rng = random.Random(13)
+    words = lambda n: [f"f{rng.randint(0, 10**6)}" for _ in range(n)]
+    middle, a, b, c, d = words(100), words(60), words(60), words(60), words(60)
+    one, two = " ".join(a + middle + b), " ".join(c + middle + d)
+    rows = {r.doc_id: r for r in substring_dedup.repeated_spans(make([one, one, two, two])).collect()}
+    assert [r.n_removed for r in rows.values()] == [220] * 4
+    assert len(rows[0].paths) == len(rows[2].paths) == 3 and len(set(rows[0].paths) & set(rows[2].paths)) == 1
 
 
 def test_spans_name_the_paths_they_share(make):
