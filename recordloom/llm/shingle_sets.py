@@ -150,10 +150,17 @@ def candidate_lists(classes: DataFrame) -> DataFrame:
     """(key, cls, n, least): the lists of two or more classes (cls, keys), n being the size and least the least class; one
     list of those with equal members."""
     entries = classes.select("cls", F.explode("keys").alias("key"))
+    # most keys are those of a single class: only counts are shuffled of them
+    several = stage(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shingle-several")
+    if several.count() * 64 <= BROADCAST_BYTES:
+        met = entries.join(F.broadcast(several), "key")
+    else:
+        met = join_groups(entries, several, "key", "n", classes.count() * BANDS)
+    met = stage(met.select("key", "cls", "n"), "shingle-met")
     marks = [F.bit_xor(F.xxhash64("cls", F.lit(i))).alias(f"m{i}") for i in range(2)]
-    lists = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("least"), *marks).where("n > 1")
+    lists = met.groupBy("key").agg(F.first("n").alias("n"), F.min("cls").alias("least"), *marks)
     chosen = stage(lists.groupBy("n", "least", "m0", "m1").agg(F.min("key").alias("key")).select("key", "n", "least"), "shingle-lists")
-    return stage(join_groups(entries, chosen, "key", "n", classes.count() * BANDS), "shingle-entries")
+    return stage(join_groups(met.drop("n"), chosen, "key", "n", met.count()), "shingle-entries")
 
 
 def _runs(rows: pa.Table) -> tuple[pa.Table, zip]:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import boxed as box, join_groups, stage, trim
 from .components import components
+from .exact_dedup import mark_possible, member_filter
 from .hashing import U64, mix
 from .shingle_sets import links as alike, shingle_hashes, sketches
 
@@ -257,9 +258,15 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     # of equal (id, text), none goes if one stays
     stays = F.max(F.col("kept").cast("int"))
     gone = groups.groupBy("doc_id", "text_hash").agg(stays.alias("stays")).where("stays = 0").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
-    boxed = docs.select(box(docs).alias("row_values"))
-    own = F.col(f"row_values.`{id_col}`"), F.xxhash64(F.col(f"row_values.`{text_col}`"))
-    return boxed.join(gone, own[0].eqNullSafe(F.col("gone_id")) & own[1].eqNullSafe(F.col("gone_hash")), "left_anti").select("row_values.*")
+    # rows that don't pass the filter of those that go, of fixed size, stay where they are
+    code = lambda i, h: F.md5(F.concat_ws("/", F.coalesce(i.cast("string"), F.lit("")), h.cast("string")).cast("binary"))
+    gone = stage(gone.withColumn("code", code(F.col("gone_id"), F.col("gone_hash"))), "simhash-gone")
+    bitmaps, buckets = member_filter(gone, "code", gone.count())
+    own = docs.select(box(docs).alias("row_values"), F.col(f"`{id_col}`").alias("own_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("own_hash"))
+    marked = mark_possible(own.withColumn("own_code", code(F.col("own_id"), F.col("own_hash"))), "own_code", bitmaps, buckets)
+    goes = (F.col("own_code") == F.col("code")) & F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own_hash") == F.col("gone_hash"))
+    kept = marked.where("possible").join(gone, goes, "left_anti")
+    return marked.where(~F.col("possible")).select("row_values.*").unionByName(kept.select("row_values.*"))
 
 
 def table(groups: DataFrame) -> DataFrame:
