@@ -121,27 +121,25 @@ class _Items:
     """Distinct items of a block by digest, with how often they occur."""
 
     def __init__(self):
-        self.met: dict[bytes, int] = {}
-        self.rows: list[tuple] = []
-        self.counts: list[int] = []
+        self.parts: list[tuple[np.ndarray, ...]] = []
 
     def add(self, p: Pieces, digests: list[bytes], roll: np.ndarray, src: np.ndarray, dst: np.ndarray, edges: np.ndarray, least: np.ndarray) -> None:
-        met, rows, counts = self.met, self.rows, self.counts
-        columns = zip(digests, signed(roll).tolist(), signed(src).tolist(), signed(dst).tolist(), edges.tolist(), signed(least).tolist())
-        for digest, *rest in columns:
-            at = met.setdefault(digest, len(rows))
-            if at == len(rows):
-                rows.append((digest, *rest))
-                counts.append(1)
-            else:
-                counts[at] += 1
+        halves = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
+        self.parts.append((halves, signed(roll), signed(src), signed(dst), edges.astype(np.int32), signed(least)))
 
     def table(self, block: int, with_least: bool) -> pa.Table:
-        digest, roll, src, dst, edges, least = zip(*self.rows) if self.rows else ((),) * 6
-        n = len(digest)
-        columns = [pa.array(roll, pa.int64()), pa.array(digest, pa.binary()), pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.array(edges, pa.int32()), pa.array([block] * n, pa.int64()), pa.array(self.counts, pa.int64())]
+        empty = (np.zeros((0, 2), np.uint64), *[np.zeros(0, np.int64)] * 3, np.zeros(0, np.int32), np.zeros(0, np.int64))
+        halves, *columns = (np.concatenate(x) for x in zip(empty, *self.parts))
+        order = np.lexsort((halves[:, 1], halves[:, 0]))
+        ordered = halves[order]
+        starts = np.flatnonzero(np.r_[True, (ordered[1:] != ordered[:-1]).any(1)]) if len(order) else np.zeros(0, np.int64)
+        counts = np.diff(np.append(starts, len(order)))
+        at = order[starts]
+        roll, src, dst, edges, least = (pa.array(np.ascontiguousarray(c[at])) for c in columns)
+        digest = pa.Array.from_buffers(pa.binary(16), len(at), [None, pa.py_buffer(np.ascontiguousarray(halves[at]).tobytes())]).cast(pa.binary())
+        made = [roll, digest, src, dst, edges, pa.array(np.full(len(at), block, np.int64)), pa.array(counts.astype(np.int64))]
         names = [x.split()[0] for x in ITEM.split(", ")]
-        return pa.table([*columns, pa.array(least, pa.int64())], names=[*names, "least"]) if with_least else pa.table(columns, names=names)
+        return pa.table([*made, least], names=[*names, "least"]) if with_least else pa.table(made, names=names)
 
 
 def _number(block: pa.Table) -> int:
