@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.ids import entity_code, hash_bucket, md5_bucket
 from ..functions.text import safe_div
 from ..sources.session import staged
-from .evaluate import counters, f05, macro_f05
+from .blocking import NamePairs
+from .evaluate import counters, counters_of_names, f05, macro_f05
 from .ordered import numbered
 
 
@@ -239,11 +240,27 @@ def ab_compare(runs: dict[str, DataFrame], truth: DataFrame, threshold: float) -
         same = kept[name].select("s1_id", "target_id").distinct().join(first, ["s1_id", "target_id"], "left_semi").agg(F.count("*").alias("n_same_pairs"))
         one = one.join(F.broadcast(same)).select(F.lit(name).alias("run"), "n_rows", "n_same_pairs", "macro_f05_score_zero", "macro_f05_exclude")
         out = one if out is None else out.unionByName(one)
-    base = out.where(F.col("run") == names[0]).select(*[F.col(c).alias(f"base_{c}") for c in ("macro_f05_score_zero", "macro_f05_exclude")])
+    return _against_first(out, names[0])
+
+
+def ab_compare_names(runs: dict[str, NamePairs], truth: DataFrame, true_pairs: DataFrame) -> DataFrame:
+    """``ab_compare`` of runs that keep pairs of names."""
+    first, out = next(iter(runs)), None
+    n = F.coalesce(F.sum(F.col("n_a") * F.col("n_b")), F.lit(0)).cast("long")
+    for name, kept in runs.items():
+        same = kept.pairs.join(runs[first].pairs.select("a", "b", "source"), ["a", "b", "source"], "left_semi").agg(n.alias("n_same_pairs"))
+        one = macro_f05(counters_of_names(truth, kept, true_pairs)).join(F.broadcast(kept.pairs.agg(n.alias("n_rows")))).join(F.broadcast(same))
+        one = one.select(F.lit(name).alias("run"), "n_rows", "n_same_pairs", "macro_f05_score_zero", "macro_f05_exclude")
+        out = one if out is None else out.unionByName(one)
+    return _against_first(out, first)
+
+
+def _against_first(out: DataFrame, first: str) -> DataFrame:
+    base = out.where(F.col("run") == first).select(*[F.col(c).alias(f"base_{c}") for c in ("macro_f05_score_zero", "macro_f05_exclude")])
     out = out.join(F.broadcast(base))
     delta = lambda c: F.round(F.col(c) - F.col(f"base_{c}"), 6)
     out = out.withColumns({"delta_score_zero": delta("macro_f05_score_zero"), "delta_exclude": delta("macro_f05_exclude")})
-    itself = (F.col("run") != names[0]) | ((F.col("delta_score_zero") == 0) & (F.col("delta_exclude") == 0) & (F.col("n_same_pairs") <= F.col("n_rows")))
+    itself = (F.col("run") != first) | ((F.col("delta_score_zero") == 0) & (F.col("delta_exclude") == 0) & (F.col("n_same_pairs") <= F.col("n_rows")))
     return out.withColumn("holds", itself).drop("base_macro_f05_score_zero", "base_macro_f05_exclude")
 
 
