@@ -4,8 +4,8 @@ The graph's edges are the k-mers of the corpus, windows of ``k`` successive word
 from its first k-1 words to its last. An edge is repeated if its k-mer starts at two places or more, and every word that a
 repeated edge covers is removed. Only repeated edges make it into the graph:
 
-1. A document's edges are cut into pieces, a piece being a run of successive edges with the same minimizer (the least hash
-   of a short run of words within the window, the leftmost on a tie). As a k-mer decides its minimizer, equal edges are in
+1. A document's edges are cut into pieces, a piece being a run of successive edges with the same minimizer (the least hash,
+   by its upper 43 bits, of a short run of words within the window, the leftmost on a tie). As a k-mer decides its minimizer, equal edges are in
    pieces of equal minimizers, and those of a minimizer that occurs once, most of them, are unrepeated.
 2. Where all pieces of a minimizer are equal, the piece is a path that doesn't branch: it enters the graph as one compact
    edge. Where they differ, the graph branches within them, and they enter it edge by edge.
@@ -38,6 +38,9 @@ K = 35
 SUB = 8
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _PLACES = 1 << 20
+#: A place in a range and the window after it.
+_PLACE_BITS = U64(21)
+_PLACE = U64((1 << 21) - 1)
 ITEM = "roll long, digest binary, src long, dst long, edges int, block long, n long"
 
 
@@ -67,26 +70,23 @@ class Pieces:
 
 
 def leftmost_least(seeds: np.ndarray, width: int) -> np.ndarray:
-    """Where the least of every ``width`` successive seeds is, the leftmost on a tie. By ranges of ``_PLACES``, so that a
-    place needs few bits beside the order of the seeds, however long the text."""
+    """Where the least of every ``width`` successive seeds is, the leftmost on a tie. Seeds are below 2^43: by ranges of
+    ``_PLACES``, seed and place fit in one number, however long the text, and nothing is sorted."""
     out = []
     for at in range(0, max(0, len(seeds) - width + 1), _PLACES):
         part = seeds[at : at + _PLACES + width - 1]
-        rank = np.empty(len(part), np.int64)
-        order = np.argsort(part, kind="stable")
-        value = part[order]
-        rank[order] = np.cumsum(np.concatenate([[0], (value[1:] != value[:-1]).astype(np.int64)]))
-        least = sliding_min(rank * len(part) + np.arange(len(part)), width)
-        out.append(at + least % len(part))
+        least = sliding_min(part << _PLACE_BITS | np.arange(len(part), dtype=U64), width)
+        out.append(at + signed(least & _PLACE))
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def _pieces(words: list[bytes], part: np.ndarray, h: tuple[np.ndarray, np.ndarray], ends: np.ndarray, k: int, sub: int) -> Pieces:
-    """h: both hashes of each word; ends: of the documents, from 0."""
-    edges = rolling(h[0], k, _BASES[0])
-    nodes = mix(rolling(h[0], k - 1, _BASES[0]) + mix(rolling(h[1], k - 1, _BASES[1]))) if k > 1 else np.zeros(len(part) + 1, U64)
+def _pieces(words: list[bytes], part: np.ndarray, h: tuple[np.ndarray, np.ndarray], ends: np.ndarray, k: int, sub: int, whole: bool = True) -> Pieces:
+    """h: both hashes of each word; ends: of the documents, from 0. Without ``whole``, pieces have their minimizers only."""
+    none = np.zeros(0, U64)
+    edges = rolling(h[0], k, _BASES[0]) if whole else none
+    nodes = none if not whole else mix(rolling(h[0], k - 1, _BASES[0]) + mix(rolling(h[1], k - 1, _BASES[1]))) if k > 1 else np.zeros(len(part) + 1, U64)
     seeds = mix(rolling(h[0], sub, _BASES[0]))
-    place = leftmost_least(seeds, k - sub + 1)
+    place = leftmost_least(seeds >> _PLACE_BITS, k - sub + 1)
     starts = np.arange(len(place))
     starts = starts[starts + k <= np.repeat(ends[1:], np.diff(ends))[: len(starts)]]
     place = place[starts]
@@ -95,11 +95,13 @@ def _pieces(words: list[bytes], part: np.ndarray, h: tuple[np.ndarray, np.ndarra
     to = np.concatenate([cut, [len(starts)]]) - 1 if len(starts) else cut
     first, last = starts[at], starts[to]
     # first and last edge overlap, so they tell the whole piece
+    if not whole:
+        return Pieces(words, part, first, last, seeds[place[at]], none, none, none)
     roll = mix(edges[first] * U64(0xA24BAED4963EE407) + edges[last] * U64(0x9FB21C651E98DF25) + (last - first).astype(U64))
     return Pieces(words, part, first, last, seeds[place[at]], roll, edges, nodes)
 
 
-def _each(row: dict, k: int, sub: int) -> Iterator[tuple[int, int, Pieces]]:
+def _each(row: dict, k: int, sub: int, whole: bool = True) -> Iterator[tuple[int, int, Pieces]]:
     """Pieces of a block, by ranges of documents that bound the memory."""
     words, codes, ends = blocks.block_words(row)
     digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), "<u8").reshape(-1, 2)
@@ -107,7 +109,7 @@ def _each(row: dict, k: int, sub: int) -> Iterator[tuple[int, int, Pieces]]:
     for a, b in blocks.doc_chunks(ends):
         part = codes[ends[a] : ends[b]]
         trim()
-        yield a, b, _pieces(words, part, (both[0][part], both[1][part]), ends[a : b + 1] - ends[a], k, sub)
+        yield a, b, _pieces(words, part, (both[0][part], both[1][part]), ends[a : b + 1] - ends[a], k, sub, whole)
 
 
 def _spread(p: Pieces, chosen: np.ndarray) -> np.ndarray:
@@ -171,7 +173,7 @@ def repeated_spans(docs: DataFrame, k: int = K, sub: int = SUB, id_col: str = "d
     def minimizers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                parts = [p.least for *_, p in _each(row, k, sub)]
+                parts = [p.least for *_, p in _each(row, k, sub, False)]
                 least, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, U64), return_counts=True)
                 yield from pa.table([pa.array(signed(least)), pa.array(np.full(len(least), row["block"])), pa.array(n)], names=["least", "block", "n"]).to_batches(1 << 16)
 
@@ -232,8 +234,9 @@ def repeated_spans(docs: DataFrame, k: int = K, sub: int = SUB, id_col: str = "d
         for row in block.to_pylist():
             words, doc_ids, counts = [w.decode() for w in blocks.words_of(row["words"])], row["doc_ids"], row["doc_words"]
             for a, b, p in _each(row, k, sub):
-                i = np.flatnonzero(is_in(p.roll, rolls[kinds == 1]))
-                at = _spread(p, np.setdiff1d(np.arange(len(p.first)), i, assume_unique=True))
+                compact = is_in(p.roll, rolls[kinds == 1])
+                i = np.flatnonzero(compact)
+                at = _spread(p, np.flatnonzero(~compact))
                 at = at[is_in(p.edges[at], rolls[kinds == 0])]
                 first = np.concatenate([p.first[i], at])
                 size = np.concatenate([p.last[i] - p.first[i] + 1, np.ones(len(at), np.int64)])
