@@ -6,7 +6,8 @@ import ctypes
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.session import scratch_dir
@@ -27,12 +28,33 @@ def trim() -> None:
         pass
 
 
+def trim_driver(spark: SparkSession) -> str | None:
+    """The same for the driver's JVM, which plans and compiles dozens of queries in a row: its garbage is collected once the heap
+    has grown to half of what it may have, and what its compilers have freed goes back to the system, where the JVM offers that (it says what it did)."""
+    jvm = spark._jvm
+    runtime = jvm.java.lang.Runtime.getRuntime()
+    if 2 * runtime.totalMemory() > runtime.maxMemory():
+        jvm.java.lang.System.gc()
+    try:  # by the interface's method, as the server's own class isn't open to others
+        forName, array = jvm.java.lang.Class.forName, spark.sparkContext._gateway.new_array
+        names = ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")
+        kinds, given = array(jvm.java.lang.Class, 4), array(jvm.java.lang.Object, 4)
+        for i, name in enumerate(names):
+            kinds[i] = forName(name)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        method = forName("javax.management.MBeanServer").getMethod("invoke", kinds)
+        return method.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JError:  # another JVM
+        return None
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back. Cuts the lineage at a table that outlives lost executors,
     and fixes what depends on the order of rows (block numbers, row numbers) once and for all."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    trim_driver(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -46,6 +68,7 @@ def stage_by(df: DataFrame, name: str, key: str) -> DataFrame:
     most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
     buckets = min(most, max(int(spark.conf.get("spark.sql.shuffle.partitions")), df._jdf.rdd().getNumPartitions()))
     df.write.option("path", path).option("compression", "zstd").bucketBy(buckets, key).saveAsTable(table)
+    trim_driver(spark)
     out = spark.table(table)
     out.schema  # the plan has its files and buckets now
     spark.sql(f"DROP TABLE {table}")
