@@ -1,7 +1,9 @@
 """Texts whose sets of shingles are alike, by their exact Jaccard similarity.
 
-Candidates come from min-wise hashes: ``BANDS`` keys of ``ROWS`` minima each. A pair of similarity s has no key in common
-with probability (1 - s ** ROWS) ** BANDS, which is 5e-7 at 0.8 and less above. Lists of a single set are dropped, and of
+Candidates come from the index that the caller brings (SimHash by positional bytes, see simhash_dedup.py), whose lists are
+filtered by counts of matching bytes, and, for pairs that it can't promise to find, from min-wise hashes: ``BANDS`` keys of
+``ROWS`` minima each. A pair of similarity s has none of these in common with probability (1 - s ** ROWS) ** BANDS, which is
+5e-7 at 0.8 and less above. Keys of the index are not negative, those of minima are. Lists of a single set are dropped, and of
 lists with the same members one stays. Sizes and parities of sets (see ``may_be_alike``) then rule out, exactly, most members
 that are like no other in their list. Whole sets are made only for what is left and compared in the list, so that pairs
 are never written: a list gives a spanning forest of its links. Lists with the same least member are compared in one place,
@@ -11,6 +13,7 @@ which gets each set once. Lists over ``LIST`` sets are dealt out to tiles, each
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from itertools import accumulate, repeat
 
 import numpy as np
@@ -25,6 +28,8 @@ from .hashing import U64, mix
 SEED = 42
 ROWS, BANDS = 6, 48
 LIST = 512
+#: Bytes that the prints of a pair from the index have in common, at least.
+MATCHES = 4
 _FACTORS = (mix(np.arange(1, ROWS * BANDS + 1, dtype=U64)) | U64(1)).astype(np.uint32)
 _BAND = mix(np.arange(1, BANDS + 1, dtype=U64) << U64(32))
 
@@ -53,7 +58,7 @@ def band_keys(distinct: np.ndarray) -> np.ndarray:
     keys = _BAND
     for minima in least.reshape(BANDS, ROWS).T:
         keys = mix(keys ^ minima.astype(U64))
-    return keys.view(np.int64)
+    return (keys | U64(1 << 63)).view(np.int64)
 
 
 def parity(distinct: np.ndarray) -> bytes:
@@ -70,21 +75,24 @@ def may_be_alike(size_a: np.ndarray, size_b: np.ndarray, parity_a: np.ndarray, p
     return sizes & (apart <= (1 - similarity) / (1 + similarity) * (size_a + size_b) * (1 + 1e-9))
 
 
-def sketches(text: Column, shingle: int) -> Column:
-    """digest (128 bits, equal for equal sets), keys, size and parity of a text's set."""
+def sketches(text: Column, shingle: int, index: Callable[[np.ndarray], tuple[int, np.ndarray]]) -> Column:
+    """digest (128 bits, equal for equal sets), keys, size and parity of a text's set, and its print. ``index`` gives the
+    print of a set that isn't empty and its keys in the index."""
 
-    @F.arrow_udf("struct<digest: binary, keys: array<bigint>, size: int, parity: binary>")
+    @F.arrow_udf("struct<digest: binary, keys: array<bigint>, size: int, parity: binary, print: bigint>")
     def made(texts: pa.Array) -> pa.Array:
-        digests, keys, sizes, parities = [], [], [], []
+        digests, keys, sizes, parities, prints = [], [], [], [], []
         for x in texts:
             distinct = np.unique(shingle_hashes(x.as_py(), shingle))
             digests.append(hashlib.md5(distinct.astype("<u8").tobytes()).digest())
-            keys.append(band_keys(distinct))
+            own, listed = index(distinct) if len(distinct) else (0, np.zeros(0, np.int64))
+            prints.append(own)
+            keys.append(np.concatenate([listed, band_keys(distinct)]))
             sizes.append(len(distinct))
             parities.append(parity(distinct))
         ends = np.cumsum([0, *map(len, keys)], dtype=np.int32)
         flat = pa.array(np.concatenate([np.zeros(0, np.int64), *keys]))
-        out = pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array(sizes, pa.int32()), pa.array(parities, pa.binary())], names=["digest", "keys", "size", "parity"])
+        out = pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array(sizes, pa.int32()), pa.array(parities, pa.binary()), pa.array(prints, pa.int64())], names=["digest", "keys", "size", "parity", "print"])
         trim()
         return out
 
@@ -128,15 +136,19 @@ def forest(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return out
 
 
-def with_partner(size: np.ndarray, parities: np.ndarray, similarity: float) -> np.ndarray:
-    """Which members of a list may be like another one in it."""
+def with_partner(size: np.ndarray, parities: np.ndarray, similarity: float, prints: np.ndarray | None = None) -> np.ndarray:
+    """Which members of a list may be like another one in it. In a list of the index, which has ``prints``, these are pairs with
+    at least ``MATCHES`` of the eight bytes alike by position."""
     order = np.argsort(size, kind="stable")
     size, parities = size[order], parities[order]
+    planes = None if prints is None else np.ascontiguousarray(prints[order]).view(np.uint8).reshape(-1, 8)
     found = np.zeros(len(size), bool)
     at, step = np.arange(len(size) - 1), 1
     while len(at):
         at = at[size[at] >= similarity * size[at + step] * (1 - 1e-9)]
         pair = at[~(found[at] & found[at + step])]
+        if planes is not None:
+            pair = pair[(planes[pair] == planes[pair + step]).sum(1) >= MATCHES]
         pair = pair[may_be_alike(size[pair], size[pair + step], parities[pair], parities[pair + step], similarity)]
         found[pair] = found[pair + step] = True
         step += 1
@@ -146,12 +158,13 @@ def with_partner(size: np.ndarray, parities: np.ndarray, similarity: float) -> n
     return out
 
 
-def candidate_lists(classes: DataFrame) -> DataFrame:
+def candidate_lists(classes: DataFrame, limit: int = LIST) -> DataFrame:
     """(key, cls, n, least): the lists of two or more classes (cls, keys), n being the size and least the least class; one
-    list of those with equal members."""
+    list of those with equal members. Lists of the index over ``limit`` are left out: a large group of near copies is in many,
+    each with other members, and would be dealt out for each. Their pairs meet by min-wise keys, whose lists have no limit."""
     entries = classes.select("cls", F.explode("keys").alias("key"))
     # most keys are those of a single class: only counts are shuffled of them
-    several = stage(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shingle-several")
+    several = stage(entries.groupBy("key").agg(F.count("*").alias("n")).where((F.col("n") > 1) & ((F.col("key") < 0) | (F.col("n") <= limit))), "shingle-several")
     if several.count() * 64 <= BROADCAST_BYTES:
         met = entries.join(F.broadcast(several), "key")
     else:
@@ -172,19 +185,22 @@ def _runs(rows: pa.Table) -> tuple[pa.Table, zip]:
 
 
 def links(classes: DataFrame, texts: DataFrame, shingle: int, similarity: float, limit: int = LIST) -> DataFrame:
-    """Edges (a, b) that connect all classes (cls, keys, row, size, parity) whose shingle sets meet in a list and have at
-    least this similarity. ``texts`` (row, text) has a text of each class."""
-    lists = candidate_lists(classes)
+    """Edges (a, b) that connect all classes (cls, keys, row, size, parity and, if keys are of an index too, print) whose shingle
+    sets meet in a list, in one of the index with ``MATCHES`` bytes, and have at least this similarity. ``texts`` (row, text)
+    has a text of each class."""
+    known = classes if "print" in classes.columns else classes.withColumn("print", F.lit(0).cast("long"))
+    lists = candidate_lists(classes, limit)
     parts = F.ceil(F.col("n") / limit)
     dealt = lists.withColumns({"parts": parts, "part": F.pmod(F.xxhash64("cls"), parts), "lot": F.when(F.col("n") > limit, F.col("key")).otherwise(F.col("least"))})
     tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    tiles = tiles.select("lot", "key", "cls", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).join(classes.select("cls", "size", "parity"), "cls")
+    tiles = tiles.select("lot", "key", "cls", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).join(known.select("cls", "size", "parity", "print"), "cls")
 
     def narrowed(rows: pa.Table) -> pa.Table:
         rows, runs = _runs(rows)
         size = rows.column("size").to_numpy().astype(np.int64)
         parities = np.frombuffer(b"".join(rows.column("parity").to_pylist()), U64).reshape(len(size), 16)
-        keep = np.concatenate([np.zeros(0, bool), *[with_partner(size[a:b], parities[a:b], similarity) for a, b in runs]])
+        indexed, prints = rows.column("key").to_numpy() >= 0, rows.column("print").to_numpy()
+        keep = np.concatenate([np.zeros(0, bool), *[with_partner(size[a:b], parities[a:b], similarity, prints[a:b] if indexed[a] else None) for a, b in runs]])
         return rows.select(["lot", "i", "j", "key", "cls"]).filter(pa.array(keep))
 
     left = stage(tiles.groupBy("lot", "i", "j").applyInArrow(narrowed, "lot long, i long, j long, key long, cls long"), "shingle-left")

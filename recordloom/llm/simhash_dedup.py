@@ -26,26 +26,29 @@ from .common import boxed as box, join_groups, stage, trim
 from .components import components
 from .exact_dedup import mark_possible, member_filter
 from .hashing import U64, mix
-from .shingle_sets import links as alike, shingle_hashes, sketches
+from .shingle_sets import MATCHES, links as alike, shingle_hashes, sketches
 
 LIST = 2048
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _PLACE = np.arange(8) * 256
 
 
+def _print(hashes: np.ndarray) -> np.ndarray:
+    """The fingerprint of some hashes, eight bytes from the lowest on: a bit is set where it is in over half of them."""
+    table = np.bincount((hashes.astype("<u8").view(np.uint8).reshape(-1, 8) + _PLACE).ravel(), minlength=2048).reshape(8, 256)
+    return np.packbits((2 * (table @ _BITS) > len(hashes)).ravel(), bitorder="little")
+
+
 def simhash(text: str | None, shingle: int, count: int = 1) -> list[int]:
     """``count`` fingerprints as signed 64-bit numbers. A bit is set where it is in over half of the hashes of the text's
     shingles, repeats counted. The first takes XXH64 itself, others remix it."""
     hashes = shingle_hashes(text, shingle)
-    n = len(hashes)
-    if not n:
+    if not len(hashes):
         return [0] * count
     out = []
     for i in range(count):
         h = hashes if i == 0 else mix(hashes + U64(i * 0x9E3779B97F4A7C15 % 2**64))
-        table = np.bincount((h.astype("<u8").view(np.uint8).reshape(-1, 8) + _PLACE).ravel(), minlength=2048).reshape(8, 256)
-        bits = np.packbits((2 * (table @ _BITS) > n).ravel(), bitorder="little")
-        out.append(int(bits.view("<i8")[0]))
+        out.append(int(_print(h).view("<i8")[0]))
     return out
 
 
@@ -85,6 +88,17 @@ def _keys(fingerprint: Column, sets: list[tuple[int, ...]], table: int) -> list[
     return out
 
 
+_SETS = np.array(byte_sets(MATCHES)).T
+
+
+def indexed(distinct: np.ndarray) -> tuple[int, np.ndarray]:
+    """The fingerprint of a set of shingles' hashes and its keys in the index, one for each set of positions. Fingerprints with
+    ``MATCHES`` bytes alike share a key."""
+    bits = _print(distinct)
+    a, b, c = bits.astype(np.int64)[_SETS]
+    return int(bits.view("<i8")[0]), np.arange(len(a)) << 24 | a << 16 | b << 8 | c
+
+
 def _forest(runs: np.ndarray, prints: np.ndarray, matches: int, bits: int) -> np.ndarray:
     """For rows sorted by run: the position of each row's root in a spanning forest of the links within runs."""
     n = len(runs)
@@ -234,13 +248,14 @@ def _grouped(rows: DataFrame, classes: DataFrame, edges: DataFrame, by: str, tot
 
 
 def alike_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Like ``near_groups``, but texts link where the Jaccard similarity of their whole sets of shingles is at least
-    ``similarity``; has digest, that of the set, in place of prints. Repeats of a shingle count once. Texts without words
-    are alike, and like no other."""
+    """Like ``near_groups``, but texts that the index brings together link where the Jaccard similarity of their whole sets of
+    shingles is at least ``similarity``; has digest, that of the set, in place of prints. Repeats of a shingle count once, in
+    fingerprints too. Min-wise keys find the pairs whose fingerprints have fewer than ``MATCHES`` bytes in common. Texts
+    without words are alike, and like no other."""
     text = F.col(text_col)
-    made = docs.select(F.col(id_col).alias("doc_id"), sketches(text, shingle).alias("sketch"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    made = docs.select(F.col(id_col).alias("doc_id"), sketches(text, shingle, indexed).alias("sketch"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     rows = stage(made.select("doc_id", "sketch.*", "text_hash", "text").withColumn("row", F.monotonically_increasing_id()), "shingle-rows")
-    texts, rows, keys = rows.select("row", "text"), rows.select("doc_id", "digest", "text_hash", "row"), rows.select("row", "keys", "size", "parity")
+    texts, rows, keys = rows.select("row", "text"), rows.select("doc_id", "digest", "text_hash", "row"), rows.select("row", "keys", "size", "parity", "print")
     total = rows.count()
     best = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("best")
     classes = stage(rows.groupBy("digest").agg(best, F.count("*").alias("n")).withColumn("cls", F.monotonically_increasing_id()), "simhash-classes")
@@ -251,7 +266,7 @@ def alike_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near copies, that of the smallest id, and all its columns.
 
-    Unlike ``near_groups`` this goes by similarity, see ``alike_groups``. Rows that repeat whole, id included, stay or go
+    Unlike ``near_groups`` this verifies what the index finds by similarity, see ``alike_groups``. Rows that repeat whole, id included, stay or go
     together. Null and blank texts are near copies of each other; columns may have any names; an empty table stays empty.
     """
     groups = stage(alike_groups(docs, shingle, similarity, id_col, text_col), "simhash-groups")
