@@ -142,3 +142,31 @@ def test_long_lists_of_the_index_are_left_to_the_other_keys(spark):
     own = [(i, [7, 8 + i // 3, -5, -6 - i]) for i in range(9)]
     lists = shingle_sets.candidate_lists(spark.createDataFrame(own, "cls long, keys array<long>"), 4).collect()
     assert {(r.key, r.n) for r in lists} == {(-5, 9), (8, 3), (9, 3), (10, 3)}
+
+
+@pytest.mark.parametrize("own_words", [True, False])
+def test_long_lists_grow_with_their_members(spark, own_words):
+    """Rows to be compared in one large group were n * n / limit by list; they are at most two an entry now, and no link is lost.
+    Texts that aren't like the hub have edits of their own, or edits that many others have too."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(150)]
+    texts = {" ".join(base)}
+    while len(texts) < 200:
+        words = list(base)
+        for i in rng.sample(range(150), rng.choice([0, 1, 2, 3, 3, 5, 9])):
+            words[i] = f"edit{rng.randint(0, 10**9) if own_words else rng.randint(0, 3)}"
+        texts |= {" ".join(words), edited(rng, words, 1)}
+    texts = sorted(texts)
+    sets = [np.unique(shingle_sets.shingle_hashes(t, 5)) for t in texts]
+    rows = [(i, i, shingle_sets.band_keys(x).tolist(), len(x), shingle_sets.parity(x), t) for i, (x, t) in enumerate(zip(sets, texts))]
+    df = spark.createDataFrame(rows, "cls long, row long, keys array<long>, size int, parity binary, text string")
+    lists = shingle_sets.candidate_lists(df.drop("text"), 10)
+    sizes = [r["count"] for r in lists.groupBy("key").count().collect()]
+    assert sum(n * -(-n // 10) for n in sizes) > 4 * sum(sizes)
+    known, compared = shingle_sets.tiles(lists, df.drop("text"), df.select("row", "text"), 5, 0.8, 10)
+    assert known.count() and compared.count() < 2 * sum(sizes)
+    edges = shingle_sets.links(df.drop("text"), df.select("row", "text"), 5, 0.8, 10)
+    roots = {r.node: r.root for r in simhash_dedup.components(edges).collect()}
+    kept = plain_kept(texts)
+    assert 1 < len(kept) < len(texts)
+    assert {i for i in range(len(texts)) if roots.get(i, i) == i} == kept
