@@ -32,12 +32,12 @@ from pyspark.sql import functions as F
 from . import blocks
 from .common import BROADCAST_BYTES, WORD, join_groups, stage, trim
 from .exact_dedup import mark_possible, member_filter
-from .hashing import U64, is_in, mix, rolling, signed, sliding_min, unsigned
+from .hashing import U64, is_in, mix, rolling, rollings, signed, sliding_min, unsigned
 
 K = 35
 SUB = 8
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-_PLACES = 1 << 20
+_PLACES = 1 << 14
 #: A place in a range and the window after it.
 _PLACE_BITS = U64(21)
 _PLACE = U64((1 << 21) - 1)
@@ -80,12 +80,28 @@ def leftmost_least(seeds: np.ndarray, width: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
+def _hashes(h: tuple[np.ndarray, np.ndarray], k: int, sub: int, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all edges and nodes (none without ``whole``) and of all runs of ``sub`` words, by ranges that a processor's cache holds."""
+    n = len(h[0])
+    edges, nodes, seeds = (np.zeros(max(0, n - size + 1) * there, U64) for size, there in ((k, whole), (k - 1, whole), (sub, True)))
+    for at in range(0, n, _PLACES):
+        first, second = (x[at : at + _PLACES + k - 1] for x in h)
+        if whole and k > 1:
+            edge, node, seed = rollings(first, (k, k - 1, sub), _BASES[0])
+            node = mix(node + mix(rolling(second, k - 1, _BASES[1])))
+            edges[at : at + _PLACES], nodes[at : at + _PLACES] = edge[:_PLACES], node[:_PLACES]
+        else:
+            seed = rolling(first, sub, _BASES[0])
+            if whole:  # nodes of no words are all alike
+                edges[at : at + _PLACES] = rolling(first, k, _BASES[0])[:_PLACES]
+        seeds[at : at + _PLACES] = mix(seed[:_PLACES])
+    return edges, nodes, seeds
+
+
 def _pieces(words: list[bytes], part: np.ndarray, h: tuple[np.ndarray, np.ndarray], ends: np.ndarray, k: int, sub: int, whole: bool = True) -> Pieces:
     """h: both hashes of each word; ends: of the documents, from 0. Without ``whole``, pieces have their minimizers only."""
     none = np.zeros(0, U64)
-    edges = rolling(h[0], k, _BASES[0]) if whole else none
-    nodes = none if not whole else mix(rolling(h[0], k - 1, _BASES[0]) + mix(rolling(h[1], k - 1, _BASES[1]))) if k > 1 else np.zeros(len(part) + 1, U64)
-    seeds = mix(rolling(h[0], sub, _BASES[0]))
+    edges, nodes, seeds = _hashes(h, k, sub, whole)
     place = leftmost_least(seeds >> _PLACE_BITS, k - sub + 1)
     starts = np.arange(len(place))
     starts = starts[starts + k <= np.repeat(ends[1:], np.diff(ends))[: len(starts)]]

@@ -280,3 +280,21 @@ def test_digests_are_of_the_words_at_their_places(monkeypatch):
     p = substring_dedup._pieces(words, part, (h[part], h[part]), np.array([0, len(part)]), 5, 2)
     digests = p.digests(np.arange(10), 5)
     assert digests == [xxhash.xxh3_128_digest(" ".join(texts[0].split()[i : i + 5]).encode()) for i in range(10)]
+
+
+@pytest.mark.parametrize("k, sub", [(35, 8), (2, 2), (1, 1), (7, 6)])
+def test_hashes_share_their_doubling_and_go_by_ranges(monkeypatch, k, sub):
+    from recordloom.llm.hashing import U64, mix, rollings
+
+    rng = np.random.default_rng(2)
+    h = tuple(rng.integers(0, 2**64, 200, dtype=np.uint64) for _ in range(2))
+    base = substring_dedup._BASES[0]
+    plain = lambda size: [sum(int(x) * pow(base, size - 1 - j, 2**64) for j, x in enumerate(h[0][i : i + size])) % 2**64 for i in range(200 - size + 1)]
+    sizes = (k, max(1, k - 1), sub, 201)
+    assert [x.tolist() for x in rollings(h[0], sizes, base)] == [*map(plain, sizes[:3]), []]
+    whole = substring_dedup._hashes(h, k, sub, True)
+    assert whole[0].tolist() == plain(k) and whole[2].tolist() == mix(np.array(plain(sub), U64)).tolist()
+    for places in (1, 3, 64):
+        monkeypatch.setattr(substring_dedup, "_PLACES", places)
+        assert [x.tolist() for x in substring_dedup._hashes(h, k, sub, True)] == [x.tolist() for x in whole]
+        assert not any(map(len, substring_dedup._hashes(h, k, sub, False)[:2]))
